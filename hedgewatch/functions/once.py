@@ -16,9 +16,8 @@ def with_columns_once(df: DataFrame, columns: dict[str, Column],
                       keep: Column | None = None) -> DataFrame:
     """Add (or replace) ``columns``, evaluating each exactly once per row.
 
-    ``keep`` drops rows for which it is not true; it may use the new columns as
-    fields of the struct ``r`` passed by name, e.g. ``F.col('status')`` of ``df``
-    only. Rows where ``keep`` is NULL are dropped.
+    ``keep`` drops the rows for which it is false or NULL; it refers to columns
+    of ``df``.
     """
     row = F.struct(*[c.alias(name) for name, c in columns.items()])
     rows = F.array(row)

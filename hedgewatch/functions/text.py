@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Whitespace as Unicode text tools see it: the White_Space property plus the
@@ -15,20 +15,26 @@ _STRAY_PERCENT = "%(?![0-9A-Fa-f]{2})"
 
 
 def strip(c: Column) -> Column:
-    """Remove Unicode whitespace at both ends. Lines that visibly start and end
-    with an ASCII non-space skip the regular expression."""
-    clean = c.rlike(r"\A[\x21-\x7e](?s:.*[\x21-\x7e])?\z")
-    return F.when(clean, c).otherwise(F.regexp_replace(c, f"(?d){_STRIP}", ""))
+    """Remove Unicode whitespace at both ends. Text that starts and ends with a
+    visible ASCII character skips the regular expression."""
+    visible = F.left(c, F.lit(1)).between("!", "~") & F.right(c, F.lit(1)).between("!", "~")
+    return F.when(visible, c).otherwise(F.regexp_replace(c, _STRIP, ""))
 
 
-def percent_decode(c: Column, times: int = 1) -> Column:
-    """Percent-decode ``times`` times. ``+`` stays, a stray ``%`` stays, bytes
-    that are not UTF-8 become U+FFFD. Text without ``%`` is passed through."""
+def percent_decode(c: Column) -> Column:
+    """Percent-decode once. ``+`` stays, a stray ``%`` stays, bytes that are not
+    UTF-8 become U+FFFD. Text without ``%`` is passed through."""
+    guarded = F.regexp_replace(F.replace(c, F.lit("+"), F.lit("%2B")),
+                               _STRAY_PERCENT, "%25")
+    return F.when(F.contains(c, F.lit("%")), F.try_url_decode(guarded)).otherwise(c)
+
+
+def decode_columns(df: DataFrame, names: list[str], times: int) -> DataFrame:
+    """Percent-decode columns ``times`` times, one projection per pass, so that
+    no pass is evaluated more than once."""
     for _ in range(times):
-        guarded = F.regexp_replace(F.replace(c, F.lit("+"), F.lit("%2B")),
-                                   _STRAY_PERCENT, "%25")
-        c = F.when(F.contains(c, F.lit("%")), F.try_url_decode(guarded)).otherwise(c)
-    return c
+        df = df.withColumns({n: percent_decode(F.col(n)) for n in names})
+    return df
 
 
 def non_empty(c: Column) -> Column:
