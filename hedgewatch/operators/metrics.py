@@ -58,17 +58,17 @@ def latency_p95(lines: DataFrame, exact: bool = True) -> DataFrame:
     sketch = values.agg(
         F.percentile_approx("v", F.lit(QUANTILE - slack), F.lit(ACCURACY)).alias("low"),
         F.percentile_approx("v", F.lit(QUANTILE + slack), F.lit(ACCURACY)).alias("high"))
-    # one row each: the bracket as two scalars; one more value up for tiny inputs
-    low, high = sketch.select("low").scalar(), sketch.select("high").scalar()
-    split = values.agg(
-        F.count("*").alias("n"), F.count_if(F.col("v") < low).alias("below"),
-        F.min(F.when(F.col("v") > high, F.col("v"))).alias("above"))
-    n, below, above = (split.select(c).scalar() for c in ("n", "below", "above"))
-    inside = values.filter((F.col("v") >= low) & (F.col("v") <= F.coalesce(above, high))).groupBy(
-        "v").agg(F.count("*").alias("c"))
+    bracket = sketch.select(F.struct("low", "high")).scalar()
+    # one more value up: on few rows the sketch is exact and may stop one short
+    split = values.agg(F.struct(
+        F.count("*").alias("n"), F.count_if(F.col("v") < bracket["low"]).alias("below"),
+        F.min(F.when(F.col("v") > bracket["high"], F.col("v"))).alias("above"))).scalar()
+    inside = values.filter(F.col("v").between(
+        bracket["low"], F.coalesce(split["above"], bracket["high"])
+    )).groupBy("v").agg(F.count("*").alias("c"))
     upto = F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = inside.withColumn("upto", upto + below)
-    found = ranked.filter(F.col("upto") > F.floor(n * QUANTILE))
+    ranked = inside.withColumn("upto", upto + split["below"])
+    found = ranked.filter(F.col("upto") > F.floor(split["n"] * QUANTILE))
     return found.agg(F.coalesce(F.round(F.min("v"), 2), F.lit(0.0)).alias("latency_p95_ms"))
 
 
@@ -88,12 +88,13 @@ def progress(lines: DataFrame, total_lines: int | None = None) -> DataFrame:
 def session_metrics(lines: DataFrame, alerts: DataFrame) -> DataFrame:
     """One row with everything above. ``lines`` has ``latency_ms`` per line, or is
     one row per line without it, and then times are NULL."""
-    timed = "latency_ms" in lines.columns
-    run = latency_totals(lines).crossJoin(latency_p95(lines)) if timed else lines.agg(
-        F.count("*").alias("total_lines")).withColumns({
+    if "latency_ms" in lines.columns:
+        run = latency_totals(lines).withColumn("latency_p95_ms", latency_p95(lines).scalar())
+    else:
+        run = lines.agg(F.count("*").alias("total_lines")).withColumns({
             c: F.lit(None).cast("double")
             for c in ("total_time_s", "throughput_ev_s", "latency_avg_ms", "latency_p95_ms")})
-    types = hit_types(alerts).agg(F.map_from_entries(F.collect_list(
-        F.struct("hit_type", "hits"))).alias("cache_hit_types"))
-    # three one-row tables side by side
-    return run.crossJoin(alert_totals(alerts)).crossJoin(types)
+    totals = alert_totals(alerts)
+    types = hit_types(alerts).agg(F.map_from_entries(F.collect_list(F.struct("hit_type", "hits"))))
+    return run.withColumn("t", totals.select(F.struct("*")).scalar()).select(
+        *run.columns, "t.*").withColumn("cache_hit_types", types.scalar())
