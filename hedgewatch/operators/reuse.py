@@ -302,12 +302,13 @@ def number_classes(classes: DataFrame) -> DataFrame:
 def fold_reuse(events: DataFrame, classes: DataFrame, bucket_lines: int = BUCKET_LINES) -> DataFrame:
     """Replay reuse per key in line order.
 
-    ``events``: class columns and ``line_number``. ``classes``: one row per class
+    ``events``: class columns, ``line_number`` and any others, which are kept.
+    ``classes``: one row per class
     from ``number_classes`` with ``first_line``, ``exact_ok``, ``accepted``
     (similarity) and ``verdict_type``, the type of the verdict the class gets if it
-    has to ask. Returns ``line_number``, ``canonical_key``, ``class_no``,
-    ``outcome`` (exact, semantic, miss) and ``state``: for an exact hit the class
-    whose verdict is reused, 0 for the one in the store.
+    has to ask. Adds ``class_no``, ``outcome`` (exact, semantic, miss) and
+    ``state``: for an exact hit the class whose verdict is reused, 0 for the one in
+    the store.
 
     The state of a key is the class whose verdict was stored last, so one event
     maps a state to a state, and so does any run of events. Keys with one class
@@ -319,14 +320,15 @@ def fold_reuse(events: DataFrame, classes: DataFrame, bucket_lines: int = BUCKET
         "exact_ok": F.coalesce("exact_ok", F.lit(False)),
         "accepted": F.coalesce("accepted", F.lit(False)),
     })
-    tagged = events.select(*CLASS, "line_number").join(known.select(
+    kept = events.columns
+    tagged = events.join(known.select(
         *CLASS, "class_no", "mixed", "first_line", "exact_ok", "accepted", "verdict_type"), CLASS)
     again = exact_compatible(F.col("context_type"), F.col("verdict_type"))
 
     asks = ~F.col("exact_ok") & ~F.col("accepted")
     repeats = asks & (F.col("line_number") != F.col("first_line")) & again
     single = tagged.filter(~F.col("mixed")).select(
-        "line_number", "canonical_key", "class_no",
+        *kept, "class_no",
         F.when(F.col("exact_ok") | repeats, "exact").when(F.col("accepted"), "semantic")
         .otherwise("miss").alias("outcome"),
         F.when(repeats, F.col("class_no")).otherwise(F.lit(0)).alias("state"))
@@ -364,7 +366,7 @@ def fold_reuse(events: DataFrame, classes: DataFrame, bucket_lines: int = BUCKET
     asks = ~fits & ~F.col("accepted")
     repeats = asks & ~F.col("starts") & again
     replayed = replay.select(
-        "line_number", "canonical_key", "class_no",
+        *kept, "class_no",
         F.when(fits | repeats, "exact").when(F.col("accepted"), "semantic")
         .otherwise("miss").alias("outcome"),
         F.when(repeats, F.col("class_no")).when(fits, F.col("state")).otherwise(F.lit(0)).alias("state"))
