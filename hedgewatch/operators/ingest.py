@@ -97,11 +97,10 @@ def parse(raw_lines: DataFrame, source: str = "auto") -> DataFrame:
 
 def rejects(raw_lines: DataFrame, source: str = "auto") -> DataFrame:
     """Lines that are not valid log lines, blank ones aside."""
-    return (
-        _typed(split_fields(raw_lines, source))
-        .filter(~F.col("parsed") & (F.col("raw_line") != ""))
-        .select("line_number", F.col("raw_line").alias("raw"))
-    )
+    typed = _typed(split_fields(raw_lines, source))
+    return with_columns_once(
+        typed, {"raw": F.col("raw_line")}, keep=~F.col("parsed") & (F.col("raw_line") != "")
+    ).select("line_number", "raw")
 
 
 def ingest(raw_lines: DataFrame, source: str = "auto",
