@@ -20,6 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core where a small file gives a scan fewer splits than there are
+    cores. A scan with enough splits is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _fill(text: Column, **values: Column) -> Column:
     for name, value in values.items():
         text = F.replace(text, F.lit(f"@{name}@"), value.cast("string"))
@@ -28,7 +35,7 @@ def _fill(text: Column, **values: Column) -> Column:
 
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One log line per event, with the event's columns alongside."""
-    events = table(spark, sf_dir, "events")
+    events = spread(table(spark, sf_dir, "events"))
     templates = spark.createDataFrame(list(enumerate(TEMPLATES)), "t int, line string")
     agents = F.array(*[F.lit(a) for a in AGENTS])
     joined = events.withColumn("t", (F.col("event_id") % len(TEMPLATES)).cast("int")).join(
@@ -110,5 +117,5 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(
+    return spread(table(spark, sf_dir, "documents")).join(table(spark, sf_dir, "labels"), "doc_id").select(
         "doc_id", "text", F.col("toxic").alias("label"), "quality", "n_chars")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -26,7 +29,8 @@ def apply_rules(access_log: DataFrame, rules: DataFrame) -> DataFrame:
     The rule table is configuration (hundreds of rows), so it is read once on the
     driver and becomes literal patterns in one projection: no join, no shuffle,
     and each pattern is compiled once per task. The hits are evaluated once, even
-    below later filters on the score.
+    below later filters on the score. Rules with ``needles`` are only tried on
+    texts that contain one.
     """
     listed = rules.orderBy("ordinal").collect()
     value = {c: F.col(c) for c in ("path", "query_string", "content", "user_agent")
@@ -35,8 +39,13 @@ def apply_rules(access_log: DataFrame, rules: DataFrame) -> DataFrame:
     tests = [_test(rule, value[rule["field"]]) for rule in listed if rule["field"] in value]
     hits = F.array_compact(F.array(*tests)) if tests else F.array().cast(f"array<{HIT}>")
 
-    with_any = access_log.withColumn("__any", any_text(access_log.columns))
-    found = with_columns_once(with_any, {"__hits": hits}).drop("__any")
+    text = access_log.withColumn("__any", any_text(access_log.columns))
+    text = text.withColumns({
+        # every field is part of this text; lower-casing is plain only for ASCII
+        "__low": F.lower("__any"),
+        "__plain": F.length("__any") == F.octet_length("__any"),
+    })
+    found = with_columns_once(text, {"__hits": hits}).drop("__any", "__low", "__plain")
     h = F.col("__hits")
     types = F.array_distinct(h["attack_type"])
     return found.withColumns({
@@ -52,7 +61,12 @@ def _test(rule: Row, value: Column) -> Column:
     hit = F.struct(F.lit(rule["name"]).alias("name"),
                    F.lit(float(rule["score"])).alias("score"),
                    F.lit(rule["attack_type"]).alias("attack_type"))
-    return F.when(value.rlike(rule["pattern"]), hit)
+    matches = value.rlike(rule["pattern"])
+    needles = rule["needles"] if "needles" in rule else None
+    if needles:
+        possible = reduce(or_, [F.contains(F.col("__low"), F.lit(n)) for n in needles])
+        matches = (~F.col("__plain") | possible) & matches
+    return F.when(matches, hit)
 
 
 def rule_hits(detected: DataFrame) -> DataFrame:

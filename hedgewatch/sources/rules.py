@@ -9,7 +9,7 @@ from hedgewatch import config
 from hedgewatch.sources.files import exists
 
 RULE_SCHEMA = ("ordinal int, name string, score double, pattern string, field string, "
-               "attack_type string, source string")
+               "attack_type string, source string, needles array<string>")
 RAW_SCHEMA = "id bigint, regex string, attack_type string, target string"
 
 # Regular expression flags. Text matches by Unicode rules, and only a newline
@@ -22,7 +22,8 @@ _DIRECTIVE = (r'(?sUd)SecRule\s+(\S+)\s+"@rx\s+(.+?)"\s*(?:\\\s*)?"([^"]+)"')
 
 def builtin_rules(spark: SparkSession) -> DataFrame:
     rows = [
-        (i, name, score, (CASELESS if caseless else CASED) + pattern, field, kind, "custom")
+        (i, name, score, (CASELESS if caseless else CASED) + pattern, field, kind, "custom",
+         list(config.RULE_NEEDLES.get(name, ())) or None)
         for i, (name, score, field, kind, caseless, pattern) in enumerate(config.BUILTIN_RULES)
     ]
     return spark.createDataFrame(rows, RULE_SCHEMA)
@@ -118,5 +119,5 @@ def load_rules(spark: SparkSession, json_path: str | None = None) -> DataFrame:
     listed = compilable(imported_rules(read_rule_json(spark, json_path)), "pattern").collect()
     start = len(config.BUILTIN_RULES)
     rows = [(start + i, r["name"], r["score"], r["pattern"], r["field"], r["attack_type"],
-             r["source"]) for i, r in enumerate(listed)]
+             r["source"], None) for i, r in enumerate(listed)]
     return rules.unionByName(spark.createDataFrame(rows, RULE_SCHEMA))
