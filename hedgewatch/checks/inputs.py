@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from hedgewatch.checks.templates import AGENTS, ANSWERS, TEMPLATES
 from hedgewatch.functions.once import with_columns_once
+from hedgewatch.functions.text import quoted
 from hedgewatch.functions.verdict import parsed_verdict, strip_fences
 from hedgewatch.operators.alerts import build_alerts
 from hedgewatch.operators.detect import apply_rules
 from hedgewatch.operators.ingest import parse
 from hedgewatch.operators.reuse import with_context
 from hedgewatch.operators.score import merge_and_flag
-from hedgewatch.sources.rules import builtin_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,27 +27,24 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def _fill(text: Column, **values: Column) -> Column:
-    for name, value in values.items():
-        text = F.replace(text, F.lit(f"@{name}@"), value.cast("string"))
-    return text
-
-
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One log line per event, with the event's columns alongside."""
     events = spread(table(spark, sf_dir, "events"))
     templates = spark.createDataFrame(list(enumerate(TEMPLATES)), "t int, line string")
-    agents = F.array(*[F.lit(a) for a in AGENTS])
-    joined = events.withColumn("t", (F.col("event_id") % len(TEMPLATES)).cast("int")).join(
+    joined = events.withColumn("t", F.expr(f"CAST(event_id % {len(TEMPLATES)} AS INT)")).join(
         F.broadcast(templates), "t")
-    e, u = F.col("event_id"), F.col("user_id")
-    line = _fill(
-        F.col("line"),
-        IP=F.concat_ws(".", F.lit("10"), (u % 250).cast("string"), (e % 200).cast("string"), (u % 99).cast("string")),
-        TS=F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), SZ=F.floor(F.col("value") * 100).cast("bigint"),
-        AGENT=F.get(agents, (u % len(AGENTS)).cast("int")), U=u, E=e)
-    return joined.select((e + 1).alias("line_number"), line.alias("value"),
-                         "event_id", "user_id", "event_type", "ts")
+    agents = ", ".join(quoted(a) for a in AGENTS)
+    line = "line"
+    for name, value in {
+        "IP": "concat_ws('.', '10', CAST(user_id % 250 AS STRING), CAST(event_id % 200 AS STRING), CAST(user_id % 99 AS STRING))",
+        "TS": "date_format(ts, 'dd/MMM/yyyy:HH:mm:ss')",
+        "SZ": "CAST(CAST(floor(value * 100) AS BIGINT) AS STRING)",
+        "AGENT": f"get(array({agents}), CAST(user_id % {len(AGENTS)} AS INT))",
+        "U": "CAST(user_id AS STRING)", "E": "CAST(event_id AS STRING)",
+    }.items():
+        line = f"replace({line}, '@{name}@', {value})"
+    return joined.selectExpr("event_id + 1 AS line_number", f"{line} AS value",
+                             "event_id", "user_id", "event_type", "ts")
 
 
 def access_log(spark: SparkSession, sf_dir: str, source: str = "auto") -> DataFrame:
@@ -55,7 +52,7 @@ def access_log(spark: SparkSession, sf_dir: str, source: str = "auto") -> DataFr
 
 
 def detected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return apply_rules(access_log(spark, sf_dir), builtin_rules(spark))
+    return apply_rules(access_log(spark, sf_dir))
 
 
 def with_given_score(df: DataFrame) -> DataFrame:

@@ -9,12 +9,15 @@ from __future__ import annotations
 from functools import reduce
 from re import escape
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hedgewatch import config
 from hedgewatch.functions.once import with_columns_once
-from hedgewatch.functions.text import decode_columns, percent_decode, strip
+from hedgewatch.functions.text import decode_columns, percent_decode_sql, quoted, strip_sql
+
+
+_NUMBER_SEGMENT = r"(?Ud)/\d+(?=/|$)"
 
 
 def mask_steps(blob_length: int) -> tuple[tuple[str, str], ...]:
@@ -29,11 +32,11 @@ def mask_steps(blob_length: int) -> tuple[tuple[str, str], ...]:
     )
 
 
-def mask(c: Column, blob_length: int) -> Column:
-    """Mask volatile tokens of a decoded, lower-cased, stripped text. The chain is
-    linear: every step refers to the one before exactly once."""
-    return reduce(lambda out, step: F.regexp_replace(out, step[0], step[1]),
-                  mask_steps(blob_length), c)
+def mask(name: str, blob_length: int) -> str:
+    """SQL that masks volatile tokens of a decoded, lower-cased, stripped text. The
+    chain is linear: every step refers to the one before exactly once."""
+    return reduce(lambda out, step: f"regexp_replace({out}, {quoted(step[0])}, {quoted(step[1])})",
+                  mask_steps(blob_length), name)
 
 
 def with_masked_token(df: DataFrame, column: str, out: str,
@@ -41,84 +44,61 @@ def with_masked_token(df: DataFrame, column: str, out: str,
     """``out`` = ``column`` decoded twice, lower-cased, stripped and masked. Values
     of one payload are kept apart, volatile ones are not."""
     staged = decode_columns(df.withColumn(out, F.coalesce(column, F.lit(""))), [out], times=2)
-    staged = staged.withColumn(out, F.lower(out)).withColumn(out, strip(F.col(out)))
-    return staged.withColumn(out, mask(F.col(out), blob_length))
+    for step in (f"lower({out})", strip_sql(out), mask(out, blob_length)):
+        staged = staged.withColumn(out, F.expr(step))
+    return staged
 
 
 def with_payload_family(df: DataFrame, column: str, out: str = "payload_family") -> DataFrame:
     """``{family}`` of the first payload family the masked text shows, else the
     masked text."""
     staged = with_masked_token(df, column, "__token", config.FAMILY_BLOB_LENGTH)
-    token = F.col("__token")
-    label = None
-    for family, pattern in config.PAYLOAD_FAMILIES:
-        hit, name = token.rlike(f"(?Ud){pattern}"), F.lit("{" + family + "}")
-        label = F.when(hit, name) if label is None else label.when(hit, name)
-    return staged.withColumn(out, label.otherwise(token)).drop("__token")
-
-
-def _query_pairs(query: Column) -> Column:
-    """Key/value structs of a decoded query in normal form. Parts without any text
-    are dropped, parts without ``=`` have an empty value, ``+`` is a blank."""
-    parts = F.filter(F.split(query, "&"), lambda p: p != "")
-
-    def pair(p: Column) -> Column:
-        at = F.instr(p, "=")
-        return F.struct(
-            F.when(at > 0, F.left(p, at - 1)).otherwise(p).alias("key"),
-            F.when(at > 0, F.substring(p, at + 1, F.length(p))).otherwise(F.lit("")).alias("value"),
-        )
-
-    def each(key, value):
-        return lambda s: F.struct(key(s["key"]).alias("key"), value(s["value"]).alias("value"))
-
-    def same(c: Column) -> Column:
-        return c
-
-    def blank(c: Column) -> Column:
-        return F.replace(c, F.lit("+"), F.lit(" "))
-
+    whens = " ".join(f"WHEN __token RLIKE {quoted('(?Ud)' + pattern)} THEN '{{{family}}}'"
+                     for family, pattern in config.PAYLOAD_FAMILIES)
+    return staged.withColumn(out, F.expr(f"CASE {whens} ELSE __token END")).drop("__token")
+
+
+def query_pairs(query: str) -> str:
+    """SQL for the sorted key/value structs of a decoded query in normal form. Parts
+    without any text are dropped, parts without ``=`` have an empty value, ``+`` is
+    a blank. One ``transform`` per step."""
+    pair = ("named_struct('key', CASE WHEN contains(p, '=') THEN left(p, instr(p, '=') - 1) ELSE p END, "
+            "'value', CASE WHEN contains(p, '=') THEN substring(p, instr(p, '=') + 1) ELSE '' END)")
+    pairs = f"transform(filter(split({query}, '&'), p -> p <> ''), p -> {pair})"
+    decode = percent_decode_sql
     steps = (
-        each(blank, blank),
-        each(percent_decode, percent_decode),  # the pair parse decodes once,
-        each(F.lower, percent_decode),         # the value mask twice more
-        each(same, percent_decode),
-        each(same, F.lower),
-        each(same, strip),
-        each(same, lambda v: mask(v, config.KEY_BLOB_LENGTH)),
+        ("replace(s.key, '+', ' ')", "replace(s.value, '+', ' ')"),
+        (decode("s.key"), decode("s.value")),  # the pair parse decodes once,
+        ("lower(s.key)", decode("s.value")),   # the value mask twice more
+        ("s.key", decode("s.value")),
+        ("s.key", "lower(s.value)"),
+        ("s.key", strip_sql("s.value")),
+        ("s.key", mask("s.value", config.KEY_BLOB_LENGTH)),
     )
-    return reduce(lambda pairs, step: F.transform(pairs, step), steps, F.transform(parts, pair))
+    for key, value in steps:
+        pairs = f"transform({pairs}, s -> named_struct('key', {key}, 'value', {value}))"
+    return f"array_sort({pairs})"
 
 
 def with_canonical_key(df: DataFrame, out: str = "canonical_key") -> DataFrame:
     """Add the canonical key ``METHOD path?query ua=family``, from ``method``,
     ``path``, ``query_string`` and ``user_agent`` alone."""
-    kept = df.columns
-    staged = df.withColumns({
-        "__path": F.coalesce("path", F.lit("")),
-        "__query": F.coalesce("query_string", F.lit("")),
-        "__agent": F.coalesce("user_agent", F.lit("")),
-    })
+    kept = [f"`{c}`" for c in df.columns if c != out]
+    staged = df.selectExpr(*kept, "coalesce(path, '') AS __path", "coalesce(query_string, '') AS __query",
+                           "coalesce(user_agent, '') AS __agent")
     staged = decode_columns(staged, ["__path", "__query", "__agent"], times=2)
-    path = F.lower("__path")
-    path = F.when(path == "", F.lit("/")).otherwise(path)
-    path = F.regexp_replace(path, "/+", "/")
-    path = F.regexp_replace(path, r"(?Ud)/\d+(?=/|$)", "/{id}")
-    path = F.regexp_replace(path, r"(?d)/[0-9a-f]{8,}(?=/|$)", "/{hash}")
-    staged = staged.withColumn("__path", path).withColumn("__token", F.col("__path"))
+    path = "regexp_replace(coalesce(nullif(lower(__path), ''), '/'), '/+', '/')"
+    path = f"regexp_replace({path}, {quoted(_NUMBER_SEGMENT)}, '/{{id}}')"
+    path = f"regexp_replace({path}, '(?d)/[0-9a-f]{{8,}}(?=/|$)', '/{{hash}}')"
+    staged = staged.withColumn("__path", F.expr(path)).withColumn("__token", F.col("__path"))
     staged = decode_columns(staged, ["__token"], times=2)
-    staged = staged.withColumn("__token", F.lower("__token")).withColumn(
-        "__token", strip(F.col("__token")))
-    scanners = "|".join(config.SCANNER_AGENTS)
-    pairs = F.array_sort(_query_pairs(F.col("__query")))
-    staged = staged.withColumns({
-        "__path": F.when(F.col("__path") == "/", F.lit("/")).otherwise(
-            mask(F.col("__token"), config.KEY_BLOB_LENGTH)),
-        "__query": F.when(F.col("__query") == "", F.lit("")).otherwise(F.array_join(
-            F.transform(pairs, lambda s: F.concat(s["key"], F.lit("="), s["value"])), "&")),
-        "__agent": F.when(F.lower("__agent").rlike(scanners), F.lit("scanner")).otherwise(F.lit("")),
-    })
-    key = F.concat(F.upper("method"), F.lit(" "), F.col("__path"), F.lit("?"),
-                   F.col("__query"), F.lit(" ua="), F.col("__agent"))
-    return with_columns_once(staged, {out: key}).select(
-        *[c for c in kept if c != out], out)
+    staged = staged.withColumn("__token", F.expr("lower(__token)")).withColumn(
+        "__token", F.expr(strip_sql("__token")))
+    scanners = quoted("|".join(config.SCANNER_AGENTS))
+    masked = mask("__token", config.KEY_BLOB_LENGTH)
+    query = f"array_join(transform({query_pairs('__query')}, s -> concat(s.key, '=', s.value)), '&')"
+    key = F.expr(
+        f"concat(upper(method), ' ', CASE WHEN __path = '/' THEN '/' ELSE {masked} END, '?', "
+        f"CASE WHEN __query = '' THEN '' ELSE {query} END, ' ua=', "
+        f"CASE WHEN lower(__agent) RLIKE {scanners} THEN 'scanner' ELSE '' END)")
+    return with_columns_once(staged, {out: key}).selectExpr(*kept, f"`{out}`")

@@ -1,11 +1,12 @@
-"""Column expressions that take a combined-format log line apart."""
+"""Spark SQL expressions that take a combined-format log line apart.
 
-from __future__ import annotations
+Each function takes the name of a column (or another cheap expression) and gives
+SQL text.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
-from hedgewatch.functions.text import NON_SPACE, SPACE
+from hedgewatch.functions.text import NON_SPACE, SPACE, quoted
 
 # The two line formats. They differ in how the optional quoted
 # fields may be separated: one blank against any run of whitespace.
@@ -20,80 +21,71 @@ PATTERNS = {
 }
 FIELDS = ("ip", "time", "method", "uri", "status", "size", "referer", "agent")
 TIME_FORMAT = "d/MMM/yyyy:H:m:s [XXX][XX][X]"
-_MONTHS = ("jan", "feb", "mar", "apr", "may", "jun",
-           "jul", "aug", "sep", "oct", "nov", "dec")
+_MONTHS = "'jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'"
 
 
-def split_line(line: Column, source: Column) -> Column:
+def split_line(line: str, source: str) -> str:
     """The fields of a line as an array, or a one-element array if it does not
     match. One pass of one pattern: the groups are written out separated by
     newlines, which a line cannot contain. Quotes stay on the optional fields so
     that a missing one (``''``) and an empty one (``'""'``) differ."""
     groups = "\n".join(f"${i}" for i in range(1, len(FIELDS) + 1))
-    per_format = {
-        name: F.split(F.regexp_replace(line, pattern, groups), "\n")
-        for name, pattern in PATTERNS.items()
-    }
-    return F.when(source == "nginx", per_format["nginx"]).when(
-        source == "apache", per_format["apache"]
-    )
-
+    whens = " ".join(
+        f"WHEN {quoted(name)} THEN split(regexp_replace({line}, {quoted(pattern)}, {quoted(groups)}), '\\n')"
+        for name, pattern in PATTERNS.items())
+    return f"CASE {source} {whens} END"
 
-def unquote_nginx(quoted: Column) -> Column:
-    """Optional field: missing or ``-`` is NULL, an empty string stays."""
-    return F.when((quoted != "") & (quoted != '"-"'),
-                  F.regexp_replace(quoted, '"', ""))
 
+def optional(quoted_text: str, source: str) -> str:
+    """An optional field without its quotes. Missing or ``-`` is NULL; an empty
+    string stays in one format and is NULL in the other."""
+    return (f"CASE WHEN {quoted_text} IN ('', '\"-\"') THEN NULL "
+            f"WHEN {quoted_text} = '\"\"' THEN CASE WHEN {source} = 'nginx' THEN '' END "
+            f"ELSE substring({quoted_text}, 2, length({quoted_text}) - 2) END")
 
-def unquote_apache(quoted: Column) -> Column:
-    """Optional field: missing, ``-`` and the empty string are NULL."""
-    return F.when(~quoted.isin("", '"-"', '""'), F.regexp_replace(quoted, '"', ""))
 
-
-def parse_time(text: Column) -> Column:
+def parse_time(text: str) -> str:
     """The instant, or NULL without a valid date, time and offset."""
-    return F.try_to_timestamp(text, F.lit(TIME_FORMAT))
-
-
-def iso_time(text: Column) -> Column:
-    """ISO text in the original offset, built from a text that ``parse_time``
-    accepts. The text, not the instant, is what alerts show and sort by."""
-    clock = F.split(F.substring_index(text, " ", 1), "[/:]")
-    offset = F.substring_index(text, " ", -1)
-    month = F.array_position(F.array(*[F.lit(m) for m in _MONTHS]), F.lower(clock[1]))
-
-    def two(c: Column) -> Column:
-        return F.lpad(c, 2, "0")
-
-    zone = (
-        F.when(F.lower(offset) == "z", F.lit("+00:00"))
-        .when(F.length(offset) == 5, F.concat(F.left(offset, F.lit(3)), F.lit(":"), F.right(offset, F.lit(2))))
-        .when(F.length(offset) == 3, F.concat(offset, F.lit(":00")))
-        .otherwise(offset)
-    )
-    return F.concat(
-        clock[2], F.lit("-"), two(month.cast("string")), F.lit("-"), two(clock[0]),
-        F.lit("T"), two(clock[3]), F.lit(":"), two(clock[4]), F.lit(":"), two(clock[5]), zone,
-    )
-
-
-def parse_size(text: Column) -> Column:
+    return f"try_to_timestamp({text}, {quoted(TIME_FORMAT)})"
+
+
+def iso_time(text: str) -> str:
+    """ISO text in the original offset, for a text that ``parse_time`` accepts. The
+    text, not the instant, is what alerts show and sort by. The usual fixed layout
+    is cut by position, others are split."""
+    def month(name: str) -> str:
+        return f"lpad(array_position(array({_MONTHS}), lower({name})), 2, '0')"
+
+    fixed = (f"concat(substring({text}, 8, 4), '-', {month(f'substring({text}, 4, 3)')}, '-', left({text}, 2), "
+             f"'T', substring({text}, 13, 8), substring({text}, 22, 3), ':', right({text}, 2))")
+    clock = f"split(substring_index({text}, ' ', 1), '[/:]')"
+    offset = f"substring_index({text}, ' ', -1)"
+    zone = (f"CASE WHEN lower({offset}) = 'z' THEN '+00:00' "
+            f"WHEN length({offset}) = 5 THEN concat(left({offset}, 3), ':', right({offset}, 2)) "
+            f"WHEN length({offset}) = 3 THEN concat({offset}, ':00') ELSE {offset} END")
+    parts = {name: f"lpad({clock}[{i}], 2, '0')" for name, i in (("d", 0), ("h", 3), ("m", 4), ("s", 5))}
+    free = (f"concat({clock}[2], '-', {month(f'{clock}[1]')}, '-', {parts['d']}, 'T', {parts['h']}, ':', "
+            f"{parts['m']}, ':', {parts['s']}, {zone})")
+    layout = quoted(r"^\d{2}/[A-Za-z]{3}/\d{4}:\d{2}:\d{2}:\d{2} [+-]\d{4}$")
+    return f"CASE WHEN length({text}) = 26 AND {text} RLIKE {layout} THEN {fixed} ELSE {free} END"
+
+
+def parse_size(text: str) -> str:
     """``-`` is 0; anything but an integer is NULL."""
-    return F.when(text == "-", F.lit(0).cast("bigint")).when(
-        text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint")
-    )
+    return (f"CASE WHEN {text} = '-' THEN 0L "
+            f"WHEN {text} RLIKE {quoted('^[+-]?[0-9]+$')} THEN try_cast({text} AS BIGINT) END")
 
 
-def uri_path(uri: Column) -> Column:
-    return F.substring_index(uri, "?", 1)
+def uri_path(uri: str) -> str:
+    return f"substring_index({uri}, '?', 1)"
 
 
-def uri_query(uri: Column) -> Column:
+def uri_query(uri: str) -> str:
     """Text after the first ``?``; NULL without one, empty after a final one."""
-    at = F.instr(uri, "?")
-    return F.when(at > 0, F.substring(uri, at + 1, F.length(uri)))
+    return f"CASE WHEN contains({uri}, '?') THEN substring({uri}, instr({uri}, '?') + 1) END"
 
 
-def looks_like_nginx(line: Column) -> Column:
+def looks_like_nginx(line: str) -> str:
     """The line ends, whitespace aside, with a quoted dash."""
-    return F.endswith(F.regexp_replace(line, rf"(?U){SPACE}+$", ""), F.lit('"-"'))
+    trailing = quoted(rf"(?U){SPACE}+$")
+    return f"endswith(regexp_replace({line}, {trailing}, ''), '\"-\"')"

@@ -14,26 +14,36 @@ _STRIP = f"(?U)^{SPACE}+|{SPACE}+$"
 _STRAY_PERCENT = "%(?![0-9A-Fa-f]{2})"
 
 
+def quoted(value: str) -> str:
+    """A string as a Spark SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def strip_sql(name: str) -> str:
+    """Remove Unicode whitespace at both ends of column or lambda variable
+    ``name``. Text that starts and ends with a visible ASCII character skips the
+    regular expression."""
+    return (f"CASE WHEN left({name}, 1) BETWEEN '!' AND '~' AND right({name}, 1) BETWEEN '!' AND '~' "
+            f"THEN {name} ELSE regexp_replace({name}, {quoted(_STRIP)}, '') END")
+
+
 def strip(c: Column) -> Column:
-    """Remove Unicode whitespace at both ends. Text that starts and ends with a
-    visible ASCII character skips the regular expression."""
-    visible = F.left(c, F.lit(1)).between("!", "~") & F.right(c, F.lit(1)).between("!", "~")
-    return F.when(visible, c).otherwise(F.regexp_replace(c, _STRIP, ""))
+    return F.regexp_replace(c, _STRIP, "")
 
 
-def percent_decode(c: Column) -> Column:
-    """Percent-decode once. ``+`` stays, a stray ``%`` stays, bytes that are not
-    UTF-8 become U+FFFD. Text without ``%`` is passed through."""
-    guarded = F.regexp_replace(F.replace(c, F.lit("+"), F.lit("%2B")),
-                               _STRAY_PERCENT, "%25")
-    return F.when(F.contains(c, F.lit("%")), F.try_url_decode(guarded)).otherwise(c)
+def percent_decode_sql(name: str) -> str:
+    """Percent-decode column or lambda variable ``name`` once. ``+`` stays, a stray
+    ``%`` stays, bytes that are not UTF-8 become U+FFFD. Text without ``%`` is
+    passed through."""
+    return (f"CASE WHEN contains({name}, '%') THEN try_url_decode(regexp_replace("
+            f"replace({name}, '+', '%2B'), {quoted(_STRAY_PERCENT)}, '%25')) ELSE {name} END")
 
 
 def decode_columns(df: DataFrame, names: list[str], times: int) -> DataFrame:
     """Percent-decode columns ``times`` times, one projection per pass, so that
     no pass is evaluated more than once."""
     for _ in range(times):
-        df = df.withColumns({n: percent_decode(F.col(n)) for n in names})
+        df = df.withColumns({n: F.expr(percent_decode_sql(n)) for n in names})
     return df
 
 

@@ -2,29 +2,26 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hedgewatch.functions.once import with_columns_once
-from hedgewatch.functions.text import non_empty
+from hedgewatch.functions.text import quoted
+from hedgewatch.sources.rules import BUILTIN, RULE_COLUMNS
 
 HIT = "struct<name:string,score:double,attack_type:string>"
+FIELDS = ("path", "query_string", "content", "user_agent")
 
 
 def any_text(columns: list[str]) -> Column:
     """Path, then query, content and user agent where not empty, space-joined."""
-    def part(name: str) -> Column:
-        return non_empty(F.col(name)) if name in columns else F.lit(None).cast("string")
-    return F.concat_ws(" ", F.coalesce(F.col("path"), F.lit("")), part("query_string"),
-                       part("content"), part("user_agent"))
+    parts = [f"nullif({c}, '')" for c in FIELDS[1:] if c in columns]
+    return F.expr(f"concat_ws(' ', coalesce(path, ''), {', '.join(parts)})")
 
 
-def apply_rules(access_log: DataFrame, rules: DataFrame) -> DataFrame:
+def apply_rules(access_log: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """Add ``matched_rules``, ``attack_types``, ``rule_score``, ``primary_type``
-    and ``matched``.
+    and ``matched``. Without ``rules`` the built-in ones apply.
 
     The rule table is configuration (hundreds of rows), so it is read once on the
     driver and becomes literal patterns in one projection: no join, no shuffle,
@@ -32,41 +29,37 @@ def apply_rules(access_log: DataFrame, rules: DataFrame) -> DataFrame:
     below later filters on the score. Rules with ``needles`` are only tried on
     texts that contain one.
     """
-    listed = rules.orderBy("ordinal").collect()
-    value = {c: F.col(c) for c in ("path", "query_string", "content", "user_agent")
-             if c in access_log.columns}
-    value["any"] = F.col("__any")
+    if rules is None:
+        listed = [dict(zip(RULE_COLUMNS, row)) for row in BUILTIN]
+    else:
+        listed = [row.asDict() for row in rules.orderBy("ordinal").collect()]
+    value = {c: c for c in FIELDS if c in access_log.columns} | {"any": "__any"}
     tests = [_test(rule, value[rule["field"]]) for rule in listed if rule["field"] in value]
-    hits = F.array_compact(F.array(*tests)) if tests else F.array().cast(f"array<{HIT}>")
+    hits = F.expr(f"CAST(array_compact(array({', '.join(tests)})) AS ARRAY<{HIT}>)")
 
-    text = access_log.withColumn("__any", any_text(access_log.columns))
-    text = text.withColumns({
+    text = access_log.withColumn("__any", any_text(access_log.columns)).selectExpr(
         # every field is part of this text; lower-casing is plain only for ASCII
-        "__low": F.lower("__any"),
-        "__plain": F.length("__any") == F.octet_length("__any"),
-    })
-    found = with_columns_once(text, {"__hits": hits}).drop("__any", "__low", "__plain")
-    h = F.col("__hits")
-    types = F.array_distinct(h["attack_type"])
-    return found.withColumns({
-        "matched_rules": h["name"],
-        "attack_types": types,
-        "rule_score": F.greatest(F.coalesce(F.array_max(h["score"]), F.lit(0.0)), F.lit(0.0)),
-        "primary_type": F.coalesce(F.get(types, F.lit(0)), F.lit("")),
-        "matched": F.size(h) > 0,
-    }).drop("__hits")
+        "*", "lower(__any) AS __low", "length(__any) = octet_length(__any) AS __plain")
+    found = with_columns_once(text, {"__hits": hits})
+    kept = [f"`{c}`" for c in access_log.columns]
+    return found.selectExpr(
+        *kept,
+        "__hits.name AS matched_rules",
+        "array_distinct(__hits.attack_type) AS attack_types",
+        "greatest(coalesce(array_max(__hits.score), 0.0D), 0.0D) AS rule_score",
+        "coalesce(get(__hits, 0).attack_type, '') AS primary_type",
+        "size(__hits) > 0 AS matched",
+    )
 
 
-def _test(rule: Row, value: Column) -> Column:
-    hit = F.struct(F.lit(rule["name"]).alias("name"),
-                   F.lit(float(rule["score"])).alias("score"),
-                   F.lit(rule["attack_type"]).alias("attack_type"))
-    matches = value.rlike(rule["pattern"])
-    needles = rule["needles"] if "needles" in rule else None
-    if needles:
-        possible = reduce(or_, [F.contains(F.col("__low"), F.lit(n)) for n in needles])
-        matches = (~F.col("__plain") | possible) & matches
-    return F.when(matches, hit)
+def _test(rule: dict, value: str) -> str:
+    """SQL for the hit of one rule, NULL if it does not match."""
+    matches = f"{value} RLIKE {quoted(rule['pattern'])}"
+    if rule.get("needles"):
+        possible = " OR ".join(f"contains(__low, {quoted(n)})" for n in rule["needles"])
+        matches = f"(NOT __plain OR {possible}) AND {matches}"
+    return (f"CASE WHEN {matches} THEN named_struct('name', {quoted(rule['name'])}, "
+            f"'score', {float(rule['score'])!r}D, 'attack_type', {quoted(rule['attack_type'])}) END")
 
 
 def rule_hits(detected: DataFrame) -> DataFrame:

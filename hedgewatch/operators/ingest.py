@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hedgewatch.functions import logline as ll
 from hedgewatch.functions.once import with_columns_once
-from hedgewatch.functions.text import decode_columns, strip
+from hedgewatch.functions.text import decode_columns, strip_sql
 
 SAMPLE_LINES = 10
 SOURCES = ("nginx", "apache")
@@ -18,14 +18,14 @@ def detect_source(raw_lines: DataFrame, sample_lines: int = SAMPLE_LINES) -> Dat
     ``sample_lines`` lines, ``nginx`` if there is none."""
     first = (
         raw_lines.filter(F.col("line_number") <= sample_lines)
-        .filter(strip(F.col("value")) != "")
+        .filter(f"{strip_sql('value')} <> ''")
         .agg(F.min_by("value", "line_number").alias("value"))
     )
-    return first.select(_source_of(F.col("value")).alias("source"))
+    return first.selectExpr(f"{_source_of('value')} AS source")
 
 
-def _source_of(line: Column) -> Column:
-    return F.when(line.isNull() | ll.looks_like_nginx(line), "nginx").otherwise("apache")
+def _source_of(line: str) -> str:
+    return f"CASE WHEN {line} IS NULL OR {ll.looks_like_nginx(line)} THEN 'nginx' ELSE 'apache' END"
 
 
 def split_fields(raw_lines: DataFrame, source: str = "auto") -> DataFrame:
@@ -37,46 +37,39 @@ def split_fields(raw_lines: DataFrame, source: str = "auto") -> DataFrame:
     if source == "auto":
         format_of = detect_source(raw_lines).scalar()
     elif source == "per_line":
-        format_of = _source_of(F.col("raw_line"))
+        format_of = F.expr(_source_of("raw_line"))
     elif source in SOURCES:
         format_of = F.lit(source)
     else:
         raise ValueError(f"Unsupported log source: {source}")
     return (
-        raw_lines.withColumn("raw_line", strip(F.col("value")))
+        raw_lines.withColumn("raw_line", F.expr(strip_sql("value")))
         .withColumn("source", format_of)
-        .withColumn("fields", ll.split_line(F.col("raw_line"), F.col("source")))
+        .withColumn("fields", F.expr(ll.split_line("raw_line", "source")))
     )
 
 
 def _typed(fields: DataFrame) -> DataFrame:
     """Typed columns from ``fields``; ``parsed`` says whether the line is valid."""
-    f = {name: F.get("fields", F.lit(i)) for i, name in enumerate(ll.FIELDS)}
-    nginx = F.col("source") == "nginx"
-
-    def optional(name: str) -> Column:
-        return F.when(nginx, ll.unquote_nginx(f[name])).otherwise(ll.unquote_apache(f[name]))
-
-    return fields.withColumns({
-        "timestamp": ll.parse_time(f["time"]),
-        "response_size": ll.parse_size(f["size"]),
-        "status_code": f["status"].try_cast("int"),
-    }).withColumn(
-        "parsed",
-        (F.size("fields") == len(ll.FIELDS))
-        & F.col("timestamp").isNotNull()
-        & F.col("response_size").isNotNull()
-        & F.coalesce(F.col("status_code").between(100, 599), F.lit(False)),
-    ).withColumns({
-        "ts_iso": ll.iso_time(f["time"]),
-        "source_ip": f["ip"],
-        "method": F.upper(f["method"]),
-        "path": ll.uri_path(f["uri"]),
-        "query_string": ll.uri_query(f["uri"]),
-        "user_agent": optional("agent"),
-        "referer": optional("referer"),
-        "content": F.lit(None).cast("string"),
-    })
+    f = {name: f"get(fields, {i})" for i, name in enumerate(ll.FIELDS)}
+    return fields.selectExpr(
+        "*",
+        f"{ll.parse_time(f['time'])} AS timestamp",
+        f"{ll.parse_size(f['size'])} AS response_size",
+        f"try_cast({f['status']} AS INT) AS status_code",
+    ).selectExpr(
+        "*",
+        f"size(fields) = {len(ll.FIELDS)} AND timestamp IS NOT NULL AND response_size IS NOT NULL "
+        "AND coalesce(status_code BETWEEN 100 AND 599, false) AS parsed",
+        f"{ll.iso_time(f['time'])} AS ts_iso",
+        f"{f['ip']} AS source_ip",
+        f"upper({f['method']}) AS method",
+        f"{ll.uri_path(f['uri'])} AS path",
+        f"{ll.uri_query(f['uri'])} AS query_string",
+        f"{ll.optional(f['agent'], 'source')} AS user_agent",
+        f"{ll.optional(f['referer'], 'source')} AS referer",
+        "CAST(NULL AS STRING) AS content",
+    )
 
 
 LOG_COLUMNS = (

@@ -72,7 +72,7 @@ def session_source(spark: SparkSession, path: str, source: str) -> str:
     if line is None:
         return "nginx"
     probe = spark.createDataFrame([(line,)], "value string")
-    return "nginx" if probe.select(logline.looks_like_nginx(F.col("value"))).first()[0] else "apache"
+    return "nginx" if probe.selectExpr(logline.looks_like_nginx("value")).first()[0] else "apache"
 
 
 def run_session(spark: SparkSession, path: str, out: str, options: Options,

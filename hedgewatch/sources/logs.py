@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hedgewatch.functions.text import percent_decode, strip
+from hedgewatch.functions.text import percent_decode_sql, strip_sql
 from hedgewatch.session import broadcast_up_to, cut_lineage
 from hedgewatch.sources.files import is_file, listing
 
@@ -45,7 +45,7 @@ def _scan(spark: SparkSession, path: str, underscore: str) -> DataFrame | None:
         reader = spark.read.text(path if plain else [full for _, full, _ in files])
     return reader.select(
         "value",
-        percent_decode(F.col("_metadata.file_name")).alias("file_name"),
+        F.expr(percent_decode_sql("_metadata.file_name")).alias("file_name"),
         F.col("_metadata.file_block_start").alias("block_start"),
     )
 
@@ -57,7 +57,7 @@ def lines_of(scan: DataFrame, split_unicode_breaks: bool) -> DataFrame:
         parts = F.when(F.col("value").rlike(_OTHER_BREAKS), F.split("value", _OTHER_BREAKS)).otherwise(
             F.array("value"))
         text = text.select(*[c for c in text.columns if c != "value"], F.explode(parts).alias("value"))
-    return text.filter(strip(F.col("value")) != "")
+    return text.filter(f"{strip_sql('value')} <> ''")
 
 
 def read_logs(spark: SparkSession, path: str, split_unicode_breaks: bool | None = None,

@@ -20,13 +20,16 @@ CASELESS, CASED = "(?iUd)", "(?Ud)"
 _DIRECTIVE = (r'(?sUd)SecRule\s+(\S+)\s+"@rx\s+(.+?)"\s*(?:\\\s*)?"([^"]+)"')
 
 
+RULE_COLUMNS = [c.split()[0] for c in RULE_SCHEMA.split(", ")]
+BUILTIN = [
+    (i, name, score, (CASELESS if caseless else CASED) + pattern, field, kind, "custom",
+     list(config.RULE_NEEDLES.get(name, ())) or None)
+    for i, (name, score, field, kind, caseless, pattern) in enumerate(config.BUILTIN_RULES)
+]
+
+
 def builtin_rules(spark: SparkSession) -> DataFrame:
-    rows = [
-        (i, name, score, (CASELESS if caseless else CASED) + pattern, field, kind, "custom",
-         list(config.RULE_NEEDLES.get(name, ())) or None)
-        for i, (name, score, field, kind, caseless, pattern) in enumerate(config.BUILTIN_RULES)
-    ]
-    return spark.createDataFrame(rows, RULE_SCHEMA)
+    return spark.createDataFrame(BUILTIN, RULE_SCHEMA)
 
 
 def read_rule_conf(spark: SparkSession, path: str) -> DataFrame:
