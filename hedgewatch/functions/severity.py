@@ -11,9 +11,8 @@ from hedgewatch.functions.text import lookup, strip
 
 def severity_name(value: Column) -> Column:
     """A known severity, or NULL."""
-    text = F.lower(strip(F.coalesce(value.cast("string"), F.lit(""))))
-    name = lookup(text, config.SEVERITY_ALIASES, text)
-    return F.when(name.isin(*config.SEVERITIES), name)
+    names = {s: s for s in config.SEVERITIES} | config.SEVERITY_ALIASES
+    return lookup(F.lower(strip(value.cast("string"))), names)
 
 
 def score_severity(score: Column) -> Column:

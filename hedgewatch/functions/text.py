@@ -67,10 +67,9 @@ def list_literal(items: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(items, quoted), ", "), F.lit("]"))
 
 
-def lookup(c: Column, table: dict, default: Column) -> Column:
-    """Constant table lookup as one CASE expression."""
-    out = None
-    for key, value in table.items():
-        hit = c == F.lit(key)
-        out = F.when(hit, F.lit(value)) if out is None else out.when(hit, F.lit(value))
-    return out.otherwise(default)
+def lookup(c: Column, table: dict, default: Column | None = None) -> Column:
+    """Constant table lookup; ``c`` is evaluated once. NULL or ``default`` for what
+    is not in the table."""
+    entries = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    found = F.try_element_at(entries, c)
+    return found if default is None else F.coalesce(found, default)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hedgewatch import config
+from hedgewatch.functions.once import with_columns_once
 from hedgewatch.functions.severity import score_severity, severity_name
 from hedgewatch.functions.text import lookup
 
@@ -33,7 +34,7 @@ def build_alerts(flagged: DataFrame) -> DataFrame:
     columns = {c: (F.when(hit, F.col(c)) if c in flagged.columns else F.lit(None)).cast(t)
                for c, t in CACHE_COLUMNS.items()}
     extra = [c for c in ("session_id", "latency_ms") if c in flagged.columns]
-    return flagged.withColumns({
+    return with_columns_once(flagged, {
         "timestamp": F.col("ts_iso"),
         "analysis": F.col("verdict"),
         "severity": F.coalesce(severity_name(F.col("verdict.severity")),

@@ -85,13 +85,14 @@ def progress(lines: DataFrame, total_lines: int | None = None) -> DataFrame:
         number.alias("processed"), total.alias("total"))
 
 
-def session_metrics(lines: DataFrame, alerts: DataFrame) -> DataFrame:
-    """One row with everything above. ``lines`` has ``latency_ms`` per line, or is
-    one row per line without it, and then times are NULL."""
-    if "latency_ms" in lines.columns:
+def session_metrics(lines: DataFrame | None, alerts: DataFrame, total_lines: int | None = None) -> DataFrame:
+    """One row with everything above. ``lines`` has ``latency_ms`` per line. Where
+    there is none, give the number of lines instead; times are then NULL."""
+    if lines is not None:
         run = latency_totals(lines).withColumn("latency_p95_ms", latency_p95(lines).scalar())
     else:
-        run = lines.agg(F.count("*").alias("total_lines")).withColumns({
+        one = alerts.sparkSession.range(1)
+        run = one.select(F.lit(total_lines).cast("bigint").alias("total_lines")).withColumns({
             c: F.lit(None).cast("double")
             for c in ("total_time_s", "throughput_ev_s", "latency_avg_ms", "latency_p95_ms")})
     totals = alert_totals(alerts)

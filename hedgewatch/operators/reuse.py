@@ -155,8 +155,8 @@ def exact_lookup(df: DataFrame, exact: DataFrame, has_context: bool = True) -> D
 
 def similarity_lookup(df: DataFrame, entries: DataFrame, has_context: bool = True) -> DataFrame:
     """For rows with an ``embedding``: the nearest entry and whether it may be used.
-    Adds ``similarity``, ``cached_type``, ``near_verdict``, ``accepted``,
-    ``reason``; ``accepted`` is false with reason ``empty_cache`` for an empty
+    Adds ``best_seq``, ``similarity``, ``cached_type``, ``near_verdict``,
+    ``accepted``, ``reason``; ``accepted`` is false with reason ``empty_cache`` for an empty
     store."""
     near = entries.select(
         F.col("seq").alias("best_seq"), F.col("attack_type").alias("cached_type"),
@@ -172,7 +172,7 @@ def similarity_lookup(df: DataFrame, entries: DataFrame, has_context: bool = Tru
     return decided.withColumns({
         "accepted": F.coalesce(F.col("__decision.accepted"), F.lit(False)),
         "reason": F.coalesce(F.col("__decision.reason"), F.lit("empty_cache")),
-    }).drop("__decision", "best_seq", "cached_family", "cached_confidence")
+    }).drop("__decision", "cached_family", "cached_confidence")
 
 
 def lookup_classes(classes: DataFrame, exact: DataFrame, entries: DataFrame, embedder: Embedder,
@@ -184,7 +184,7 @@ def lookup_classes(classes: DataFrame, exact: DataFrame, entries: DataFrame, emb
     open_keys = found.filter(~F.coalesce("exact_ok", F.lit(False))).select("canonical_key").distinct()
     near = similarity_lookup(found.join(embed_keys(open_keys, embedder), "canonical_key"),
                              entries, has_context)
-    nothing = {"similarity": "double", "cached_type": "string", "reason": "string",
+    nothing = {"best_seq": "bigint", "similarity": "double", "cached_type": "string", "reason": "string",
                "near_verdict": near.schema["near_verdict"].dataType, "embedding": "array<float>"}
     settled = found.join(open_keys, "canonical_key", "left_anti").withColumns({
         **{c: F.lit(None).cast(t) for c, t in nothing.items()}, "accepted": F.lit(False)})

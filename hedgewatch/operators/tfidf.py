@@ -65,7 +65,9 @@ def tfidf_weights(docs: DataFrame, text: str, vocab: DataFrame, doc_id: str = "d
     document. The vocabulary is bounded by its own size limit and broadcast."""
     known = term_counts(docs, doc_id, text).join(
         F.broadcast(vocab.select("term", "index", "idf")), "term")
-    raw = known.withColumn("w", (F.ln("count") + 1.0) * F.col("idf"))
-    norms = raw.groupBy(doc_id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, doc_id).select(
+    weight = (F.ln("count") + 1.0) * F.col("idf")
+    # a document's list is bounded by the vocabulary; one shuffle, no self-join
+    rows = known.groupBy(doc_id).agg(F.collect_list(F.struct("term", "index", weight.alias("w"))).alias("ws"))
+    norm = F.sqrt(F.aggregate("ws", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
+    return rows.withColumn("norm", norm).select(doc_id, "norm", F.inline("ws")).select(
         doc_id, "term", "index", (F.col("w") / F.col("norm")).alias("weight"))

@@ -41,7 +41,8 @@ def with_event_summary(df: DataFrame, out: str = "event_summary") -> DataFrame:
         return non_empty(F.array_join(items, ","))
 
     def score(name: str) -> Column:
-        return F.format_string("%.3f", F.col(name))
+        # rounds the binary value, as the reader of the request expects
+        return F.format_number(name, 3)
 
     summary = F.concat_ws(
         "\n",

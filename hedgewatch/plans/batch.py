@@ -13,7 +13,7 @@ from hedgewatch.functions.verdict import fallback_verdict
 from hedgewatch.operators.alerts import build_alerts
 from hedgewatch.operators.reuse import (
     BUCKET_LINES, CLASS, Embedder, HashedNgrams, admit_entries, admit_exact, count_hits,
-    fold_reuse, lookup_classes, number_classes, top1, with_context,
+    fold_reuse, lookup_classes, number_classes, with_context,
 )
 from hedgewatch.operators.verdicts import Provider, infer_verdicts, parse_verdict, with_request
 from hedgewatch.session import cut_lineage
@@ -72,13 +72,15 @@ def with_reuse(flagged: DataFrame, exact: DataFrame, entries: DataFrame,
     folded = fold_reuse(events, known, bucket_lines)
     source = known.select(
         "canonical_key", F.col("class_no").alias("used"), "verdict", "verdict_type", "exact_verdict",
-        "exact_type", "near_verdict", "similarity", "cached_type", "reason", "embedding")
+        "exact_type", "near_verdict", "similarity", "cached_type", "reason", "embedding",
+        "best_seq")
     used = F.when(F.col("state") > 0, F.col("state")).otherwise(F.col("class_no"))
     resolved = folded.withColumn("used", used).join(source, ["canonical_key", "used"])
 
     stored = (F.col("outcome") == "exact") & (F.col("state") == 0)
     is_exact, is_near = F.col("outcome") == "exact", F.col("outcome") == "semantic"
-    resolved = resolved.withColumns({
+    # written once: alerts, exact verdicts and entries all start from these rows
+    resolved = cut_lineage(resolved.withColumns({
         "verdict": F.when(stored, F.col("exact_verdict")).when(is_near, F.col("near_verdict"))
                     .otherwise(F.col("verdict")),
         "cache_hit": is_exact | is_near,
@@ -88,12 +90,10 @@ def with_reuse(flagged: DataFrame, exact: DataFrame, entries: DataFrame,
                                .otherwise(F.col("cached_type")),
         "cache_decision_reason": F.when(is_exact, "exact_canonical_key").otherwise(F.col("reason")),
         "cache_policy_mode": F.lit(config.POLICY_MODE),
-    })
+    }).drop("near_verdict", "exact_verdict"))
     asked = resolved.filter(F.col("outcome") == "miss").select(
         "canonical_key", "verdict", "line_number", "embedding", "matched_rules")
-    near = resolved.filter(is_near).join(known.select(*CLASS, F.col("embedding").alias("e")), CLASS)
-    hit_entries = top1(near.select(F.col("e").alias("embedding")), entries).select(
-        F.col("best_seq").alias("seq"))
+    hit_entries = resolved.filter(is_near).select(F.col("best_seq").alias("seq"))
     return BatchResult(
         alerts=build_alerts(resolved),
         outcomes=resolved.select("line_number", "canonical_key", "outcome", "cache_similarity",

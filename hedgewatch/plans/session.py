@@ -21,7 +21,7 @@ from hedgewatch.operators.score import merge_and_flag
 from hedgewatch.operators.train import score
 from hedgewatch.operators.verdicts import Provider
 from hedgewatch.plans.batch import BatchResult, with_reuse, without_reuse
-from hedgewatch.sources.logs import first_line, read_logs
+from hedgewatch.sources.logs import first_line, scan_logs
 from hedgewatch.sources.rules import load_rules
 from hedgewatch.sources.verdict_store import next_batch, read_store, write_store
 
@@ -90,10 +90,10 @@ def run_session(spark: SparkSession, path: str, out: str, options: Options,
         return f"{out}/{table}/session_id={session_id}"
 
     started = time.time()
-    lines = read_logs(spark, path)
+    scan = scan_logs(spark, path)
     source = session_source(spark, path, options.source)
-    files = [r["file_name"] for r in lines.groupBy("file_name").count().orderBy("file_name").collect()]
-    detect(spark, lines, source, options).write.mode("overwrite").parquet(folder("flagged"))
+    files, total = scan.files(), scan.total()
+    detect(spark, scan.lines, source, options).write.mode("overwrite").parquet(folder("flagged"))
     flagged = spark.read.parquet(folder("flagged"))
 
     result, batch = resolve(spark, flagged, options)
@@ -102,12 +102,11 @@ def run_session(spark: SparkSession, path: str, out: str, options: Options,
     if result.new_exact is not None and options.store_path:
         write_store(options.store_path, result.new_exact, result.entries, batch)
 
-    metrics = session_metrics(lines.select("line_number"), alerts).withColumns({
+    metrics = session_metrics(None, alerts, total).withColumns({
         "use_cache": F.lit(options.use_reuse), "source": F.lit(source), "input_dir": F.lit(path),
         "input_files": F.array(*[F.lit(f) for f in files]).cast("array<string>"),
         "elapsed_s": F.lit(time.time() - started)})
     metrics.coalesce(1).write.mode("overwrite").parquet(folder("metrics"))
-    total = spark.read.parquet(folder("metrics")).first()["total_lines"]
     session = spark.createDataFrame(
         [("done" if total else "idle", total, total, options.use_reuse,
           ", ".join(files) or None, files, path, source, started)],

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,9 +62,32 @@ def lines_of(scan: DataFrame, split_unicode_breaks: bool) -> DataFrame:
     return text.filter(f"{strip_sql('value')} <> ''")
 
 
+@dataclass
+class LogScan:
+    """``lines(line_number, value, file_name)`` and ``splits(file_name, lines, ...)``,
+    the already counted splits they come from."""
+    lines: DataFrame
+    splits: DataFrame
+
+    def total(self) -> int:
+        return self.splits.agg(F.coalesce(F.sum("lines"), F.lit(0))).first()[0]
+
+    def files(self) -> list[str]:
+        """Names of the files that contributed lines, in order."""
+        named = self.splits.select("file_name").distinct().orderBy("file_name")
+        return [r["file_name"] for r in named.collect()]
+
+
 def read_logs(spark: SparkSession, path: str, split_unicode_breaks: bool | None = None,
               underscore: str = "error") -> DataFrame:
-    """``raw_lines(line_number, value, file_name)`` of a directory or one file.
+    """``raw_lines(line_number, value, file_name)`` of a directory or one file; see
+    ``scan_logs``."""
+    return scan_logs(spark, path, split_unicode_breaks, underscore).lines
+
+
+def scan_logs(spark: SparkSession, path: str, split_unicode_breaks: bool | None = None,
+              underscore: str = "error") -> LogScan:
+    """Lines of a directory or one file and their counts per split.
 
     Lines are numbered from 1 over the files in name order. The numbers need no
     shuffle of the lines: a first pass counts lines per split (a tiny table), a
@@ -78,7 +103,9 @@ def read_logs(spark: SparkSession, path: str, split_unicode_breaks: bool | None
         spark.conf.set("spark.sql.files.minPartitionNum", spark.sparkContext.defaultParallelism)
     scan = _scan(spark, path, underscore)
     if scan is None:
-        return spark.createDataFrame([], "line_number bigint, value string, file_name string")
+        return LogScan(
+            spark.createDataFrame([], "line_number bigint, value string, file_name string"),
+            spark.createDataFrame([], "file_name string, block_start bigint, lines bigint, first_row bigint"))
     return number_lines(lines_of(scan, split_unicode_breaks))
 
 
@@ -88,7 +115,7 @@ def split_counts(lines: DataFrame) -> DataFrame:
         F.count("*").alias("lines"), F.min("row_id").alias("first_row"))
 
 
-def number_lines(lines: DataFrame) -> DataFrame:
+def number_lines(lines: DataFrame) -> LogScan:
     """Global line numbers for ``lines(value, file_name, block_start)``.
 
     Row ids rise by one within a task, and a split is read by one task without
@@ -110,10 +137,11 @@ def number_lines(lines: DataFrame) -> DataFrame:
     joined = tagged.join(broadcast_up_to(offsets, MAX_BROADCAST_SPLITS),
                          ["file_name", "block_start"], "left")
     number: Column = F.col("offset") + F.col("row_id") - F.col("first_row") + 1
-    return joined.select(
+    numbered = joined.select(
         F.coalesce(number, F.raise_error(F.lit("the input changed while it was being numbered"))
                    .cast("bigint")).alias("line_number"),
         "value", "file_name")
+    return LogScan(numbered, counts)
 
 
 def first_line(spark: SparkSession, path: str, split_unicode_breaks: bool = True) -> str | None:
@@ -121,21 +149,12 @@ def first_line(spark: SparkSession, path: str, split_unicode_breaks: bool = True
     first file that has one."""
     files = [full for _, full in log_files(spark, path)] or ([path] if is_file(spark, path) else [])
     for full in files:
-        head = number_free_head(spark, full, split_unicode_breaks)
+        head = lines_of(spark.read.text(full), split_unicode_breaks).select("value").take(1)
         if head:
             return head[0]["value"]
     return None
 
 
-def number_free_head(spark: SparkSession, file: str, split_unicode_breaks: bool):
-    return lines_of(spark.read.text(file), split_unicode_breaks).select("value").take(1)
-
-
-def input_files(raw_lines: DataFrame) -> DataFrame:
-    """Names of the files that contributed lines."""
-    return raw_lines.select("file_name").distinct().orderBy("file_name")
-
-
 def parse_file(spark: SparkSession, path: str, source: str | None = None,
                max_lines: int | None = None) -> DataFrame:
     """The access log of one file. ``max_lines`` counts parsed rows."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -14,7 +14,7 @@ from hedgewatch.operators.search import upsert
 from hedgewatch.plans.session import Options, detect, resolve, session_source
 from hedgewatch.session import checkpoint_dir
 from hedgewatch.sources.files import exists, listing
-from hedgewatch.sources.logs import lines_of
+from hedgewatch.sources.logs import lines_of, number_lines
 from hedgewatch.sources.verdict_store import write_store
 
 
@@ -39,20 +39,19 @@ def run_incremental(spark: SparkSession, path: str, out: str, checkpoint: str, o
     source = session_source(spark, path, options.source)
 
     def batch(lines: DataFrame, batch_id: int) -> None:
-        from hedgewatch.sources.logs import number_lines
-
         session = lines.sparkSession
-        numbered = number_lines(lines).withColumn(
+        scan = number_lines(lines)
+        numbered = scan.lines.withColumn(
             "line_number", F.col("line_number") + F.lit(_lines_before(session, out, batch_id)))
         detect(session, numbered, source, options).write.mode("overwrite").parquet(
             f"{out}/flagged/batch={batch_id}")
         flagged = session.read.parquet(f"{out}/flagged/batch={batch_id}")
         result, store_batch = resolve(session, flagged, options, batch=batch_id + 1)
         result.alerts.write.mode("overwrite").parquet(f"{out}/alerts/batch={batch_id}")
-        numbered.agg(F.count("*").alias("lines")).coalesce(1).write.mode("overwrite").parquet(
-            f"{out}/counts/batch={batch_id}")
         if result.new_exact is not None and options.store_path:
             write_store(options.store_path, result.new_exact, result.entries, store_batch)
+        session.range(1).select(F.lit(scan.total()).cast("bigint").alias("lines")).coalesce(1).write.mode(
+            "overwrite").parquet(f"{out}/counts/batch={batch_id}")
 
     return (stream_lines(spark, path, max_files).writeStream.foreachBatch(batch)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
@@ -125,7 +124,9 @@ def stream_upsert(alerts: DataFrame, out: str, checkpoint: str) -> StreamingQuer
             .trigger(availableNow=True).start())
 
 
-def stream_progress(query: StreamingQuery) -> dict[str, int]:
-    """Rows a query has read so far, from its recent progress reports."""
-    return {"processed": sum(p["numInputRows"] for p in query.recentProgress),
-            "batches": len(query.recentProgress)}
+def stream_progress(spark: SparkSession, out: str) -> DataFrame:
+    """``(batch, lines, processed)`` of the finished batches of an incremental run."""
+    counts = spark.read.option("basePath", f"{out}/counts").parquet(f"{out}/counts/batch=*")
+    # one row per batch
+    upto = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
+    return counts.select("batch", "lines", F.sum("lines").over(upto).alias("processed"))
