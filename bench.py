@@ -21,9 +21,8 @@ from hedgewatch.session import local_session  # noqa: E402
 HEADLINE = (
     "access_log_auto", "log_directory_scan", "rule_detection", "flagged_by_severity",
     "canonical_key_log", "canonical_key_pages", "nearest_entry", "exact_lookup",
-    "batch_exact_hits", "batch_reuse_replay", "verdict_parsing", "alerts", "search_free_text",
-    "page_by_score", "severity_counts", "session_metrics", "latency_p95",
-    "word_ngrams", "tfidf_vocabulary", "tfidf_weights", "threshold_sweep", "session_run",
+    "batch_exact_hits", "verdict_parsing", "search_free_text", "page_by_score",
+    "session_metrics", "latency_p95", "tfidf_vocabulary", "threshold_sweep", "session_run",
 )
 
 

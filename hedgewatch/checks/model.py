@@ -54,7 +54,7 @@ def tfidf_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     vocab = cut_lineage(tfidf.tfidf_vocab(docs, "text"))
-    weights = tfidf.tfidf_weights(docs, "text", vocab)
+    weights = train.tfidf_weights(docs, "text", vocab)
     return weights.groupBy("doc_id").agg(
         F.count("*").alias("terms"), F.round(F.max("weight"), 6).alias("largest"),
         F.round(F.sum("weight"), 4).alias("sum_weights"),

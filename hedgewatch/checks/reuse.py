@@ -299,7 +299,7 @@ def _fold_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 def batch_reuse_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order-dependent reuse inside a batch, in the general form."""
     events, classes = _fold_inputs(spark, sf_dir)
-    return reuse.fold_reuse(events, classes, bucket_lines=1000).select("line_number", "outcome")
+    return reuse.fold_reuse(events, classes, bucket_lines=5000).select("line_number", "outcome")
 
 
 @register("lookup_outcomes", statement(

@@ -9,13 +9,15 @@ from hedgewatch import config
 from hedgewatch.functions.text import SPACE
 
 
-def word_ngrams(text: Column, low: int = config.NGRAM_MIN, high: int = config.NGRAM_MAX) -> Column:
-    """All character n-grams of the lower-cased text, word by word, each word padded
-    with a blank on both sides. A padded word no longer than n is given once and
-    ends that word. ``text`` should be a plain column."""
-    words = F.filter(F.split(F.lower(text), rf"(?U){SPACE}+"), lambda w: w != "")
-    padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+def words(text: Column) -> Column:
+    """Words of the lower-cased text. ``text`` should be a plain column."""
+    low = F.lower(text)
+    plain = F.length(text) == F.octet_length(text)  # ASCII needs no Unicode classes
+    parts = F.when(plain, F.split(low, f"{SPACE}+")).otherwise(F.split(low, f"(?U){SPACE}+"))
+    return F.filter(parts, lambda w: w != "")
 
+
+def _ngrams_of(listed: Column, low: int, high: int) -> Column:
     def of_word(word: Column) -> Column:
         size = F.length(word)
         sizes = F.sequence(F.lit(low), F.greatest(F.lit(low), F.least(F.lit(high), size)))
@@ -23,9 +25,17 @@ def word_ngrams(text: Column, low: int = config.NGRAM_MIN, high: int = config.NG
             F.sequence(F.lit(1), F.greatest(F.lit(1), size - n + 1)),
             lambda at: F.substring(word, at, n))))
 
+    padded = F.transform(listed, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
     return F.flatten(F.transform(padded, of_word))
 
 
+def word_ngrams(text: Column, low: int = config.NGRAM_MIN, high: int = config.NGRAM_MAX) -> Column:
+    """All character n-grams of the lower-cased text, word by word, each word padded
+    with a blank on both sides. A padded word no longer than n is given once and
+    ends that word."""
+    return _ngrams_of(words(text), low, high)
+
+
 def term_counts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``(doc_id, term, count)``, long form. A document's terms are counted where the
     document is: sorted within the row, runs turned into counts, no shuffle."""
@@ -47,27 +57,24 @@ def tfidf_vocab(docs: DataFrame, text: str, min_df: int = config.MIN_DOCUMENT_FR
     ``max_features`` most frequent of them (equal counts by term), smoothed idf, and
     the position in term order.
 
-    One shuffle, on the term, after map-side combining.
+    Corpus counts come from the n-grams of distinct words, weighted by how often a
+    word occurs; document frequencies from each document's distinct n-grams, found
+    within its row. Both are combined map-side before they shuffle by term.
     """
-    counted = term_counts(docs, doc_id, text)
-    stats = counted.groupBy("term").agg(
-        F.count("*").alias("df"), F.sum("count").alias("total")).filter(F.col("df") >= min_df)
-    top = stats.orderBy(F.col("total").desc(), "term").limit(max_features)
+    low, high = config.NGRAM_MIN, config.NGRAM_MAX
+    listed = docs.select(words(F.col(text)).alias("ws"))
+    counted = listed.select(F.explode("ws").alias("w")).groupBy("w").agg(F.count("*").alias("c"))
+    totals = counted.select(
+        F.explode(_ngrams_of(F.array("w"), low, high)).alias("term"), "c"
+    ).groupBy("term").agg(F.sum("c").alias("total"))
+    distinct = listed.select(F.array_distinct("ws").alias("ws")).select(
+        F.explode(F.array_distinct(_ngrams_of(F.col("ws"), low, high))).alias("term"))
+    documents = distinct.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= min_df)
+
+    top = documents.join(totals, "term").orderBy(F.col("total").desc(), "term").limit(max_features)
     n = docs.agg(F.count("*")).scalar()
     # at most max_features rows, collected into one array to number them by term
-    listed = top.agg(F.sort_array(F.collect_list(F.struct("term", "df", "total"))).alias("v"))
-    return listed.select(F.posexplode("v").alias("index", "t")).select(
+    numbered = top.agg(F.sort_array(F.collect_list(F.struct("term", "df", "total"))).alias("v"))
+    return numbered.select(F.posexplode("v").alias("index", "t")).select(
         "t.*", "index").withColumn("idf", F.ln((n + 1) / (F.col("df") + 1)) + 1.0)
 
-
-def tfidf_weights(docs: DataFrame, text: str, vocab: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """``(doc_id, term, index, weight)``: ``(1 + ln count) * idf`` at unit length per
-    document. The vocabulary is bounded by its own size limit and broadcast."""
-    known = term_counts(docs, doc_id, text).join(
-        F.broadcast(vocab.select("term", "index", "idf")), "term")
-    weight = (F.ln("count") + 1.0) * F.col("idf")
-    # a document's list is bounded by the vocabulary; one shuffle, no self-join
-    rows = known.groupBy(doc_id).agg(F.collect_list(F.struct("term", "index", weight.alias("w"))).alias("ws"))
-    norm = F.sqrt(F.aggregate("ws", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
-    return rows.withColumn("norm", norm).select(doc_id, "norm", F.inline("ws")).select(
-        doc_id, "term", "index", (F.col("w") / F.col("norm")).alias("weight"))

@@ -42,7 +42,7 @@ def test_word_ngrams_and_weights(spark):
     for t in kept:
         assert abs(rows[t]["idf"] - (math.log((1 + len(TEXTS)) / (1 + df[t])) + 1)) < 1e-12
     weights = {}
-    for r in tfidf.tfidf_weights(docs, "text", vocab).collect():
+    for r in train.tfidf_weights(docs, "text", vocab).collect():
         weights.setdefault(r["doc_id"], {})[r["term"]] = r["weight"]
     for i, g in expected.items():
         raw = {t: (1 + math.log(c)) * rows[t]["idf"] for t, c in g.items() if t in rows}
