@@ -55,7 +55,7 @@ def with_reuse(flagged: DataFrame, exact: DataFrame, entries: DataFrame,
     Similarity reuse sees the entries of earlier batches only; exact reuse works
     inside the batch too, in line order. A verdict is asked for once per class.
     """
-    events = with_context(flagged)
+    events = flagged if set(CLASS) <= set(flagged.columns) else with_context(flagged)
     classes = number_classes(events.groupBy(*CLASS).agg(
         F.min("line_number").alias("first_line"),
         F.min_by(F.struct(*REQUEST_FIELDS), "line_number").alias("request_of")))

@@ -16,7 +16,7 @@ from hedgewatch.functions import logline
 from hedgewatch.operators.detect import apply_rules
 from hedgewatch.operators.ingest import parse
 from hedgewatch.operators.metrics import session_metrics
-from hedgewatch.operators.reuse import Embedder
+from hedgewatch.operators.reuse import Embedder, with_context
 from hedgewatch.operators.score import merge_and_flag
 from hedgewatch.operators.train import score
 from hedgewatch.operators.verdicts import Provider
@@ -44,12 +44,14 @@ class Options:
 
 
 def detect(spark: SparkSession, raw_lines: DataFrame, source: str, options: Options) -> DataFrame:
-    """Lines to flagged events: parse, rules, score, merge, filter. No shuffle."""
+    """Lines to flagged events: parse, rules, score, merge, filter, key. No shuffle."""
     if options.scorer is None and options.model is None:
         raise ValueError("give a scorer or a model")
     log = apply_rules(parse(raw_lines, source), load_rules(spark, options.rules_json))
     scored = options.scorer(log) if options.scorer else score(log, options.model)
-    return merge_and_flag(scored, options.threshold)
+    flagged = merge_and_flag(scored, options.threshold)
+    # keys are written with the events: several later steps read them
+    return with_context(flagged) if options.use_reuse else flagged
 
 
 def resolve(spark: SparkSession, flagged: DataFrame, options: Options,
