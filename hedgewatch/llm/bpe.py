@@ -16,7 +16,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hedgewatch.llm.common import quoted, ragged_index, slices_of_texts, texts_of
+from hedgewatch.llm.common import PieceCache, quoted, ragged_index, slices_of_texts, split_sums, texts_of
 
 #: Fixed value: the word pattern of byte-level vocabularies of this family.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -193,19 +193,7 @@ class Encoder:
         self.loose = re.compile(r" (?=\s|\Z)")
         special = sorted(vocabulary.special, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-        self.forget()
-
-    def forget(self, least_uses: int = 1 << 62) -> None:
-        """Keep only pieces used at least so often."""
-        old = self.__dict__.get("known", {})
-        keep = [(p, i) for p, i in old.items() if self.uses[i] >= least_uses] if old else []
-        at = np.array([i for _, i in keep], np.int64)
-        lengths = self.lengths[at] if old else np.zeros(0, np.int64)
-        ids = self.ids[ragged_index(self.starts[at], lengths)] if old else np.zeros(0, np.uint32)
-        self.known: dict = {p: n for n, (p, _) in enumerate(keep)}
-        self.ids, self.filled = _grown(ids, 1 << 16), len(ids)
-        self.starts, self.lengths = _grown(np.cumsum(lengths) - lengths, 1 << 14), _grown(lengths, 1 << 14)
-        self.uses = np.zeros(len(self.starts), np.int64)
+        self.cache = PieceCache(CACHE_PIECES)
 
     def pieces(self, text: str) -> list:
         if self.special and self.special.search(text):
@@ -220,7 +208,7 @@ class Encoder:
     def words(self, text: str) -> list[bytes]:
         return [w.encode() for w in self.pattern.findall(text)]
 
-    def learn(self, missing: list) -> None:
+    def learn(self, missing: list) -> tuple[np.ndarray, np.ndarray]:
         words, per_piece = [], []
         for piece in missing:
             if type(piece) is str:
@@ -240,49 +228,17 @@ class Encoder:
                 words += own
                 per_piece.append(len(own))
         ids, counts = encode_words(words, self.vocabulary)
-        ends = np.concatenate(([0], np.cumsum(counts)))
-        bounds = ends[np.concatenate(([0], np.cumsum(per_piece)))]
-        lengths = np.diff(bounds)
+        lengths = split_sums(counts, per_piece)
         for i in [i for i, piece in enumerate(missing) if type(piece) is int]:  # an added token is its own id
-            ids, bounds = np.insert(ids, bounds[i], missing[i]), bounds + (np.arange(len(bounds)) > i)
+            ids = np.insert(ids, lengths[:i].sum(), missing[i])
             lengths[i] = 1
-        first = len(self.known)
-        self.known.update(zip(missing, range(first, first + len(missing))))
-        self.ids = _grown(self.ids, self.filled + len(ids))
-        self.ids[self.filled:self.filled + len(ids)] = ids
-        self.starts, self.lengths, self.uses = (_grown(a, len(self.known)) for a in (self.starts, self.lengths, self.uses))
-        self.starts[first:len(self.known)] = self.filled + bounds[:-1]
-        self.lengths[first:len(self.known)] = lengths
-        self.filled += len(ids)
+        return ids, lengths
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another (uint32), and the number of ids of each."""
-        if len(self.known) > CACHE_PIECES:
-            self.forget(least_uses=2)
-            if len(self.known) > CACHE_PIECES // 2:
-                self.forget()
         lists = [self.pieces(t) for t in texts]
-        every = [p for pieces in lists for p in pieces]
-        at = np.fromiter(map(self.known.get, every, repeat(-1)), np.int64, len(every))
-        unknown = np.flatnonzero(at < 0)
-        if len(unknown):
-            missing = [every[i] for i in unknown]
-            self.learn(list(dict.fromkeys(missing)))
-            at[unknown] = np.fromiter(map(self.known.__getitem__, missing), np.int64, len(missing))
-        self.uses += np.bincount(at, minlength=len(self.uses))
-        lengths = self.lengths[at]
-        ids = self.ids[ragged_index(self.starts[at], lengths)]
-        ends = np.concatenate(([0], np.cumsum(lengths)))
-        bounds = ends[np.concatenate(([0], np.cumsum([len(p) for p in lists], dtype=np.int64)))]
-        return ids, np.diff(bounds)
-
-
-def _grown(array: np.ndarray, least: int) -> np.ndarray:
-    if least <= len(array):
-        return array
-    larger = np.zeros(max(least, 2 * len(array)), array.dtype)
-    larger[:len(array)] = array
-    return larger
+        ids, lengths = self.cache.look_up(list(chain.from_iterable(lists)), self.learn)
+        return ids, split_sums(lengths, [len(p) for p in lists])
 
 
 def decode_ids(ids: np.ndarray, vocabulary: Vocabulary) -> bytes:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,71 @@ def slices_of_texts(texts: list[str], most: int = CHARS_AT_ONCE) -> Iterator[tup
         yield begin, len(texts)
 
 
+class PieceCache:
+    """Token ids of the pieces of text a task has met.
+
+    Beyond ``most`` pieces those used once are dropped (all, if too many are left): a bound on memory, not on results.
+    """
+
+    def __init__(self, most: int):
+        self.most = most
+        self.known: dict = {}
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.starts, self.lengths, self.uses = (np.zeros(1 << 14, np.int64) for _ in range(3))
+        self.filled = 0
+
+    def look_up(self, pieces: list, learn: Callable[[list], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces one after another, and how many each has. ``learn`` gives both for new pieces."""
+        if len(self.known) > self.most:
+            self._keep(2)
+            if len(self.known) > self.most // 2:
+                self._keep(1 << 62)
+        at = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        unknown = np.flatnonzero(at < 0)
+        if len(unknown):
+            missing = [pieces[i] for i in unknown]
+            fresh = list(dict.fromkeys(missing))
+            self._add(fresh, *learn(fresh))
+            at[unknown] = np.fromiter(map(self.known.__getitem__, missing), np.int64, len(missing))
+        self.uses += np.bincount(at, minlength=len(self.uses))
+        lengths = self.lengths[at]
+        return self.ids[ragged_index(self.starts[at], lengths)], lengths
+
+    def _add(self, pieces: list, ids: np.ndarray, lengths: np.ndarray) -> None:
+        first, last = len(self.known), len(self.known) + len(pieces)
+        self.known.update(zip(pieces, range(first, last)))
+        self.ids = grown(self.ids, self.filled + len(ids))
+        self.starts, self.lengths, self.uses = (grown(a, last) for a in (self.starts, self.lengths, self.uses))
+        self.ids[self.filled:self.filled + len(ids)] = ids
+        self.starts[first:last] = self.filled + np.cumsum(lengths) - lengths
+        self.lengths[first:last] = lengths
+        self.filled += len(ids)
+
+    def _keep(self, least_uses: int) -> None:
+        kept = [(p, i) for p, i in self.known.items() if self.uses[i] >= least_uses]
+        at = np.array([i for _, i in kept], np.int64)
+        lengths = self.lengths[at]
+        ids = self.ids[ragged_index(self.starts[at], lengths)]
+        most = self.most
+        self.__init__(most)
+        self._add([p for p, _ in kept], ids, lengths)
+
+
+def grown(array: np.ndarray, least: int) -> np.ndarray:
+    """``array``, or a longer copy with at least ``least`` elements."""
+    if least <= len(array):
+        return array
+    larger = np.zeros(max(least, 2 * len(array)), array.dtype)
+    larger[:len(array)] = array
+    return larger
+
+
+def split_sums(lengths: np.ndarray, parts: list[int]) -> np.ndarray:
+    """Sums of ``lengths`` over consecutive runs of ``parts`` elements; runs may be empty."""
+    ends = np.concatenate(([0], np.cumsum(lengths)))
+    return np.diff(ends[np.concatenate(([0], np.cumsum(parts, dtype=np.int64)))])
+
+
 def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
     """A text column as Python strings, null as the empty text."""
     return [t or "" for t in batch.column(name).to_pylist()]
