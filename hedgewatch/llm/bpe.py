@@ -41,8 +41,8 @@ SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 class Vocabulary:
     """A vocabulary file as arrays: fit to be sent to tasks."""
 
-    byte_ids: np.ndarray        # id of each of the 256 bytes
-    byte_pair_ranks: np.ndarray  # at first byte * 256 + second byte
+    byte_ids: np.ndarray        # id of each of the 256 bytes, then of each as the last of its word
+    byte_pair_ranks: np.ndarray  # at first byte * 256 + second byte, then where the second ends the word
     byte_pair_ids: np.ndarray
     pair_keys: np.ndarray       # left id * size + right id, sorted
     pair_ranks: np.ndarray
@@ -70,15 +70,22 @@ def load_vocabulary(path: str) -> Vocabulary:
     with open(path, encoding="utf-8") as file:
         content = json.load(file)
     model, pre = content["model"], content.get("pre_tokenizer") or {}
-    if (content.get("normalizer") or model.get("type") != "BPE" or pre.get("type") != "ByteLevel"
-            or pre.get("add_prefix_space") or not pre.get("use_regex", True)
-            or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("ignore_merges")):
+    if (content.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space")
+            or not pre.get("use_regex", True) or model.get("end_of_word_suffix")):
         raise ValueError(f"{path} is not a plain byte-level BPE vocabulary")
-    added = content.get("added_tokens", [])
+    return model_vocabulary(content)
+
+
+def model_vocabulary(content: dict) -> Vocabulary:
+    """The merges, tokens and added tokens of a vocabulary file's content, whatever comes before the merges."""
+    model, added = content["model"], content.get("added_tokens", [])
+    if model.get("type") != "BPE" or model.get("continuing_subword_prefix") or model.get("ignore_merges") or not model["merges"]:
+        raise ValueError("not a BPE vocabulary with merges")
     if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
-        raise ValueError(f"{path} has added tokens that strip or match by word")
+        raise ValueError("added tokens that strip or match by word are not supported")
     ids: dict[str, int] = model["vocab"]
     special = {t["content"]: t["id"] for t in added}
+    ending = model.get("end_of_word_suffix") or ""
     size = max([*ids.values(), *special.values()]) + 1
     characters = printable_bytes()
     byte_of = {c: b for b, c in enumerate(characters)}
@@ -86,22 +93,21 @@ def load_vocabulary(path: str) -> Vocabulary:
     left, right = (np.array([ids[m[i]] for m in merges], np.int64) for i in (0, 1))
     keys = left * size + right
     order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    becomes = np.array([ids[a + b] for a, b in merges], np.int32)[order]
     pieces = [b""] * size
     for token, i in ids.items():
-        pieces[i] = bytes(byte_of[c] for c in token)
+        bare = token[:len(token) - len(ending)] if ending and token.endswith(ending) else token
+        pieces[i] = bytes(byte_of[c] for c in bare) + b" " * (bare != token)
     for token, i in special.items():
         pieces[i] = token.encode()
     lengths = np.array([len(p) for p in pieces], np.int64)
-    if not merges:
-        raise ValueError(f"{path} has no merges")
-    becomes = np.array([ids[a + b] for a, b in merges], np.int32)[order]
-    byte_ids = np.array([ids[c] for c in characters], np.int32)
-    pairs = (byte_ids[:, None].astype(np.int64) * size + byte_ids[None, :]).ravel()
-    at = np.minimum(np.searchsorted(keys[order], pairs), len(keys) - 1)
-    found = keys[order][at] == pairs
+    byte_ids = np.array([*[ids[c] for c in characters], *[ids[c + ending] for c in characters]], np.int32)
+    pairs = (byte_ids[:256].astype(np.int64)[None, :, None] * size + byte_ids.reshape(2, 1, 256)).ravel()
+    at = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
     return Vocabulary(
-        byte_ids=byte_ids, byte_pair_ranks=np.where(found, order[at], NO_RANK).astype(np.int32), byte_pair_ids=becomes[at],
-        pair_keys=keys[order], pair_ranks=order.astype(np.int32), pair_ids=becomes,
+        byte_ids=byte_ids, byte_pair_ranks=np.where(keys[at] == pairs, order[at], NO_RANK).astype(np.int32), byte_pair_ids=becomes[at],
+        pair_keys=keys, pair_ranks=order.astype(np.int32), pair_ids=becomes,
         token_bytes=np.frombuffer(b"".join(pieces), np.uint8), token_starts=np.cumsum(lengths) - lengths,
         token_lengths=lengths, special=special)
 
@@ -127,11 +133,12 @@ def _byte_counts(words: list[str], joined: str) -> np.ndarray:
 def _encode_block(words: list[str], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     joined = "".join(words)
     flat = np.frombuffer(joined.encode(), np.uint8)
-    symbols = vocabulary.byte_ids[flat]
     word = np.repeat(np.arange(len(words), dtype=np.int32), _byte_counts(words, joined))
+    last = np.append(word[1:] != word[:-1], np.ones(min(1, len(word)), bool)).astype(np.int32)
+    symbols = vocabulary.byte_ids[flat + last * 256]
     out_symbols, out_words = [], []
     # Pairs of single bytes come from a table; all later pairs by binary search.
-    couple = flat[:-1].astype(np.int32) << 8 | flat[1:]
+    couple = flat[:-1].astype(np.int32) << 8 | flat[1:] | last[1:] << 16
     together = word[1:] == word[:-1]
     rank = np.full(len(symbols), NO_RANK, np.int32)
     becomes = np.zeros(len(symbols), np.int32)

@@ -8,6 +8,7 @@ combinations also depends on the capacity alone. Pieces find their place from th
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hedgewatch.llm.bpe import SIGNS
+from hedgewatch.llm.bpe import SIGNS, encode_words, model_vocabulary
 from hedgewatch.llm.common import PieceCache, quoted, rank_within, slices_of_texts, split_sums, texts_of
 from hedgewatch.session import cut_lineage
 
@@ -25,6 +26,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces between blanks a task remembers; a bound on memory, not on results.
 CACHE_PIECES = 300_000
+#: Characters of text cut into pieces at a time.
+CHARS_AT_ONCE = 1_000_000
 
 
 def token_pieces(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY, end_id: int = END_ID,
@@ -42,7 +45,7 @@ def token_pieces(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY
         remembered = RememberedIds(shared.value)
         for batch in batches:
             texts, owners = texts_of(batch, "text"), batch.column("doc_id")
-            for begin, end in slices_of_texts(texts):
+            for begin, end in slices_of_texts(texts, CHARS_AT_ONCE):
                 rows = []
                 for i, ids in enumerate(remembered.encode(texts[begin:end]), begin):
                     ids = np.append(ids, np.uint32(end_id))
@@ -60,45 +63,52 @@ def token_pieces(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY
 
 
 class RememberedIds:
-    """Ids of texts from the tokenizers library, which is asked once for each part of a text.
+    """Ids of texts as the tokenizers library gives them, found once for each part between blanks
+    and line ends.
 
-    Parts are what stands between blanks, cut again where letters meet a tail of signs: both are bounds of the vocabulary's
-    word pattern. ASCII parts are lower-cased, as the vocabulary does itself.
+    Nearly all parts are letters below U+0250 with or without a tail of signs: the vocabulary's word pattern takes these for one word or two,
+    and the batched merge rounds of ``bpe`` give their ids. All other parts go to the library itself.
     """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
+        content = json.loads(vocabulary)
+        if [n["type"] for n in content["normalizer"]["normalizers"]] != ["NFC", "Replace", "Lowercase"]:
+            raise ValueError("not a vocabulary that lower-cases and drops white space")
+        self.vocabulary = model_vocabulary(content)
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        self.pieces, self.words = PieceCache(CACHE_PIECES), PieceCache(CACHE_PIECES)
-
-    def learn_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        lists = [e.ids for e in self.batch(words, add_special_tokens=False)]
-        return np.array(list(chain.from_iterable(lists)), np.uint32), np.array([len(i) for i in lists], np.int64)
+        self.pieces = PieceCache(CACHE_PIECES)
 
     def learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        words, counts = [], []
-        for piece in pieces:
-            if "<" in piece:  # an added token may be inside
-                words.append(piece)
-                counts.append(1)
-                continue
+        words, counts, other = [], np.zeros(len(pieces), np.int64), []
+        for i, piece in enumerate(pieces):
             letters = piece.rstrip(SIGNS)
-            tail = piece[len(letters):]
-            if not (tail and letters.lower().isalpha()):  # the lower case of some letters is not letters alone
-                letters, tail = piece, ""
-            words.append(letters.lower() if letters.isascii() else letters)
-            if tail:
-                words.append(tail)
-            counts.append(1 + bool(tail))
-        ids, lengths = self.words.look_up(words, self.learn_words)
-        return ids, split_sums(lengths, counts)
+            lower = letters.lower()
+            # An added token may stand after "<"; the lower case of some letters is not letters alone.
+            if not (lower.isalpha() and (lower.isascii() or max(lower) < "\u0250")) or "<" in piece:
+                other.append(i)
+            elif len(letters) == len(piece):
+                words.append(lower)
+                counts[i] = 1
+            else:
+                words += (lower, piece[len(letters):])
+                counts[i] = 2
+        ids, lengths = encode_words(words, self.vocabulary)
+        lengths = split_sums(lengths, counts)
+        if other:
+            lists = [self.tokenizer.encode(pieces[i], add_special_tokens=False).ids for i in other]
+            lengths[other] = [len(i) for i in lists]
+            where = np.repeat(counts > 0, lengths)
+            every = np.zeros(len(where), np.uint32)
+            every[where], every[~where] = ids, list(chain.from_iterable(lists))
+            ids = every
+        return ids, lengths
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        lists = [t.split(" ") for t in texts]
+        lists = [t.replace("\n", " ").split(" ") for t in texts]
         ids, lengths = self.pieces.look_up(list(chain.from_iterable(lists)), self.learn)
         begin = 0
         for n in split_sums(lengths, [len(p) for p in lists]):
