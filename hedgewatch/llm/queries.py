@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hedgewatch.llm import bpe, packing, quality, secrets, sharding, simhash
+from hedgewatch.llm import bpe, packing, quality, secrets, sharding, simhash, topk
 from hedgewatch.session import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,3 +70,17 @@ def op2_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), cut=cut_lineage)
+
+
+@query
+def op10_kd_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search_every(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op10_kd_tree_top_k"] = """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS x FROM embeddings
+               WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+               FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+    ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20"""
