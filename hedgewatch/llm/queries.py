@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hedgewatch.llm import bpe, packing, quality, secrets, sharding, simhash, topk
+from hedgewatch.llm import bpe, packing, pii, quality, secrets, sharding, simhash, topk
 from hedgewatch.session import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,3 +84,11 @@ ORACLES["op10_kd_tree_top_k"] = """
                FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
     ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
     SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20"""
+
+
+@query
+def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its text after replacement and what was replaced in it."""
+    replaced = pii.replace_entities(table(spark, sf_dir, "documents"), report="replaced")
+    return replaced.select("doc_id", "text", F.size("replaced").cast("long").alias("n_replaced"), F.array_join(F.transform(
+        "replaced", lambda e: F.concat_ws(":", e["kind"], e["start"].cast("string"), e["end"].cast("string"))), ",").alias("spans"))
