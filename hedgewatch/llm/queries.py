@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hedgewatch.llm import bpe, packing, pii, quality, secrets, sharding, simhash, topk
+from hedgewatch.llm import bpe, neighbours, packing, pii, quality, secrets, sharding, simhash, topk
 from hedgewatch.session import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,3 +92,20 @@ def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     replaced = pii.replace_entities(table(spark, sf_dir, "documents"), report="replaced")
     return replaced.select("doc_id", "text", F.size("replaced").cast("long").alias("n_replaced"), F.array_join(F.transform(
         "replaced", lambda e: F.concat_ws(":", e["kind"], e["start"].cast("string"), e["end"].cast("string"))), ",").alias("spans"))
+
+
+@query
+def op8_nn_descent_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op8_nn_descent_duplicates"] = """
+    WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings),
+    usable AS (SELECT vec_id, x, sqrt(list_inner_product(x, x)) AS norm FROM v
+               WHERE x IS NOT NULL AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND list_inner_product(x, x) > 0),
+    link AS (SELECT p.vec_id AS a, q.vec_id AS b FROM usable p JOIN usable q
+             ON p.vec_id <> q.vec_id AND list_inner_product(p.x, q.x) / (p.norm * q.norm) >= 0.9),
+    reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+    SELECT v.vec_id, (SELECT count(*) FROM link WHERE link.a = v.vec_id) AS n_links, min(reach.b) AS component_id,
+           v.vec_id = min(reach.b) AS kept
+    FROM v JOIN reach ON reach.a = v.vec_id GROUP BY v.vec_id"""
