@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hedgewatch.llm import bpe, neighbours, packing, pii, quality, secrets, sharding, simhash, topk
+from hedgewatch.llm import bpe, neighbours, packing, pii, quality, secrets, sharding, simhash, toolcalls, topk
 from hedgewatch.session import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,3 +109,39 @@ ORACLES["op8_nn_descent_duplicates"] = """
     SELECT v.vec_id, (SELECT count(*) FROM link WHERE link.a = v.vec_id) AS n_links, min(reach.b) AS component_id,
            v.vec_id = min(reach.b) AS kept
     FROM v JOIN reach ON reach.a = v.vec_id GROUP BY v.vec_id"""
+
+
+#: Tools that the conversations' turns are read as calls of.
+TOOLS = {
+    "search": {"type": "object", "required": ["query"], "additionalProperties": False, "properties": {
+        "query": {"type": "string", "minLength": 1}, "limit": {"type": "integer", "minimum": 1, "maximum": 50}}},
+    "note": {"type": "object", "required": ["text", "turn"], "properties": {"text": {"type": "string", "maxLength": 400}, "turn": {"type": "integer"}}},
+    "lookup": {"type": "object", "required": ["keys"], "properties": {"keys": {"type": "array", "items": {"type": "string"}}}},
+}
+
+
+def conversation_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls and results as the turns of conversations have them.
+
+    An assistant's turn is a call whose arguments hold the whole text of its turn; it may need the call before it, or after it. Any
+    other turn is the result of the assistant's turn before it, or, where there is none, of a call that does not exist.
+    """
+    def call_id(turn: str) -> str:
+        return f"concat('call_', substring(md5(concat_ws(':', conv_id, {turn})), 1, 12))"
+
+    own = "conv_id IS NOT NULL AND turn IS NOT NULL"
+    calls = conversations.where(f"role = 'assistant' AND {own}").selectExpr(
+        "conv_id", "turn", f"{call_id('turn')} AS call_id", "element_at(array('search', 'note', 'lookup', 'erase'), CAST(pmod(conv_id + turn, 4) AS INT) + 1) AS name",
+        """CASE pmod(conv_id + turn, 4) WHEN 0 THEN to_json(named_struct('query', text, 'limit', pmod(conv_id * 7 + turn, 60)))
+                WHEN 1 THEN to_json(named_struct('turn', IF(conv_id % 5 = 0, NULL, turn), 'text', text))
+                WHEN 2 THEN to_json(named_struct('keys', split(text, ' '))) ELSE text END AS arguments""",
+        f"""CASE WHEN pmod(conv_id + turn, 3) = 0 THEN array({call_id('turn - 2')})
+                 WHEN pmod(conv_id + turn, 11) = 5 THEN array({call_id('turn + 2')}) ELSE array() END AS after""")
+    results = conversations.where(f"role <> 'assistant' AND {own}").selectExpr("conv_id", "turn", f"{call_id('turn - 1')} AS call_id", "text AS content")
+    return calls, results
+
+
+@query
+def op1_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = toolcalls.link_calls(*conversation_calls(table(spark, sf_dir, "conversations")), TOOLS)
+    return linked.withColumn("problems", F.array_join("problems", "; "))
