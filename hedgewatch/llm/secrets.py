@@ -34,6 +34,8 @@ NEAR = 48
 AROUND = 512
 #: Compressed bytes per byte from which a string counts as novel. A short random string costs about its length.
 LEAST_NOVELTY = 0.75
+#: Stands before all surroundings: very short ones would be stored as they are, and with them every addition.
+LEAD = "def handle(request): return session.query(User).filter(name == value)  # loads 17 keys from config, or 204 if none\n" * 2
 _PREFIXES = "get set is has on to new old max min num user file data item list map key value name path node type time date".split()
 _SUFFIXES = ("Id Name Key Value Token Secret Password Path File Url Host Port Count Index Size Type Time Date List Map "
              "Config Options Request Response Handler Manager Factory Service Client Server Session Context Builder").split()
@@ -75,7 +77,7 @@ class Novelty:
 
     def of(self, text: str, start: int, end: int) -> float:
         """Bytes that text[start:end] adds to its surroundings, per byte."""
-        before, after = text[max(0, start - AROUND):start], text[end:end + AROUND]
+        before, after = LEAD + text[max(0, start - AROUND):start], text[end:end + AROUND]
         return max(0, self.size(before + after + text[start:end]) - self.size(before + after)) / max(1, end - start)
 
 
