@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hedgewatch import config
 from hedgewatch.checks import inputs
 from hedgewatch.checks.registry import comma, register
 from hedgewatch.checks.sql import MERGED, SCORE, VALID, any_text, joined, score_severity, statement, text
@@ -40,7 +41,7 @@ def log_directory_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines written as a directory of text files and read back with global numbers."""
     path = f"{checkpoint_dir(spark)}/lines-{uuid.uuid4()}"
     lines = inputs.raw_lines(spark, sf_dir)
-    lines.repartitionByRange(6, "line_number").sortWithinPartitions("line_number").select(
+    lines.repartitionByRange("line_number").sortWithinPartitions("line_number").select(
         "value").write.text(path)
     # the folder's own _SUCCESS marker is not a log
     read = logs.read_logs(spark, path, underscore="skip")
@@ -156,6 +157,41 @@ def imported_rule_hygiene(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.imported_rules(raw.withColumn("attack_type", F.expr(_KIND.format("id"))))
 
 
+_IMPORTED = f"""SELECT id, regex, attack_type, target, p_size FROM (
+    SELECT p_size, {_KIND.format('id')} AS attack_type, id, regex, target
+    FROM (SELECT p_size, {_ID} AS id, {_REGEX} AS regex, {_TARGET} AS target FROM part))"""
+
+
+def _rule_files(spark: SparkSession, sf_dir: str) -> str:
+    """Rule JSON as configuration has it: a file holds one array, here of the rules of one part size."""
+    path = f"{checkpoint_dir(spark)}/rules-{uuid.uuid4()}"
+    rows = inputs.table(spark, sf_dir, "part").select(
+        "p_size", F.expr(_ID).cast("int").alias("id"), F.expr(_REGEX.replace("\\", "\\\\")).alias("regex"), F.expr(_TARGET).alias("target"))
+    rows = rows.withColumn("attack_type", F.expr(_KIND.format("id")))
+    arrays = rows.groupBy("p_size").agg(F.to_json(F.collect_list(F.struct("id", "regex", "attack_type", "target"))).alias("value"))
+    arrays.write.partitionBy("p_size").text(path)
+    return path
+
+
+@register("rule_json_scan", f"SELECT id, regex, attack_type, target, count(*) AS rules FROM ({_IMPORTED}) GROUP BY ALL")
+def rule_json_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.read_rule_json(spark, _rule_files(spark, sf_dir)).groupBy("id", "regex", "attack_type", "target").agg(
+        F.count("*").alias("rules"))
+
+
+@register("rule_union", f"""
+    SELECT name, score, field, attack_type, source, count(*) AS rules, count(DISTINCT pattern) AS patterns FROM (
+      SELECT 'crs_' || id AS name, 0.75::DOUBLE AS score, CASE WHEN target LIKE '%User-Agent' THEN 'user_agent' ELSE 'any' END AS field,
+        attack_type, 'crs' AS source, regex AS pattern FROM ({_IMPORTED})
+      WHERE target NOT LIKE '%Referer' AND regex NOT IN ('.*', '.+') AND id <> 942130
+      UNION ALL SELECT * FROM (VALUES {', '.join(f"({text(r[0])}, {r[1]!r}::DOUBLE, {text(r[2])}, {text(r[3])}, 'custom', {text(r[5])})" for r in config.BUILTIN_RULES)}))
+    GROUP BY ALL""")
+def rule_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Built-in and imported rules in one table, as the rule scan takes them."""
+    return rules.load_rules(spark, _rule_files(spark, sf_dir)).groupBy("name", "score", "field", "attack_type", "source").agg(
+        F.count("*").alias("rules"), F.countDistinct("pattern").alias("patterns"))
+
+
 @register("indicator_paths", """
     SELECT DISTINCT path FROM (
       SELECT unnest(['/product/' || (c_custkey % 1000), '/nation/' || c_nationkey]) AS path FROM customer
@@ -184,7 +220,7 @@ def indicator_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("serving_text", statement(
-    "SELECT line_number, concat_ws(' ', coalesce(path, ''), nullif(query_string, ''), left(nullif(user_agent, ''), 100)) "
+    "SELECT line_number, concat_ws(' ', coalesce(path, ''), nullif(query_string, ''), nullif(user_agent, '')) "
     "AS text FROM log", "log"))
 def serving_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = inputs.access_log(spark, sf_dir)

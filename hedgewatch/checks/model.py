@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,8 @@ from hedgewatch.checks import inputs
 from hedgewatch.checks.registry import register
 from hedgewatch.checks.sql import statement
 from hedgewatch.operators import tfidf, train
-from hedgewatch.session import cut_lineage
+from hedgewatch.session import checkpoint_dir, cut_lineage
+from hedgewatch.sources import training
 
 # word by word: sizes up to the padded word's length, positions within it
 _GRAMS = """SELECT doc_id, substr(w, p, n) AS term FROM (
@@ -63,7 +66,7 @@ def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("training_text", statement(
     """SELECT line_number, concat_ws(' ', coalesce(method, ''), coalesce(path, ''), coalesce(query_string, ''), '',
-      left(coalesce(user_agent, ''), 160), status_code::VARCHAR) AS text FROM log""", "log"))
+      coalesce(user_agent, ''), status_code::VARCHAR) AS text FROM log""", "log"))
 def training_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = inputs.access_log(spark, sf_dir)
     return log.select("line_number", train.training_text(log.columns).alias("text"))
@@ -120,8 +123,12 @@ def best_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("threshold", 6).alias("threshold"), F.round("f1", 9).alias("f1"))
 
 
-# few rounds and terms: the check is that the job runs, the scores have no SQL form
-_PARAMS = train.TrainParams(max_features=500, rounds=5, max_depth=3)
+# Terms, depth and rate as by default. Rounds are fewer than the default 500: a round of the tree learner is some ten
+# jobs, so that 500 take an hour or more in a check; see the README.
+_PARAMS = train.TrainParams(rounds=10)
+_LOG_TEXT = """SELECT line_number AS doc_id, concat_ws(' ', coalesce(method, ''), coalesce(path, ''), coalesce(query_string, ''), '',
+    coalesce(user_agent, ''), status_code::VARCHAR) AS text FROM detected"""
+_LOG_STAGES = {"log_text": _LOG_TEXT, "grams": _GRAMS.replace("FROM documents", "FROM log_text"), "counts": _COUNTS}
 
 
 def _fitted(spark: SparkSession, sf_dir: str) -> tuple[PipelineModel, DataFrame]:
@@ -133,12 +140,46 @@ def _fitted(spark: SparkSession, sf_dir: str) -> tuple[PipelineModel, DataFrame]
     return train.train(examples, _PARAMS)
 
 
-@register("content_model_training")
+@register("content_model_training", statement(
+    """SELECT (SELECT count(*) FROM detected) AS samples, (SELECT least(50000, count(*)) FROM (
+      SELECT term FROM counts GROUP BY term HAVING count(*) >= 2)) AS features, TRUE AS on_grid, TRUE AS f1_in_range""",
+    "detected", extra=_LOG_STAGES))
 def content_model_training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fitted(spark, sf_dir)[1].select("threshold", "val_f1", "samples", "features")
+    """Sizes exactly; of the threshold and its F1, which depend on the learner, what must hold for any."""
+    step = (F.col("threshold") - config.SWEEP_FROM) * ((config.SWEEP_STEPS - 1) / (config.SWEEP_TO - config.SWEEP_FROM))
+    return _fitted(spark, sf_dir)[1].select(
+        "samples", F.col("features").cast("bigint").alias("features"), (F.abs(step - F.round(step)) < 1e-6).alias("on_grid"),
+        F.col("val_f1").between(0.5, 1.0).alias("f1_in_range"))
 
 
-@register("content_scores")
+@register("content_scores", statement(
+    "SELECT line_number, TRUE AS in_range, TRUE AS same_when_reloaded, TRUE AS matches_score_higher FROM log", "log"))
 def content_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, _ = _fitted(spark, sf_dir)
-    return train.score(inputs.access_log(spark, sf_dir), model).select("line_number", "ml_score")
+    """One score a line, within 0 and 1, the same from the saved and reloaded model, and on average higher where a rule matches."""
+    model, metrics = _fitted(spark, sf_dir)
+    path = f"{checkpoint_dir(spark)}/model-{uuid.uuid4()}"
+    training.save_model(model, metrics, path)
+    loaded, _ = training.load_model(spark, path)
+    scored = cut_lineage(train.score(inputs.detected(spark, sf_dir), model).select("line_number", "matched", "ml_score"))
+    again = train.score(inputs.access_log(spark, sf_dir), loaded).select("line_number", F.col("ml_score").alias("again"))
+    higher = scored.agg((F.avg(F.when(F.col("matched"), F.col("ml_score"))) > F.avg(F.when(~F.col("matched"), F.col("ml_score")))).alias("h")).scalar()
+    return scored.join(again, "line_number").select(
+        "line_number", F.col("ml_score").between(0.0, 1.0).alias("in_range"), (F.col("ml_score") == F.col("again")).alias("same_when_reloaded"),
+        higher.alias("matches_score_higher"))
+
+
+@register("training_rows", """
+    SELECT md5(concat_ws(' ', 'GET', '/doc/' || doc_id, '', text, '', '200')) AS text, toxic AS label, count(*) AS rows
+    FROM documents JOIN labels USING (doc_id) GROUP BY ALL""")
+def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents as JSON lines; labels are written as number, text or boolean in turn."""
+    path = f"{checkpoint_dir(spark)}/training-{uuid.uuid4()}"
+    rows = inputs.labelled_documents(spark, sf_dir)
+    kind, toxic = F.col("doc_id") % 3, F.col("label")
+    label = F.when(kind == 0, toxic.cast("string")).when(kind == 1, F.concat(F.lit('"'), toxic.cast("string"), F.lit('"'))).otherwise(
+        F.when(toxic > 0, "true").otherwise("false"))
+    fields = F.to_json(F.struct(F.lit("GET").alias("method"), F.concat(F.lit("/doc/"), F.col("doc_id").cast("string")).alias("path"),
+                                F.col("text").alias("content"), F.lit(200).alias("status")))
+    rows.select(F.concat(F.left(fields, F.length(fields) - 1), F.lit(',"label":'), label, F.lit("}")).alias("value")).write.text(path)
+    read = training.read_training(spark, path)
+    return read.groupBy(F.md5("text").alias("text"), "label").agg(F.count("*").alias("rows"))

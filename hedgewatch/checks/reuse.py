@@ -117,7 +117,7 @@ _TYPES = ("sqli", "xss", "normal", "lfi", "ssrf", "cve", "sqli", "unknown", "pat
 _ENTRIES = f"""SELECT * FROM (
     SELECT vec_id AS seq, embedding::DOUBLE[] AS embedding, (ARRAY{list(_TYPES)})[label + 1] AS attack_type,
       (ARRAY{list(_TYPES)})[label + 1] AS rule_family, (vec_id * 7 % 100) / 100.0::DOUBLE AS confidence
-    FROM embeddings WHERE label < 5) ORDER BY seq DESC LIMIT 2048""".replace("ARRAY", "")
+    FROM embeddings WHERE label < 5)""".replace("ARRAY", "")
 
 
 def _with_type(df: DataFrame, column: str) -> DataFrame:
@@ -126,12 +126,11 @@ def _with_type(df: DataFrame, column: str) -> DataFrame:
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = _with_type(inputs.table(spark, sf_dir, "embeddings").filter(F.col("label") < 5), "attack_type")
-    # the newest 2,048: the store's own bound
     return stored.select(
         F.col("vec_id").cast("string").alias("canonical_key"), "embedding",
         F.lit(None).cast(VERDICT).alias("verdict"), "attack_type", F.col("attack_type").alias("rule_family"),
         ((F.col("vec_id") * 7 % 100) / 100.0).alias("confidence"), F.col("vec_id").alias("seq"),
-    ).orderBy(F.col("seq").desc()).limit(config.STORE_MAX_ENTRIES)
+    )
 
 
 def _vector_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +170,7 @@ _ACCEPTED, _REASON = decision("attack_type", "rule_family", "confidence", "stret
 def similarity_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = _entries(spark, sf_dir)
     found = reuse.top1(_vector_requests(spark, sf_dir), entries).join(
-        F.broadcast(entries.drop("embedding", "verdict")), F.col("best_seq") == F.col("seq"))
+        entries.drop("embedding", "verdict"), F.col("best_seq") == F.col("seq"))
     decided = policy.similarity_decision(
         F.col("attack_type"), F.col("rule_family"), F.col("confidence"),
         F.least(F.col("similarity") * 2.5, F.lit(1.0)), F.col("context_type"), F.col("context_family"))
@@ -268,13 +267,13 @@ def batch_exact_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 # verdict type of a class: mostly its own context, sometimes another or unusable
 _OWN = """CASE WHEN length(canonical_key || context_type) % 5 = 0 THEN 'csrf'
   WHEN length(canonical_key || context_type) % 5 = 1 THEN 'normal' ELSE context_type END"""
-_OWN_SPARK = _OWN
+
 
 
 def _fold_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     events = cut_lineage(inputs.contexts(spark, sf_dir).select(*reuse.CLASS, "line_number"))
     classes = events.groupBy(*reuse.CLASS).agg(F.min("line_number").alias("first_line")).withColumns({
-        "verdict_type": F.expr(_OWN_SPARK),
+        "verdict_type": F.expr(_OWN),
         "exact_ok": F.expr("CASE WHEN length(canonical_key) % 4 = 0 THEN context_type IN ('sqli', 'cve') END"),
         "accepted": F.expr("length(canonical_key) % 3 = 0 AND context_type = 'xss'")})
     return events, reuse.number_classes(classes)
@@ -328,9 +327,37 @@ def reuse_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reuse.reuse_stats(lookup_outcomes(spark, sf_dir))
 
 
-@register("key_embeddings")
+@register("key_embeddings", statement(
+    """SELECT canonical_key, 64 AS dims, round(list_sum(list_transform(e, lambda x: x * x)), 4) AS squared_norm,
+      round(list_sum(list_transform(e, lambda x, i: x * i)), 3) AS weighted_sum FROM unit""", "contexts", extra={
+        "padded": "SELECT canonical_key, ' ' || canonical_key || ' ' AS p FROM (SELECT DISTINCT canonical_key FROM contexts)",
+        "places": """SELECT canonical_key, list_transform(range(1, greatest(length(p) - 2, 1) + 1),
+          lambda i: CAST('0x' || left(md5(substr(p, i, 3)), 7) AS INTEGER) % 64) AS places FROM padded""",
+        "counts": """SELECT canonical_key, list_transform(range(0, 64), lambda d: len(list_filter(places, lambda x: x = d))) AS n FROM places""",
+        "unit": """SELECT canonical_key, list_transform(n, lambda c: ((c / sqrt(list_sum(list_transform(n, lambda m: m * m))))::FLOAT)::DOUBLE) AS e
+          FROM counts"""}))
 def key_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     distinct = inputs.contexts(spark, sf_dir).select("canonical_key").distinct()
     embedded = reuse.embed_keys(distinct, reuse.HashedNgrams(64))
     norm = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x)
-    return embedded.select("canonical_key", F.size("embedding").alias("dims"), F.round(norm, 4).alias("squared_norm"))
+    places = F.transform("embedding", lambda x, i: x.cast("double") * (i + 1))
+    return embedded.select("canonical_key", F.size("embedding").alias("dims"), F.round(norm, 4).alias("squared_norm"),
+                           F.round(F.aggregate(places, F.lit(0.0), lambda acc, x: acc + x), 3).alias("weighted_sum"))
+
+
+@register("store_after_clear", statement(
+    f"""SELECT canonical_key, arg_max(kind, line_number) AS cached_type
+    FROM (SELECT k.canonical_key, k.line_number, {type_name('v_attack_type')} AS kind
+          FROM contexts k JOIN judged j USING (line_number)
+          WHERE k.line_number > (SELECT max(line_number) / 2 FROM judged)) GROUP BY canonical_key""", "contexts", "judged"))
+def store_after_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was stored before the store was cleared is forgotten, what comes after is there."""
+    path = f"{checkpoint_dir(spark)}/store-{uuid.uuid4()}"
+    keyed = cut_lineage(_keyed_verdicts(spark, sf_dir))
+    empty = spark.createDataFrame([], verdict_store.ENTRIES)
+    half = keyed.agg((F.max("line_number") / 2).alias("h")).scalar()
+    verdict_store.write_store(path, reuse.admit_exact(keyed.filter(F.col("line_number") <= half)), empty, 1)
+    verdict_store.clear_store(spark, path)
+    verdict_store.write_store(path, reuse.admit_exact(keyed.filter(F.col("line_number") > half)), empty, 2)
+    exact, _ = verdict_store.read_store(spark, path)
+    return exact.select("canonical_key", policy.attack_type_name(F.col("verdict.attack_type")).alias("cached_type"))

@@ -29,7 +29,7 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 def _log_folder(spark: SparkSession, sf_dir: str) -> str:
     path = _folder(spark, "logs")
-    lines = inputs.raw_lines(spark, sf_dir).repartitionByRange(6, "line_number").sortWithinPartitions("line_number")
+    lines = inputs.raw_lines(spark, sf_dir).repartitionByRange("line_number").sortWithinPartitions("line_number")
     # no _SUCCESS marker: in this folder every file is a log
     lines.select("value").write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").text(path)
     return path
@@ -94,5 +94,5 @@ def streamed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     query = incremental.stream_upsert(
         spark.readStream.schema(rows.schema).parquet(source), out, _folder(spark, "stream"))
     query.awaitTermination()
-    return spark.read.parquet(f"{out}/version=0").select(
+    return incremental.latest_upsert(spark, out).select(
         F.concat(F.lit("line:"), F.col("line_number").cast("string")).alias("alert_key"), "severity")

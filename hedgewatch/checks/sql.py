@@ -32,6 +32,7 @@ _FIELDS = r'^(\S+) \S+ \S+ \[([^\]]+)\] "([A-Z]+) ([^ "]*) HTTP/[0-9.]+" (\d{3})
 _NAMES = "['ip','time','method','uri','status','size','referer','agent']"
 _NGINX = text(_FIELDS + r'(?: ("[^"]*"))?(?: ("[^"]*"))?')
 _APACHE = text(_FIELDS + r'(?:\s+("[^"]*"))?(?:\s+("[^"]*"))?')
+_TIME = text(r"^( ?\d|\d\d)/([A-Za-z]{3})/(\d{4}):(\d{1,2}):(\d{1,2}):(\d{1,2})\s+(Z|[+-]\d\d:?\d\d(?::?\d\d)?)$")
 _BLANKS = text(r"^\s+|\s+$")
 
 
@@ -66,17 +67,20 @@ def _parsed(source: str) -> str:
                 f"ELSE {apache_optional.format(name)} END")
 
     return f"""
-    SELECT *, f.time AS t, try_strptime(f.time, '%d/%b/%Y:%H:%M:%S %z') AS instant,
+    SELECT *, local - to_seconds(CASE WHEN z[1] = '-' THEN -1 ELSE 1 END * offset_seconds) AS instant,
       CASE WHEN f.size = '-' THEN 0 ELSE try_cast(f.size AS BIGINT) END AS size_value,
       try_cast(f.status AS INTEGER) AS status_value,
       CASE WHEN contains(f.uri, '?') THEN left(f.uri, instr(f.uri, '?') - 1) ELSE f.uri END AS raw_path,
       CASE WHEN contains(f.uri, '?') THEN substr(f.uri, instr(f.uri, '?') + 1) END AS raw_query,
       {optional('agent')} AS agent_value, {optional('referer')} AS referer_value
+    FROM (SELECT *, replace(regexp_extract(f.time, {_TIME}, 7), ':', '') AS z,
+      CASE WHEN regexp_matches(f.time, {_TIME}) THEN try_strptime(trim(regexp_extract(f.time, {_TIME}, 1)) || regexp_extract(f.time, '/[^ ]*'), '%d/%b/%Y:%H:%M:%S') END AS local,
+      CASE WHEN length(z) > 1 THEN substr(z, 2, 2)::INT * 3600 + substr(z, 4, 2)::INT * 60 + coalesce(try_cast(substr(z, 6, 2) AS INT), 0) ELSE 0 END AS offset_seconds
     FROM (
       SELECT *, CASE WHEN source = 'nginx' THEN regexp_matches(raw_line, {_NGINX}) ELSE regexp_matches(raw_line, {_APACHE}) END AS shaped,
         CASE WHEN source = 'nginx' THEN regexp_extract(raw_line, {_NGINX}, {_NAMES})
              ELSE regexp_extract(raw_line, {_APACHE}, {_NAMES}) END AS f
-      FROM (SELECT *, regexp_replace(value, {_BLANKS}, '', 'g') AS raw_line, {expression} AS source FROM lines))"""
+      FROM (SELECT *, regexp_replace(value, {_BLANKS}, '', 'g') AS raw_line, {expression} AS source FROM lines)))"""
 
 
 VALID = ("shaped AND instant IS NOT NULL AND size_value IS NOT NULL AND status_value BETWEEN 100 AND 599")
@@ -85,8 +89,8 @@ VALID = ("shaped AND instant IS NOT NULL AND size_value IS NOT NULL AND status_v
 def _log(parsed: str) -> str:
     return f"""
     SELECT line_number, epoch(instant)::BIGINT AS epoch,
-      strftime(strptime(left(t, 20), '%d/%b/%Y:%H:%M:%S'), '%Y-%m-%dT%H:%M:%S')
-        || substr(t, 22, 3) || ':' || substr(t, 25, 2) AS ts_iso,
+      strftime(local, '%Y-%m-%dT%H:%M:%S')
+        || substr(z, 1, 3) || ':' || substr(z, 4, 2) || CASE WHEN length(z) > 5 THEN ':' || substr(z, 6, 2) ELSE '' END AS ts_iso,
       f.ip AS source_ip, upper(f.method) AS method, url_decode(url_decode(raw_path)) AS path,
       status_value AS status_code, source, agent_value AS user_agent, size_value AS response_size,
       url_decode(url_decode(raw_query)) AS query_string, referer_value AS referer, raw_line,

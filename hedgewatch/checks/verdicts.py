@@ -17,16 +17,16 @@ from hedgewatch.operators import verdicts
 from hedgewatch.session import cut_lineage
 
 
-def _short(column: str, limit: int) -> str:
+def _flat(column: str) -> str:
     decoded = f"url_decode(url_decode(coalesce({column}, '')))"
-    return f"left(regexp_replace({decoded}, '[\\n\\r]', ' ', 'g'), {limit})"
+    return f"regexp_replace({decoded}, '[\\n\\r]', ' ', 'g')"
 
 
-_SUMMARY = f"""concat_ws(chr(10), 'method=' || method, 'path=' || {_short('path', 180)}, 'status=' || status_code,
+_SUMMARY = f"""concat_ws(chr(10), 'method=' || method, 'path=' || {_flat('path')}, 'status=' || status_code,
   'merged_score=' || printf('%.3f', merged_score), 'rule_score=' || printf('%.3f', rule_score),
-  'ml_score=' || printf('%.3f', ml_score), 'query=' || nullif({_short('query_string', 180)}, ''),
-  'user_agent=' || nullif({_short('user_agent', 120)}, ''), 'rule_attack_types=' || nullif({joined('attack_types')}, ''),
-  'matched_rules=' || nullif({joined('matched_rules[1:8]')}, ''))"""
+  'ml_score=' || printf('%.3f', ml_score), 'query=' || nullif({_flat('query_string')}, ''),
+  'user_agent=' || nullif({_flat('user_agent')}, ''), 'rule_attack_types=' || nullif({joined('attack_types')}, ''),
+  'matched_rules=' || nullif({joined('matched_rules')}, ''))"""
 _CONTEXT = f"""concat_ws(chr(10), 'pipeline_scope=single_request_content_only', 'behavior_detection=disabled', 'source=' || source,
   'rule_attack_types=' || coalesce(nullif({joined('attack_types')}, ''), 'none'), 'matched_rule_count=' || len(matched_rules))"""
 _RULE_LIST = ("CASE WHEN len(matched_rules) > 0 THEN chr(10) || chr(10) || 'Matched Local Rules:' || chr(10) || '[''' "
@@ -42,22 +42,31 @@ def verdict_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         "line_number", "event_summary", "context_summary", F.md5("request").alias("request"))
 
 
+def _fails(request: str) -> bool:
+    return len(request) % 7 == 3
+
+
 def _echo_provider():
-    """Offline provider for the check: the verdict is read off the request."""
+    """Offline provider for the check: the verdict is read off the request; some requests it cannot take."""
     def complete(requests: list[str]) -> list:
+        if any(_fails(r) for r in requests):
+            raise RuntimeError("cannot take this request")
         return [{"text": '{"attack_type":"%s","confidence":0.9}' % ("sqli" if "sqli" in r else "unknown"),
                  "input_tokens": len(r), "output_tokens": 7} for r in requests]
     return complete
 
 
 @register("verdict_inference", statement(
-    f"""SELECT line_number, CASE WHEN contains({_REQUEST}, 'sqli') THEN 'sqli' ELSE 'unknown' END AS attack_type,
-      length({_REQUEST}) AS input_tokens, 7 AS output_tokens FROM flagged""", "flagged"))
+    f"""SELECT line_number, length({_REQUEST}) % 7 = 3 AS failed,
+      CASE WHEN length({_REQUEST}) % 7 <> 3 AND contains({_REQUEST}, 'sqli') THEN 'sqli' ELSE 'unknown' END AS attack_type,
+      CASE WHEN length({_REQUEST}) % 7 <> 3 THEN length({_REQUEST}) ELSE 0 END AS input_tokens,
+      CASE WHEN length({_REQUEST}) % 7 <> 3 THEN 7 ELSE 0 END AS output_tokens FROM flagged""", "flagged"))
 def verdict_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = verdicts.with_request(inputs.flagged(spark, sf_dir)).select("line_number", "request")
     answers = cut_lineage(verdicts.infer_verdicts(requests, _echo_provider))
-    return verdicts.parse_verdict(answers).select(
-        "line_number", "verdict.attack_type", "verdict.input_tokens", "verdict.output_tokens")
+    failed = F.col("error").isNotNull().alias("failed")
+    return verdicts.parse_verdict(answers.withColumn("told", F.col("error"))).withColumnRenamed("told", "error").select(
+        "line_number", failed, "verdict.attack_type", "verdict.input_tokens", "verdict.output_tokens")
 
 
 @register("verdict_parsing", statement(

@@ -20,8 +20,15 @@ PATTERNS = {
     "apache": rf"(?Us){_REQUEST}(?:{SPACE}+{_QUOTED})?(?:{SPACE}+{_QUOTED})?.*$",
 }
 FIELDS = ("ip", "time", "method", "uri", "status", "size", "referer", "agent")
-TIME_FORMAT = "d/MMM/yyyy:H:m:s [XXX][XX][X]"
 _MONTHS = "'jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'"
+# The time layout "day/month/year:hour:minute:second offset". Numbers but the year may have one digit, the day then
+# also a blank before it; any white space before an offset Z, +-hhmm[ss] or +-hh:mm[:ss] of less than a day.
+_DAY, _HOUR, _SIXTY = "0[1-9]|[12][0-9]|3[01]", "2[0-3]|[01][0-9]", "[0-5][0-9]"
+_USUAL_TIME = f"^(?:{_DAY})/[A-Za-z]{{3}}/[0-9]{{4}}:(?:{_HOUR}):{_SIXTY}:{_SIXTY} [+-](?:{_HOUR}){_SIXTY}$"
+_ANY_TIME = (f"(?U)^( ?[1-9]|{_DAY})/([A-Za-z]{{3}})/([0-9]{{4}}):({_HOUR}|[0-9]):({_SIXTY}|[0-9]):({_SIXTY}|[0-9])\\s+"
+             f"(?:Z|([+-])({_HOUR})(?:({_SIXTY})({_SIXTY})?|:({_SIXTY})(?::({_SIXTY}))?))$")
+_ANY_PARTS = "\n".join(["$1", "$2", "$3", "$4", "$5", "$6", "$7", "$8", "$9$11", "$10$12"])
+TIME_PARTS = ("day", "month", "year", "hour", "minute", "second", "sign", "offset_hour", "offset_minute", "offset_second")
 
 
 def split_line(line: str, source: str) -> str:
@@ -44,30 +51,36 @@ def optional(quoted_text: str, source: str) -> str:
             f"ELSE substring({quoted_text}, 2, length({quoted_text}) - 2) END")
 
 
-def parse_time(text: str) -> str:
-    """The instant, or NULL without a valid date, time and offset."""
-    return f"try_to_timestamp({text}, {quoted(TIME_FORMAT)})"
-
-
-def iso_time(text: str) -> str:
-    """ISO text in the original offset, for a text that ``parse_time`` accepts. The
-    text, not the instant, is what alerts show and sort by. The usual fixed layout
-    is cut by position, others are split."""
-    def month(name: str) -> str:
-        return f"lpad(array_position(array({_MONTHS}), lower({name})), 2, '0')"
-
-    fixed = (f"concat(substring({text}, 8, 4), '-', {month(f'substring({text}, 4, 3)')}, '-', left({text}, 2), "
-             f"'T', substring({text}, 13, 8), substring({text}, 22, 3), ':', right({text}, 2))")
-    clock = f"split(substring_index({text}, ' ', 1), '[/:]')"
-    offset = f"substring_index({text}, ' ', -1)"
-    zone = (f"CASE WHEN lower({offset}) = 'z' THEN '+00:00' "
-            f"WHEN length({offset}) = 5 THEN concat(left({offset}, 3), ':', right({offset}, 2)) "
-            f"WHEN length({offset}) = 3 THEN concat({offset}, ':00') ELSE {offset} END")
-    parts = {name: f"lpad({clock}[{i}], 2, '0')" for name, i in (("d", 0), ("h", 3), ("m", 4), ("s", 5))}
-    free = (f"concat({clock}[2], '-', {month(f'{clock}[1]')}, '-', {parts['d']}, 'T', {parts['h']}, ':', "
-            f"{parts['m']}, ':', {parts['s']}, {zone})")
-    layout = quoted(r"^\d{2}/[A-Za-z]{3}/\d{4}:\d{2}:\d{2}:\d{2} [+-]\d{4}$")
-    return f"CASE WHEN length({text}) = 26 AND {text} RLIKE {layout} THEN {fixed} ELSE {free} END"
+def time_parts(text: str) -> str:
+    """The texts of ``TIME_PARTS`` as an array, or NULL for another layout. The usual fixed layout is cut by position."""
+    cuts = ", ".join(f"substring({text}, {at}, {n})" for at, n in ((1, 2), (4, 3), (8, 4), (13, 2), (16, 2), (19, 2), (22, 1), (23, 2), (25, 2)))
+    return (f"CASE WHEN {text} RLIKE {quoted(_USUAL_TIME)} THEN array({cuts}, '') WHEN {text} RLIKE {quoted(_ANY_TIME)} "
+            f"THEN split(regexp_replace({text}, {quoted(_ANY_TIME)}, {quoted(_ANY_PARTS)}), '\\n') END")
+
+
+def _number(parts: str, name: str) -> str:
+    return f"coalesce(try_cast(trim({parts}[{TIME_PARTS.index(name)}]) AS INT), 0)"
+
+
+def _month(parts: str) -> str:
+    return f"CAST(array_position(array({_MONTHS}), lower({parts}[1])) AS INT)"
+
+
+def parse_time(parts: str) -> str:
+    """The instant of a ``time_parts`` column, or NULL without a valid date."""
+    day, year, hour, minute, second = (_number(parts, n) for n in ("day", "year", "hour", "minute", "second"))
+    offset = f"({_number(parts, 'offset_hour')} * 3600 + {_number(parts, 'offset_minute')} * 60 + {_number(parts, 'offset_second')})"
+    local = f"try_make_timestamp({year}, {_month(parts)}, {day}, {hour}, {minute}, {second}, 'UTC')"
+    return (f"CASE WHEN {year} > 0 THEN timestampadd(SECOND, IF({parts}[6] = '-', 1, -1) * {offset}, {local}) END")
+
+
+def iso_time(parts: str) -> str:
+    """ISO text in the original offset. The text, not the instant, is what alerts show and sort by."""
+    two = {n: f"lpad({_number(parts, n)}, 2, '0')" for n in TIME_PARTS}
+    zone = (f"CASE WHEN {parts}[6] = '' THEN '+00:00' ELSE concat({parts}[6], {two['offset_hour']}, ':', {two['offset_minute']}, "
+            f"CASE WHEN {_number(parts, 'offset_second')} > 0 THEN concat(':', {two['offset_second']}) ELSE '' END) END")
+    return (f"concat({parts}[2], '-', lpad({_month(parts)}, 2, '0'), '-', {two['day']}, 'T', {two['hour']}, ':', "
+            f"{two['minute']}, ':', {two['second']}, {zone})")
 
 
 def parse_size(text: str) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hedgewatch.functions import logline as ll
@@ -28,6 +28,12 @@ def _source_of(line: str) -> str:
     return f"CASE WHEN {line} IS NULL OR {ll.looks_like_nginx(line)} THEN 'nginx' ELSE 'apache' END"
 
 
+def source_of_line(spark: SparkSession, line: str | None) -> str:
+    """The format of one line; ``nginx`` without one."""
+    probe = spark.createDataFrame([(line,)], "value string")
+    return probe.selectExpr(_source_of("value")).first()[0]
+
+
 def split_fields(raw_lines: DataFrame, source: str = "auto") -> DataFrame:
     """``raw_lines`` plus ``raw_line`` (stripped), ``source`` and ``fields``.
 
@@ -52,16 +58,16 @@ def split_fields(raw_lines: DataFrame, source: str = "auto") -> DataFrame:
 def _typed(fields: DataFrame) -> DataFrame:
     """Typed columns from ``fields``; ``parsed`` says whether the line is valid."""
     f = {name: f"get(fields, {i})" for i, name in enumerate(ll.FIELDS)}
-    return fields.selectExpr(
+    return fields.selectExpr("*", f"{ll.time_parts(f['time'])} AS time_parts").selectExpr(
         "*",
-        f"{ll.parse_time(f['time'])} AS timestamp",
+        f"{ll.parse_time('time_parts')} AS timestamp",
         f"{ll.parse_size(f['size'])} AS response_size",
         f"try_cast({f['status']} AS INT) AS status_code",
     ).selectExpr(
         "*",
         f"size(fields) = {len(ll.FIELDS)} AND timestamp IS NOT NULL AND response_size IS NOT NULL "
         "AND coalesce(status_code BETWEEN 100 AND 599, false) AS parsed",
-        f"{ll.iso_time(f['time'])} AS ts_iso",
+        f"{ll.iso_time('time_parts')} AS ts_iso",
         f"{f['ip']} AS source_ip",
         f"upper({f['method']}) AS method",
         f"{ll.uri_path(f['uri'])} AS path",
@@ -80,7 +86,7 @@ LOG_COLUMNS = (
 
 def parse(raw_lines: DataFrame, source: str = "auto") -> DataFrame:
     """The normalized access log: one row per valid line. No shuffle."""
-    typed = _typed(split_fields(raw_lines, source)).drop("value", "fields")
+    typed = _typed(split_fields(raw_lines, source)).drop("value", "fields", "time_parts")
     decoded = decode_columns(typed, ["path", "query_string"], times=2)
     computed = [c for c in decoded.columns if c not in raw_lines.columns and c != "parsed"]
     once = with_columns_once(decoded, {c: F.col(c) for c in computed}, keep=F.col("parsed"))

@@ -21,13 +21,18 @@ from hedgewatch.functions.policy import (
     similarity_decision,
 )
 from hedgewatch.functions.verdict import confidence_value
+from hedgewatch.session import cut_lineage
 
 # ``embedder()`` is called once per partition and gives a function from a list
 # of texts to as many vectors.
 Embedder = Callable[[], Callable[[list[str]], list]]
 
 MAX_STORE_BYTES = 256 * 1024 * 1024
+# rows that meet a block of a store that is too large to broadcast
+ROWS_AT_ONCE = 8192
 BUCKET_LINES = 1_000_000
+# reason of a key that could not be embedded: it is asked for, and not admitted to the similarity entries
+LOOKUP_FAILED = "lookup_failed"
 CLASS = ["canonical_key", "context_type", "context_family"]
 
 
@@ -55,29 +60,45 @@ def with_verdict_policy(df: DataFrame) -> DataFrame:
 
 
 class HashedNgrams:
-    """Deterministic offline embedder: hashed character trigrams, unit length."""
+    """Deterministic offline embedder: counts of character trigrams by hash (the
+    first 28 bits of their MD5), unit length. ``embed_keys`` computes it in the JVM."""
 
     def __init__(self, dims: int = 256) -> None:
         self.dims = dims
 
+    def column(self, text: Column) -> Column:
+        padded = F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" "))
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda i: F.substring(padded, i, F.lit(3)))
+        places = F.transform(grams, lambda g: F.conv(F.left(F.md5(g), F.lit(7)), 16, 10).cast("int") % self.dims)
+        counts = F.aggregate(places, F.array_repeat(F.lit(0), self.dims), lambda acc, place: F.transform(
+            acc, lambda n, i: F.when(i == place, n + 1).otherwise(n)))
+        norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda total, n: total + n * n))
+        return F.transform(counts, lambda n: (n / norm).cast("float"))
+
     def __call__(self):
-        from zlib import crc32
+        from hashlib import md5
 
         def embed(texts: list[str]) -> list[np.ndarray]:
             out = np.zeros((len(texts), self.dims), dtype=np.float32)
             for row, text in enumerate(texts):
                 padded = f" {text} "
-                for i in range(len(padded) - 2):
-                    out[row, crc32(padded[i:i + 3].encode()) % self.dims] += 1
+                for i in range(max(1, len(padded) - 2)):
+                    out[row, int(md5(padded[i:i + 3].encode()).hexdigest()[:7], 16) % self.dims] += 1
             return list(out)
 
         return embed
 
 
-def embed_keys(keys: DataFrame, embedder: Embedder, truncate: int = config.EMBED_MAX_CHARS,
+def embed_keys(keys: DataFrame, embedder: Embedder, truncate: int | None = None,
                batch_size: int = config.EMBED_BATCH) -> DataFrame:
     """Add ``embedding`` (float32, unit length, a zero vector stays zero) to rows of
-    distinct ``canonical_key``. Only keys are embedded, in batches, in order."""
+    distinct ``canonical_key``. Only keys are embedded, in batches, in order, and whole;
+    ``truncate`` is for an embedder that takes no more characters (``config.EMBED_MAX_CHARS``
+    is a usual figure): keys that agree so far then count as one. A key whose embedding fails
+    has no vector; only that key is concerned."""
+    if isinstance(embedder, HashedNgrams):
+        key = F.col("canonical_key") if truncate is None else F.left("canonical_key", F.lit(truncate))
+        return keys.withColumn("embedding", embedder.column(key))
     kept = [f for f in keys.schema.fields if f.name != "embedding"]
     names = [f.name for f in kept]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", embedding array<float>"
@@ -85,31 +106,49 @@ def embed_keys(keys: DataFrame, embedder: Embedder, truncate: int = config.EMBED
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         embed = None
         for batch in batches:
-            embed = embed or embedder()
+            try:
+                embed = embed or embedder()
+            except Exception:  # no embedder, no vectors: the run goes on without similarity
+                embed = None
             texts = [t[:truncate] for t in batch["canonical_key"]]
             vectors = []
             for start in range(0, len(texts), batch_size):
-                for vector in embed(texts[start:start + batch_size]):
-                    vector = np.asarray(vector, dtype=np.float32)
-                    norm = np.linalg.norm(vector)
-                    vectors.append(vector / norm if norm > 0 else vector)
+                for vector in _vectors(embed, texts[start:start + batch_size]):
+                    if vector is not None:
+                        vector = np.asarray(vector, dtype=np.float32)
+                        norm = np.linalg.norm(vector)
+                        vector = vector / norm if norm > 0 else vector
+                    vectors.append(vector)
             yield batch[names].assign(embedding=vectors)
 
     return keys.mapInPandas(run, schema)
 
 
-def top1(df: DataFrame, entries: DataFrame) -> DataFrame:
+def _vectors(embed: Callable[[list[str]], list] | None, texts: list[str]) -> list:
+    """As many vectors as texts; None for a text whose embedding fails."""
+    try:
+        vectors = list(embed(texts))
+        if len(vectors) != len(texts):
+            raise ValueError("another number of vectors than texts")
+        return vectors
+    except Exception:  # told by the reason ``lookup_failed`` of the keys concerned
+        if len(texts) == 1:
+            return [None]
+        return [v for text in texts for v in _vectors(embed, [text])]
+
+
+def top1(df: DataFrame, entries: DataFrame, max_bytes: int = MAX_STORE_BYTES) -> DataFrame:
     """Add ``best_seq`` and ``similarity`` of the stored entry with the largest dot
     product (the oldest of equals), both NULL for an empty store.
 
-    The store is bounded by its own eviction, so its matrix is broadcast; its size
-    is checked first. One matrix product per Arrow batch.
+    A store of up to ``max_bytes`` of vectors is broadcast, one matrix product per
+    Arrow batch; a larger one meets the rows in blocks.
     """
     spark = df.sparkSession
     rows, dims = entries.select(
         F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
-    if rows * dims * 8 > MAX_STORE_BYTES:
-        raise ValueError(f"store of {rows} entries exceeds the broadcast bound; lower its max_size")
+    if rows * dims * 8 > max_bytes:
+        return _top1_in_blocks(df, entries, rows, max(1, max_bytes // (8 * dims)))
     stored = entries.select("seq", "embedding").orderBy("seq").toPandas()
     matrix = np.array(stored["embedding"].tolist(), dtype=np.float64)
     shared = spark.sparkContext.broadcast((stored["seq"].to_numpy(dtype=np.int64), matrix))
@@ -137,6 +176,29 @@ def top1(df: DataFrame, entries: DataFrame) -> DataFrame:
     return found if rows else found.withColumn("similarity", F.lit(None).cast("double"))
 
 
+def _top1_in_blocks(df: DataFrame, entries: DataFrame, stored: int, block: int) -> DataFrame:
+    """Blocks of rows meet blocks of the store; a row's best is the best of its blocks. Only vectors and row numbers are shuffled for it."""
+    kept = [c for c in df.columns if c not in ("best_seq", "similarity")]
+    rows = cut_lineage(df.select(*kept).withColumn("__row", F.monotonically_increasing_id()))
+    parts, groups = -(-stored // block), max(1, -(-rows.count() // ROWS_AT_ONCE))
+    asked = rows.select("__row", "embedding").selectExpr(
+        "__row", "embedding", f"pmod(xxhash64(__row), {groups}) AS g", f"explode(sequence(0, {parts - 1})) AS p")
+    known = entries.selectExpr("seq", "embedding", f"CAST(pmod(xxhash64(seq), {parts}) AS INT) AS p", f"explode(sequence(0L, {groups - 1}L)) AS g")
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"__row": pd.Series(dtype="int64"), "best_seq": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
+        right = right.sort_values("seq")
+        products = np.array(left["embedding"].tolist(), dtype=np.float64) @ np.array(right["embedding"].tolist(), dtype=np.float64).T
+        best = products.argmax(axis=1)
+        return pd.DataFrame({"__row": left["__row"].to_numpy(), "best_seq": right["seq"].to_numpy()[best], "similarity": products[np.arange(len(left)), best]})
+
+    found = asked.groupBy("g", "p").cogroup(known.groupBy("g", "p")).applyInPandas(meet, "__row bigint, best_seq bigint, similarity double")
+    best = found.groupBy("__row").agg(F.max(F.struct("similarity", (-F.col("best_seq")).alias("older"))).alias("best")).select(
+        "__row", (-F.col("best.older")).alias("best_seq"), F.col("best.similarity").alias("similarity"))
+    return rows.join(best, "__row", "left").select(*kept, "best_seq", "similarity")
+
+
 # --- lookup against a snapshot of the store -----------------------------------
 
 
@@ -162,8 +224,8 @@ def similarity_lookup(df: DataFrame, entries: DataFrame, has_context: bool = Tru
         F.col("seq").alias("best_seq"), F.col("attack_type").alias("cached_type"),
         F.col("rule_family").alias("cached_family"), F.col("confidence").alias("cached_confidence"),
         F.col("verdict").alias("near_verdict"))
-    # top1 has checked that the store fits
-    found = top1(df, entries).join(F.broadcast(near), "best_seq", "left")
+    # verdicts hold whole answers: their size is for the optimizer to judge
+    found = top1(df, entries).join(near, "best_seq", "left")
     context = F.col("context_type") if has_context else F.lit("unknown")
     family = F.col("context_family") if has_context else F.lit("unknown")
     decided = found.withColumn("__decision", F.when(F.col("best_seq").isNotNull(), similarity_decision(
@@ -182,13 +244,15 @@ def lookup_classes(classes: DataFrame, exact: DataFrame, entries: DataFrame, emb
     many contexts they occur in."""
     found = exact_lookup(classes, exact, has_context)
     open_keys = found.filter(~F.coalesce("exact_ok", F.lit(False))).select("canonical_key").distinct()
-    near = similarity_lookup(found.join(embed_keys(open_keys, embedder), "canonical_key"),
-                             entries, has_context)
+    embedded = cut_lineage(found.join(embed_keys(open_keys, embedder), "canonical_key"))
+    near = similarity_lookup(embedded.filter("embedding IS NOT NULL"), entries, has_context)
     nothing = {"best_seq": "bigint", "similarity": "double", "cached_type": "string", "reason": "string",
                "near_verdict": near.schema["near_verdict"].dataType, "embedding": "array<float>"}
     settled = found.join(open_keys, "canonical_key", "left_anti").withColumns({
         **{c: F.lit(None).cast(t) for c, t in nothing.items()}, "accepted": F.lit(False)})
-    return settled.unionByName(near)
+    failed = embedded.filter("embedding IS NULL").withColumns({
+        **{c: F.lit(None).cast(t) for c, t in nothing.items()}, "accepted": F.lit(False), "reason": F.lit(LOOKUP_FAILED)})
+    return settled.unionByName(near).unionByName(failed)
 
 
 def lookup_outcome(df: DataFrame) -> DataFrame:
@@ -198,7 +262,7 @@ def lookup_outcome(df: DataFrame) -> DataFrame:
     exact = F.coalesce("exact_ok", F.lit(False))
     stored_unfit = F.coalesce(~F.col("exact_ok"), F.lit(False))
     semantic = ~exact & F.col("accepted")
-    empty = F.col("reason") == "empty_cache"
+    empty = F.col("reason").isin("empty_cache", LOOKUP_FAILED)
     return df.withColumns({
         "hit_type": F.when(exact, "exact").when(semantic, "semantic").when(empty, "miss").otherwise("rejected"),
         "hit": exact | semantic,

@@ -9,15 +9,16 @@ from hedgewatch import config
 from hedgewatch.functions.text import non_empty
 
 
-def serving_text(columns: list[str]) -> Column:
-    """Text a request is scored on: path, then query, content and the head of the
-    user agent where not empty. Training uses a different text, see
+def serving_text(columns: list[str], agent_chars: int | None = None) -> Column:
+    """Text a request is scored on: path, then query, content and user agent where
+    not empty, whole by default; ``agent_chars`` keeps the agent's head only
+    (``config.SERVING_AGENT_CHARS`` is the usual figure). Training uses a different text, see
     ``operators.train.training_text``."""
     def part(name: str) -> Column:
         return non_empty(F.col(name)) if name in columns else F.lit(None).cast("string")
     return F.concat_ws(
         " ", F.coalesce(F.col("path"), F.lit("")), part("query_string"), part("content"),
-        F.left(part("user_agent"), F.lit(config.SERVING_AGENT_CHARS)))
+        part("user_agent") if agent_chars is None else F.left(part("user_agent"), F.lit(agent_chars)))
 
 
 def merged_score(rule_score: Column, content_score: Column) -> Column:

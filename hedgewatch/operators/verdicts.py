@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,7 +24,20 @@ USAGE = {"input_tokens": "bigint", "output_tokens": "bigint", "ttft_ms": "double
 ANSWER = "request string, raw string, " + ", ".join(f"{n} {t}" for n, t in USAGE.items())
 
 
-def with_event_summary(df: DataFrame, out: str = "event_summary") -> DataFrame:
+@dataclass(frozen=True)
+class Lengths:
+    """How much of an event a request text holds; None for all of it."""
+    text: int | None = None
+    agent: int | None = None
+    rules: int | None = None
+
+
+WHOLE = Lengths()
+#: For providers whose requests must stay short.
+SHORT = Lengths(config.SUMMARY_CHARS, config.SUMMARY_AGENT_CHARS, config.SUMMARY_RULES)
+
+
+def with_event_summary(df: DataFrame, out: str = "event_summary", lengths: Lengths = WHOLE) -> DataFrame:
     """Newline-joined ``name=value`` evidence of one event."""
     kept = [c for c in df.columns if c != out]
     staged = decode_columns(df.withColumns({
@@ -31,8 +45,9 @@ def with_event_summary(df: DataFrame, out: str = "event_summary") -> DataFrame:
         "__agent": F.coalesce("user_agent", F.lit("")),
     }), ["__path", "__query", "__agent"], times=2)
 
-    def short(name: str, limit: int) -> Column:
-        return F.left(F.regexp_replace(name, r"[\n\r]", " "), F.lit(limit))
+    def short(name: str, limit: int | None) -> Column:
+        whole = F.regexp_replace(name, r"[\n\r]", " ")
+        return whole if limit is None else F.left(whole, F.lit(limit))
 
     def line(label: str, value: Column) -> Column:
         return F.concat(F.lit(f"{label}="), value)
@@ -47,15 +62,15 @@ def with_event_summary(df: DataFrame, out: str = "event_summary") -> DataFrame:
     summary = F.concat_ws(
         "\n",
         line("method", F.col("method")),
-        line("path", short("__path", config.SUMMARY_CHARS)),
+        line("path", short("__path", lengths.text)),
         line("status", F.col("status_code").cast("string")),
         line("merged_score", score("merged_score")),
         line("rule_score", score("rule_score")),
         line("ml_score", score("ml_score")),
-        line("query", non_empty(short("__query", config.SUMMARY_CHARS))),
-        line("user_agent", non_empty(short("__agent", config.SUMMARY_AGENT_CHARS))),
+        line("query", non_empty(short("__query", lengths.text))),
+        line("user_agent", non_empty(short("__agent", lengths.agent))),
         line("rule_attack_types", joined(F.col("attack_types"))),
-        line("matched_rules", joined(F.slice("matched_rules", 1, config.SUMMARY_RULES))),
+        line("matched_rules", joined(F.col("matched_rules") if lengths.rules is None else F.slice("matched_rules", 1, lengths.rules))),
     )
     return staged.withColumn(out, summary).select(*kept, out)
 
@@ -73,27 +88,29 @@ def context_summary() -> Column:
     )
 
 
-def with_request(df: DataFrame) -> DataFrame:
+def with_request(df: DataFrame, lengths: Lengths = WHOLE) -> DataFrame:
     """Add ``event_summary``, ``context_summary`` and the ``request`` text."""
     rules = F.when(F.size("matched_rules") > 0, F.concat(
         F.lit("\n\nMatched Local Rules:\n"), list_literal(F.col("matched_rules")))
     ).otherwise(F.lit(""))
-    return with_event_summary(df).withColumn("context_summary", context_summary()).withColumn(
+    return with_event_summary(df, lengths=lengths).withColumn("context_summary", context_summary()).withColumn(
         "request", F.concat(F.lit("Event:\n"), F.col("event_summary"), F.lit("\n\nContext:\n"),
                             F.col("context_summary"), rules))
 
 
-def infer_verdicts(requests: DataFrame, provider: Provider) -> DataFrame:
+def infer_verdicts(requests: DataFrame, provider: Provider, at_once: int = 16) -> DataFrame:
     """One answer per row of ``requests(request, ...)``, columns kept.
 
     Calls have side effects and a retried task repeats them, so callers write or
-    checkpoint the result before they use it. A call that raises is a failed
-    answer, not a failed job.
+    checkpoint the result before they use it. Requests are sent in groups of
+    ``at_once``; a group that raises, or gets another number of answers, is sent again one by
+    one, so only the requests that fail have no answer. ``error`` tells why, also
+    where the provider could not be made (it is tried again with the next Arrow batch).
     """
     fields = list(USAGE)
-    kept = [f for f in requests.schema.fields if f.name not in ("raw", *fields)]
+    kept = [f for f in requests.schema.fields if f.name not in ("raw", "error", *fields)]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept]
-                       + ["raw string"] + [f"{n} {t}" for n, t in USAGE.items()])
+                       + ["raw string", "error string"] + [f"{n} {t}" for n, t in USAGE.items()])
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,12 +119,12 @@ def infer_verdicts(requests: DataFrame, provider: Provider) -> DataFrame:
             texts = batch["request"].tolist()
             try:
                 complete = complete or provider()
-                answers = complete(texts)
-            except Exception:  # whatever the provider raises, the job goes on
-                answers = [None] * len(texts)
-            answers = [a if isinstance(a, dict) else {"text": a} for a in answers]
+            except Exception as failure:  # told in ``error``, like a failed request
+                reason = f"no provider: {type(failure).__name__}: {failure}"
+            answers = [{"error": reason}] * len(texts) if complete is None else [a for i in range(0, len(texts), at_once) for a in _answers(complete, texts[i:i + at_once])]
             out = batch[names].copy()
             out["raw"] = [a.get("text") for a in answers]
+            out["error"] = pd.Series([a.get("error") for a in answers], index=out.index, dtype=object)
             for field in fields:
                 out[field] = pd.Series([a.get(field) for a in answers], index=out.index,
                                        dtype=object)
@@ -116,9 +133,22 @@ def infer_verdicts(requests: DataFrame, provider: Provider) -> DataFrame:
     return requests.mapInPandas(run, schema)
 
 
+def _answers(complete: Callable[[list[str]], list], texts: list[str]) -> list[dict]:
+    """As many answers as texts; one that failed has ``error`` and no text."""
+    try:
+        answers = list(complete(texts))
+        if len(answers) != len(texts):
+            raise ValueError(f"{len(answers)} answers to {len(texts)} requests")
+    except Exception as failure:  # whatever the provider raises, the job goes on
+        if len(texts) == 1:
+            return [{"error": f"{type(failure).__name__}: {failure}"}]
+        return [a for text in texts for a in _answers(complete, [text])]
+    return [a if isinstance(a, dict) else {"text": a} for a in answers]
+
+
 def parse_verdict(answers: DataFrame, out: str = "verdict") -> DataFrame:
     """``raw`` answers to the verdict struct; the fallback where there is none."""
     usage = {n: F.col(n) for n in USAGE if n in answers.columns}
-    kept = [c for c in answers.columns if c not in ("raw", out, *usage)]
+    kept = [c for c in answers.columns if c not in ("raw", "error", out, *usage)]
     staged = answers.withColumn("__answer", strip_fences(F.coalesce("raw", F.lit(""))))
     return with_columns_once(staged, {out: parsed_verdict(F.col("__answer"), usage)}).select(*kept, out)

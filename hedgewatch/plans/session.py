@@ -12,9 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hedgewatch import config
-from hedgewatch.functions import logline
 from hedgewatch.operators.detect import apply_rules
-from hedgewatch.operators.ingest import parse
+from hedgewatch.operators.ingest import parse, source_of_line
 from hedgewatch.operators.metrics import session_metrics
 from hedgewatch.operators.reuse import Embedder, with_context
 from hedgewatch.operators.score import merge_and_flag
@@ -70,11 +69,7 @@ def session_source(spark: SparkSession, path: str, source: str) -> str:
     """The format of a directory: that of its very first line."""
     if source != "auto":
         return source
-    line = first_line(spark, path)
-    if line is None:
-        return "nginx"
-    probe = spark.createDataFrame([(line,)], "value string")
-    return "nginx" if probe.selectExpr(logline.looks_like_nginx("value")).first()[0] else "apache"
+    return source_of_line(spark, first_line(spark, path))
 
 
 def run_session(spark: SparkSession, path: str, out: str, options: Options,

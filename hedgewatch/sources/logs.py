@@ -26,19 +26,26 @@ def log_files(spark: SparkSession, path: str) -> list[tuple[str, str]]:
             if regular and not name.startswith(".")]
 
 
+def refuse_hidden(spark: SparkSession, path: str, underscore: str = "error") -> None:
+    """Raise for log files that Spark's file sources would leave out without a word: in a directory names with a
+    leading underscore (a leading dot means "no log" there), of a single file both. ``underscore='skip'`` lets them be left out."""
+    if is_file(spark, path):
+        unseen = [name for name in (path.rstrip("/").rpartition("/")[2],) if name.startswith(("_", "."))]
+    else:
+        unseen = [name for name, _ in log_files(spark, path) if name.startswith("_")] if underscore == "error" else []
+    if unseen:
+        raise ValueError(f"Spark's file sources never read such names: {unseen[:5]}; "
+                         "rename them, or pass underscore='skip' to leave those of a directory out")
+
+
 def _scan(spark: SparkSession, path: str, underscore: str) -> DataFrame | None:
     """``value`` plus the split each line came from; None without any file."""
+    refuse_hidden(spark, path, underscore)
     if is_file(spark, path):
         reader = spark.read.text(path)
     else:
         children = listing(spark, path)
-        files = [c for c in children if c[2] and not c[0].startswith(".")]
-        unseen = [name for name, _, _ in files if name.startswith("_")]
-        if unseen and underscore == "error":
-            raise ValueError(
-                f"Spark's file sources never read names with a leading underscore: {unseen[:5]}; "
-                "rename them, or pass underscore='skip' to leave them out")
-        files = [c for c in files if not c[0].startswith("_")]
+        files = [c for c in children if c[2] and not c[0].startswith((".", "_"))]
         if not files:
             return None
         # A directory scan would also descend into key=value folders; list the
@@ -147,7 +154,7 @@ def number_lines(lines: DataFrame) -> LogScan:
 def first_line(spark: SparkSession, path: str, split_unicode_breaks: bool = True) -> str | None:
     """The first non-blank line in file-name order; reads only the head of the
     first file that has one."""
-    files = [full for _, full in log_files(spark, path)] or ([path] if is_file(spark, path) else [])
+    files = [path] if is_file(spark, path) else [full for name, full in log_files(spark, path) if not name.startswith("_")]
     for full in files:
         head = lines_of(spark.read.text(full), split_unicode_breaks).select("value").take(1)
         if head:
@@ -158,11 +165,13 @@ def first_line(spark: SparkSession, path: str, split_unicode_breaks: bool = True
 def parse_file(spark: SparkSession, path: str, source: str | None = None,
                max_lines: int | None = None) -> DataFrame:
     """The access log of one file. ``max_lines`` counts parsed rows."""
-    from hedgewatch.operators.ingest import SOURCES, ingest
+    from hedgewatch.operators.ingest import SOURCES, ingest, source_of_line
 
     if not is_file(spark, path):
         raise FileNotFoundError(f"Log file not found: {path}")
     if source is not None and source not in SOURCES:
         raise ValueError(f"Unsupported log source: {source}")
-    lines = read_logs(spark, path)
-    return ingest(lines, source or "auto", max_rows=max_lines)[0]
+    if source is None:  # from the head of the file, not by another scan
+        head = first_line(spark, path, split_unicode_breaks=False)
+        source = source_of_line(spark, head)
+    return ingest(read_logs(spark, path), source, max_rows=max_lines)[0]

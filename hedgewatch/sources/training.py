@@ -6,6 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hedgewatch.functions.text import strip_sql
 from hedgewatch.operators.train import binary_label, training_text
 
 EXAMPLE = ("method string, path string, query string, query_string string, content string, "
@@ -13,9 +14,23 @@ EXAMPLE = ("method string, path string, query string, query_string string, conte
 
 
 def read_training(spark: SparkSession, path: str) -> DataFrame:
-    """``(id, text, label)`` from JSON lines, one object per non-blank line."""
-    rows = spark.read.schema(EXAMPLE).json(path)
-    return examples(rows)
+    """``(id, text, label)`` from JSON lines, one object per non-blank line. A line that is no JSON object stops the
+    job, as does a label that is no whole number; a label may be written as text, number or boolean."""
+    lines = spark.read.text(path).where(f"{strip_sql('value')} <> ''")
+    return examples(parse_examples(lines))
+
+
+def parse_examples(lines: DataFrame) -> DataFrame:
+    """``value`` as JSON objects with the fields of ``EXAMPLE``; strict."""
+    parsed = lines.select("value", F.from_json("value", EXAMPLE.replace("label int", "label string") + ", _broken string",
+                                               {"columnNameOfCorruptRecord": "_broken"}).alias("row"))
+    whole = F.col("value").rlike(r"^\s*\{") & F.col("row").isNotNull() & F.col("row._broken").isNull()
+    text = F.lower(F.trim("row.label"))
+    label = F.when(text == "true", 1).when(F.coalesce(text, F.lit("")).isin("false", ""), 0).otherwise(text.try_cast("double").cast("int"))
+    fail = lambda message: F.raise_error(F.concat(F.lit(message), F.left("value", F.lit(200))))
+    names = [c.split(" ")[0] for c in EXAMPLE.split(", ") if not c.startswith("label")]
+    row = F.when(~whole, fail("not a JSON object: ").cast("int")).otherwise(F.coalesce(label, fail("not a label: ").cast("int")))
+    return parsed.select(*[F.col(f"row.{n}").alias(n) for n in names], row.alias("label"))
 
 
 def examples(rows: DataFrame) -> DataFrame:

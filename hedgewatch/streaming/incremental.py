@@ -14,12 +14,14 @@ from hedgewatch.operators.search import upsert
 from hedgewatch.plans.session import Options, detect, resolve, session_source
 from hedgewatch.session import checkpoint_dir
 from hedgewatch.sources.files import exists, listing
-from hedgewatch.sources.logs import lines_of, number_lines
+from hedgewatch.sources.logs import lines_of, number_lines, refuse_hidden
 from hedgewatch.sources.verdict_store import write_store
 
 
 def stream_lines(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """Lines of a directory as a stream; each file is read once."""
+    """Lines of a directory as a stream; each file is read once. Names that the source
+    would leave out raise here, and for files that arrive later when a batch runs."""
+    refuse_hidden(spark, path)
     reader = spark.readStream.format("text").option("latestFirst", "false")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
@@ -40,6 +42,7 @@ def run_incremental(spark: SparkSession, path: str, out: str, checkpoint: str, o
 
     def batch(lines: DataFrame, batch_id: int) -> None:
         session = lines.sparkSession
+        refuse_hidden(session, path)
         scan = number_lines(lines)
         numbered = scan.lines.withColumn(
             "line_number", F.col("line_number") + F.lit(_lines_before(session, out, batch_id)))
@@ -124,6 +127,15 @@ def stream_upsert(alerts: DataFrame, out: str, checkpoint: str) -> StreamingQuer
             .trigger(availableNow=True).start())
 
 
+def latest_upsert(spark: SparkSession, out: str) -> DataFrame:
+    """The newest finished version that ``stream_upsert`` wrote."""
+    versions = [int(name[8:]) for name, full, regular in listing(spark, out)
+                if not regular and name.startswith("version=") and exists(spark, f"{full}/_SUCCESS")]
+    if not versions:
+        raise FileNotFoundError(f"no finished version in {out}")
+    return spark.read.parquet(f"{out}/version={max(versions)}")
+
+
 def stream_progress(spark: SparkSession, out: str) -> DataFrame:
     """``(batch, lines, processed)`` of the finished batches of an incremental run."""
     counts = spark.read.option("basePath", f"{out}/counts").parquet(f"{out}/counts/batch=*")

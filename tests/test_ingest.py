@@ -49,8 +49,8 @@ def test_rejected_lines_and_rate(spark):
     good = f'1.1.1.1 - - {TIME} "GET / HTTP/1.1" 200 1 "-" "u" "-"'
     bad = (
         "free text",
-        "#Fields: date time",
-        "2024-03-13 14:23:45 192.168.1.1 GET /default.aspx - 80 - 10.0.0.50 x - 200 0 0 125",
+        "#Software: some exporter",
+        "2023-07-01T08:00:00Z host7 PUT /inbox/41 204 17ms",
         f'1.1.1.1 - - {TIME} "GET / HTTP/1.1" 999 1 "-" "u"',
         f'1.1.1.1 - - {TIME} "GET / HTTP/1.1" 099 1 "-" "u"',
         '1.1.1.1 - - [22/Jan/2019:04:01:00] "GET / HTTP/1.1" 200 1',
@@ -70,6 +70,11 @@ def test_rejected_lines_and_rate(spark):
     ("1/jan/2019:4:1:0 Z", "2019-01-01T04:01:00+00:00"),
     ("10/Oct/2024:13:55:36 -07:00", "2024-10-10T13:55:36-07:00"),
     ("31/Dec/2024:23:59:59 +0000", "2024-12-31T23:59:59+00:00"),
+    ("22/Jan/2019:04:01:00 +033015", "2019-01-22T04:01:00+03:30:15"),
+    ("22/Jan/2019:04:01:00 -03:30:15", "2019-01-22T04:01:00-03:30:15"),
+    ("22/Jan/2019:04:01:00 +1900", "2019-01-22T04:01:00+19:00"),
+    ("22/JAN/2019:04:01:00  +0330", "2019-01-22T04:01:00+03:30"),
+    (" 2/feb/2020:4:01:9 Z", "2020-02-02T04:01:09+00:00"),
 ])
 def test_time_layouts(spark, text, iso):
     row = parsed(spark, f'1.1.1.1 - - [{text}] "GET / HTTP/1.1" 200 1', source="apache")[1]
@@ -144,3 +149,47 @@ def test_single_file(spark, tmp_path):
         logs.parse_file(spark, str(tmp_path / "none.log"))
     with pytest.raises(ValueError):
         logs.parse_file(spark, str(file), source="iis")
+
+
+@pytest.mark.parametrize("text", [
+    "22/Jan/2019:04:01:00 +03", "22/Jan/2019:04:01:00 z", "022/Jan/2019:04:01:00 +0330", "22/Jan/2019:04:01:00 +2400",
+    "22/Jan/2019:04:01:60 +0330", "31/Feb/2019:04:01:00 +0330", "22/Jän/2019:04:01:00 +0330", "22/Jan/0000:04:01:00 +0330",
+    "22/Jan/2019:04:01:00 +03:3015", "22/Jan/2019:04:01:00+0330", "22/Jan/19:04:01:00 +0330", "22/Jan/2019:24:01:00 +0330"])
+def test_times_of_another_layout(spark, text):
+    assert not parsed(spark, f'1.1.1.1 - - [{text}] "GET / HTTP/1.1" 200 1', source="apache")
+
+
+def test_times_as_the_standard_library_reads_them(spark):
+    from datetime import UTC, datetime
+
+    offsets = ["+0330", "-07:00", "Z", "z", "+033015", "+03:30:15", "+1900", "+03", " +0100", "+2359"]
+    texts = [f"{d}/{m}/2020:{h}:5:{s} {o}" for d in ("1", "09", "31", "32") for m in ("Feb", "dec", "Xyz") for h in ("0", "23", "24")
+             for s in ("7", "59", "61") for o in offsets]
+    found = parsed(spark, *[f'1.1.1.1 - - [{t}] "GET / HTTP/1.1" 200 1' for t in texts], source="apache")
+    for i, text in enumerate(texts, 1):
+        try:
+            expected = datetime.strptime(text, "%d/%b/%Y:%H:%M:%S %z")
+        except ValueError:
+            assert i not in found, text
+        else:
+            assert found[i]["ts_iso"] == expected.isoformat(), text
+            assert found[i]["timestamp"] == expected.astimezone(UTC).replace(tzinfo=None), text
+
+
+@pytest.mark.parametrize("name", ["_access.log", ".access.log"])
+def test_hidden_names_never_vanish(spark, tmp_path, name):
+    from hedgewatch.streaming.incremental import stream_lines
+
+    line = f'1.1.1.1 - - {TIME} "GET / HTTP/1.1" 200 1\n'
+    (tmp_path / "a.log").write_text(line)
+    hidden = tmp_path / name
+    hidden.write_text(line)
+    with pytest.raises(ValueError, match="never read"):
+        logs.parse_file(spark, str(hidden))
+    if name.startswith("_"):  # a dot says "no log" in a directory
+        for read in (logs.read_logs, stream_lines):
+            with pytest.raises(ValueError, match="never read"):
+                read(spark, str(tmp_path))
+    else:
+        assert logs.read_logs(spark, str(tmp_path)).count() == 1
+    assert logs.read_logs(spark, str(tmp_path), underscore="skip").count() == 1

@@ -3,6 +3,7 @@ import math
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from hedgewatch.operators import score, tfidf, train
@@ -54,6 +55,8 @@ def test_texts(spark):
     df = spark.createDataFrame([("GET", "/p", None, "q2", "", "u" * 200, "0", "404")],
                                "method string, path string, query string, query_string string, content string, user_agent string, status string, status_code string")
     row = df.select(train.training_text(df.columns).alias("t"), score.serving_text(df.columns).alias("s")).first()
+    assert row["t"] == f"GET /p q2  {'u' * 200} 404" and row["s"] == f"/p q2 {'u' * 200}"
+    row = df.select(train.training_text(df.columns, 160).alias("t"), score.serving_text(df.columns, 100).alias("s")).first()
     assert row["t"] == f"GET /p q2  {'u' * 160} 404" and row["s"] == f"/p q2 {'u' * 100}"
     empty = spark.createDataFrame([(None,)], "method string")
     assert empty.select(train.training_text(empty.columns)).first()[0] == " " * 5
@@ -116,3 +119,17 @@ def test_train_save_load_score(spark, tmp_path):
     log = spark.createDataFrame([(1, "/p/1", "q=union select"), (2, "/p/2", "page=7")], "line_number bigint, path string, query_string string")
     got = {r["line_number"]: r["ml_score"] for r in train.score(log, loaded).collect()}
     assert got[1] > 0.5 > got[2]
+
+
+@pytest.mark.parametrize("line", ['{"path": "/a"', "[1]", "nothing", '{"path": "/a", "label": "often"}', '"text"'])
+def test_broken_training_lines_stop_the_job(spark, tmp_path, line):
+    (tmp_path / "t.jsonl").write_text('{"path": "/ok", "label": 1}\n\n' + line + "\n")
+    with pytest.raises(Exception, match="not a (JSON object|label)"):
+        training.read_training(spark, str(tmp_path / "t.jsonl")).collect()
+
+
+def test_labels_as_text_number_and_boolean(spark, tmp_path):
+    labels = ["1", '"1"', "true", "0", '"0"', "false", "null", "3", "1.0", '""']
+    (tmp_path / "t.jsonl").write_text("".join(f'{{"path": "/{i}", "label": {v}}}\n' for i, v in enumerate(labels)) + '{"path": "/none"}\n')
+    rows = {r["text"].split()[0]: r["label"] for r in training.read_training(spark, str(tmp_path / "t.jsonl")).collect()}
+    assert [rows[f"/{i}"] for i in range(len(labels))] == [1, 1, 1, 0, 0, 0, 0, 1, 1, 0] and rows["/none"] == 0

@@ -257,13 +257,58 @@ def test_previous_in_key_across_buckets(spark):
         last[key] = value
 
 
-def test_embedding_is_unit_length_and_truncated(spark):
+def test_embedding_is_unit_length_and_truncated_on_demand(spark):
     df = spark.createDataFrame([("a" * 700,), ("zero",)], "canonical_key string")
 
     def embedder():
         return lambda texts: [[0.0, 0.0] if t == "zero" else [float(len(t) == 512), 3.0] for t in texts]
 
-    got = {r["canonical_key"][:4]: r["embedding"] for r in reuse.embed_keys(df, embedder).collect()}
+    whole = {r["canonical_key"][:4]: r["embedding"] for r in reuse.embed_keys(df, embedder).collect()}
+    assert np.allclose(whole["aaaa"], [0, 1])
+    got = {r["canonical_key"][:4]: r["embedding"] for r in reuse.embed_keys(df, embedder, truncate=512).collect()}
     assert np.allclose(got["aaaa"], np.array([1, 3]) / np.sqrt(10)) and got["zero"] == [0.0, 0.0]
     fixed = reuse.HashedNgrams(16)()
     assert np.array_equal(fixed(["abc"])[0], fixed(["abc"])[0]) and len(fixed(["abc"])[0]) == 16
+
+
+def test_large_stores_meet_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    stored, asked = rng.integers(-3, 4, (60, 5)).astype(float), rng.integers(-3, 4, (90, 5)).astype(float)
+    entries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(stored)], "seq bigint, embedding array<float>")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "id bigint, embedding array<float>")
+    monkeypatch.setattr(reuse, "ROWS_AT_ONCE", 25)
+    small = sorted(map(tuple, reuse.top1(df, entries).select("id", "best_seq", "similarity").collect()))
+    blocks = sorted(map(tuple, reuse.top1(df, entries, max_bytes=7 * 8 * 5).select("id", "best_seq", "similarity").collect()))
+    assert small == blocks
+    assert blocks == [(i, int((stored @ v).argmax()), float((stored @ v).max())) for i, v in enumerate(asked)]
+
+
+def test_hashed_ngrams_alike_in_both_forms(spark):
+    keys = ["", "a", "GET|/p/{num}|q=é", "x" * 700]
+    df = spark.createDataFrame([(k,) for k in keys], "canonical_key string")
+    column = {r[0]: r[1] for r in reuse.embed_keys(df, reuse.HashedNgrams(16)).collect()}
+    called = {r[0]: r[1] for r in reuse.embed_keys(df, lambda: reuse.HashedNgrams(16)()).collect()}
+    for k in keys:
+        assert np.allclose(column[k], called[k], atol=1e-6)
+    far = spark.createDataFrame([("x" * 600 + "abc",), ("x" * 600 + "zyw",)], "canonical_key string")
+    a, b = (r[1] for r in reuse.embed_keys(far, reuse.HashedNgrams(16)).collect())
+    assert a != b  # keys are embedded whole
+
+
+def test_failing_embeddings_are_misses(spark):
+    from hedgewatch.functions.verdict import VERDICT
+    from hedgewatch.sources.verdict_store import ENTRIES, EXACT
+
+    def embedder():
+        def embed(texts):
+            if any("bad" in t for t in texts):
+                raise ValueError("cannot embed")
+            return reuse.HashedNgrams(16)()(texts)
+        return embed
+
+    assert VERDICT and EXACT
+    classes = spark.createDataFrame([("good", "sqli", "sqli"), ("bad", "sqli", "sqli"), ("fine", "xss", "xss")], "canonical_key string, context_type string, context_family string")
+    found = reuse.lookup_classes(classes, spark.createDataFrame([], EXACT), spark.createDataFrame([], ENTRIES), embedder)
+    rows = {r["canonical_key"]: r for r in reuse.lookup_outcome(found).collect()}
+    assert {k: r["reason"] for k, r in rows.items()} == {"good": "empty_cache", "fine": "empty_cache", "bad": "lookup_failed"}
+    assert {r["hit_type"] for r in rows.values()} == {"miss"} and rows["bad"]["embedding"] is None and rows["good"]["embedding"] is not None

@@ -43,9 +43,15 @@ def event(spark, n=1):
 
 def test_request_text(spark):
     row = verdicts.with_request(event(spark)).first()
-    assert row["event_summary"] == "\n".join([
-        "method=GET", "path=/aA b", "status=404", f"merged_score={0.7735:.3f}", "rule_score=0.450", "ml_score=0.910",
-        "query=q='", "rule_attack_types=sqli,xss", "matched_rules=r0,r1,r2,r3,r4,r5,r6,r7"])
+    short = verdicts.with_request(event(spark), verdicts.SHORT).first()
+    for summary, rules in ((row["event_summary"], "r0,r1,r2,r3,r4,r5,r6,r7,r8,r9"), (short["event_summary"], "r0,r1,r2,r3,r4,r5,r6,r7")):
+        assert summary == "\n".join([
+            "method=GET", "path=/aA b", "status=404", f"merged_score={0.7735:.3f}", "rule_score=0.450", "ml_score=0.910",
+            "query=q='", "rule_attack_types=sqli,xss", f"matched_rules={rules}"])
+    long = event(spark).withColumns({"path": F.lit("/" + "p" * 300), "user_agent": F.lit("u" * 300)})
+    assert "p" * 300 in verdicts.with_request(long).first()["request"] and "u" * 300 in verdicts.with_request(long).first()["request"]
+    cut = verdicts.with_request(long, verdicts.SHORT).first()["request"]
+    assert "path=/" + "p" * 179 + "\n" in cut and "user_agent=" + "u" * 120 + "\n" in cut
     assert row["context_summary"].splitlines()[2:] == ["source=apache", "rule_attack_types=sqli,xss", "matched_rule_count=10"]
     assert row["request"].endswith("Matched Local Rules:\n" + str([f"r{i}" for i in range(10)]))
     plain = verdicts.with_request(event(spark).withColumns({
@@ -170,3 +176,29 @@ def test_documents_round_scores_and_keep_nulls(spark):
     doc = json.loads(alerts.alerts_json(t).first()["json"])
     assert (doc["merged_score"], doc["rule_score"], doc["cache_similarity"], doc["query_string"]) == (0.1235, 0.9877, None, None)
     assert "input_tokens" not in doc and doc["analysis"]["attack_type"] == "sqli"
+
+
+def test_only_failing_requests_fall_back(spark):
+    from hedgewatch.operators.verdicts import infer_verdicts
+
+    def provider():
+        def complete(texts):
+            if any("bad" in t for t in texts):
+                raise ValueError("bad one")
+            return texts[:1] if len(texts) == 3 else [t.upper() for t in texts]
+        return complete
+
+    requests = spark.createDataFrame([(f"{'bad' if i % 10 == 0 else 'good'} {i}",) for i in range(43)], "request string").coalesce(1)
+    rows = infer_verdicts(requests, provider, at_once=4).collect()
+    assert {r["request"] for r in rows if r["raw"] is None} == {f"bad {i}" for i in range(0, 43, 10)}
+    assert all(r["raw"] == r["request"].upper() and r["error"] is None for r in rows if r["raw"])
+    assert {r["error"] for r in rows if r["raw"] is None} == {"ValueError: bad one"}
+
+
+def test_provider_that_cannot_be_made_is_told(spark):
+    from hedgewatch.operators.verdicts import infer_verdicts
+
+    def failing():
+        raise OSError("no key")
+    (row,) = infer_verdicts(spark.createDataFrame([("x",)], "request string"), failing).collect()
+    assert (row["raw"], row["error"]) == (None, "no provider: OSError: no key")
