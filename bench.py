@@ -23,6 +23,7 @@ HEADLINE = (
     "canonical_key_log", "canonical_key_pages", "nearest_entry", "exact_lookup",
     "batch_exact_hits", "verdict_parsing", "search_free_text", "page_by_score",
     "session_metrics", "latency_p95", "tfidf_vocabulary", "threshold_sweep", "session_run",
+    "batch_reuse_replay", "incremental_run",
 )
 
 

@@ -140,7 +140,7 @@ def _vector_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("vec_id") % 2 == 0, F.lit("xss")).otherwise(F.col("context_type")).alias("context_family"))
 
 
-_VECTOR_REQUESTS = f"""SELECT vec_id, embedding, context_type,
+_VECTOR_REQUESTS = f"""SELECT *, has_exact AND {compatible('context_type', 'exact_type')} AS exact_ok FROM (SELECT vec_id, embedding, context_type,
     CASE WHEN vec_id % 2 = 0 THEN 'xss' ELSE context_type END AS context_family
   FROM (SELECT vec_id, embedding::DOUBLE[] AS embedding, {context_type(f"[({list(_TYPES)})[label + 1]]")} AS context_type
         FROM embeddings WHERE label >= 5)"""
@@ -317,6 +317,45 @@ def lookup_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.join(outcomes, reuse.CLASS).select("line_number", "hit_type", "hit", "reason", "rejects")
 
 
+_REQUESTS = f"""SELECT *, has_exact AND {compatible('context_type', 'exact_type')} AS exact_ok FROM (SELECT vec_id, array_to_string(embedding, ',') AS canonical_key, label % 5 = vec_id % 5 AS has_exact,
+    ({list(_TYPES)})[vec_id * 3 % {len(_TYPES)} + 1] AS exact_type, {context_type(f"[({list(_TYPES)})[label + 1]]")} AS context_type,
+    embedding::DOUBLE[] AS embedding, ({list(_TYPES)})[label + 1] AS attack_type, (vec_id * 7 % 100) / 100.0::DOUBLE AS confidence FROM embeddings)"""
+
+
+def _vector_of_key():
+    """The vector that a key spells out."""
+    return lambda keys: [[float(x) for x in key.split(",")] for key in keys]
+
+
+@register("lookup_all_outcomes", statement(
+    f"""SELECT vec_id, hit_type, hit_type IN ('exact', 'semantic') AS hit,
+      CASE WHEN hit_type = 'exact' THEN 'exact_canonical_key' ELSE near_reason END AS reason,
+      CASE WHEN has_exact AND NOT exact_ok THEN 1 ELSE 0 END + CASE WHEN hit_type = 'rejected' THEN 1 ELSE 0 END AS rejects
+    FROM (SELECT *, CASE WHEN exact_ok THEN 'exact' WHEN accepted THEN 'semantic' ELSE 'rejected' END AS hit_type
+      FROM (SELECT r.vec_id, r.has_exact, r.exact_ok,
+          {decision("e.attack_type", "e.attack_type", "e.confidence", "n.similarity", "r.context_type", "r.context_type")[0]} AS accepted,
+          {decision("e.attack_type", "e.attack_type", "e.confidence", "n.similarity", "r.context_type", "r.context_type")[1]} AS near_reason
+        FROM requests r JOIN nearest n USING (vec_id) JOIN requests e ON e.vec_id = n.best_seq))""", extra={"requests": _REQUESTS, "nearest": """
+        SELECT r.vec_id, arg_max(e.vec_id, {'s': list_dot_product(r.embedding, e.embedding), 'q': -e.vec_id}) AS best_seq,
+          max(list_dot_product(r.embedding, e.embedding)) AS similarity
+        FROM requests r, requests e WHERE e.vec_id % 3 > 0 GROUP BY r.vec_id"""}))
+def lookup_all_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as a request against a store of exact verdicts and of two thirds of the vectors: stored ones meet
+    themselves, the others their nearest, so that exact, semantic and rejected outcomes all occur."""
+    rows = cut_lineage(_with_type(inputs.table(spark, sf_dir, "embeddings"), "attack_type").withColumns({
+        "canonical_key": F.array_join(F.col("embedding").cast("array<string>"), ","),
+        "context_type": policy.context_type(F.array("attack_type")),
+        "exact_type": F.get(F.array(*[F.lit(t) for t in _TYPES]), (F.col("vec_id") * 3 % len(_TYPES)).cast("int"))}))
+    kind = lambda column: F.struct(*[(F.col(column) if f.name == "attack_type" else F.lit(None)).cast(f.dataType).alias(f.name) for f in VERDICT.fields])
+    exact = rows.filter("label % 5 = vec_id % 5").select("canonical_key", kind("exact_type").alias("verdict"))
+    entries = rows.filter("vec_id % 3 > 0").select(
+        "canonical_key", "embedding", kind("attack_type").alias("verdict"), "attack_type", F.col("attack_type").alias("rule_family"),
+        ((F.col("vec_id") * 7 % 100) / 100.0).alias("confidence"), F.col("vec_id").alias("seq"))
+    classes = rows.select("vec_id", "canonical_key", "context_type", F.col("context_type").alias("context_family"))
+    found = reuse.lookup_outcome(reuse.lookup_classes(classes, exact, entries, _vector_of_key))
+    return found.select("vec_id", "hit_type", "hit", "reason", "rejects")
+
+
 @register("reuse_statistics", statement(
     f"""SELECT count(*) AS lookups, count(*) FILTER (WHERE ok) AS hits,
       count(*) FILTER (WHERE cached_type IS NOT NULL AND NOT ok) AS semantic_rejects,

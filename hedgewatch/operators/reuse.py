@@ -352,6 +352,14 @@ def _island_states(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[["canonical_key", "bucket", "island"]].assign(state=states[:-1])
 
 
+def join_dealt(events: DataFrame, few: DataFrame, keys: list[str], bucket_lines: int = BUCKET_LINES) -> DataFrame:
+    """Inner join of events with ``few`` (at most one row per key) that never brings all events of a key
+    together: both sides meet per (key, bucket of lines), after ``few`` has been given the buckets its keys occur in."""
+    dealt = events.withColumn("__bucket", F.floor(F.col("line_number") / bucket_lines))
+    cells = dealt.select(*keys, "__bucket").distinct().join(few, keys)
+    return dealt.join(cells, [*keys, "__bucket"]).drop("__bucket")
+
+
 def number_classes(classes: DataFrame) -> DataFrame:
     """Add ``class_no``, the rank of a class by ``first_line`` within its key, and
     ``mixed``, whether the key has several. Classes per key are attack types times
@@ -385,8 +393,8 @@ def fold_reuse(events: DataFrame, classes: DataFrame, bucket_lines: int = BUCKET
         "accepted": F.coalesce("accepted", F.lit(False)),
     })
     kept = events.columns
-    tagged = events.join(known.select(
-        *CLASS, "class_no", "mixed", "first_line", "exact_ok", "accepted", "verdict_type"), CLASS)
+    tagged = join_dealt(events, known.select(
+        *CLASS, "class_no", "mixed", "first_line", "exact_ok", "accepted", "verdict_type"), CLASS, bucket_lines)
     again = exact_compatible(F.col("context_type"), F.col("verdict_type"))
 
     asks = ~F.col("exact_ok") & ~F.col("accepted")
@@ -414,8 +422,9 @@ def fold_reuse(events: DataFrame, classes: DataFrame, bucket_lines: int = BUCKET
         F.transform("every", lambda s: F.transform(F.col("every"), lambda c: next_state(
             exact_compatible(c["context_type"], s["verdict_type"]), s["class_no"], c))),
     )
-    islands = starts.filter("starts").select("canonical_key", "bucket", "island", "class_no").join(
-        every.select("canonical_key", step.alias("step")), "canonical_key")
+    first = starts.filter("starts").select("canonical_key", "bucket", "island", "class_no")
+    steps = first.select("canonical_key", "bucket").distinct().join(every.select("canonical_key", step.alias("step")), "canonical_key")
+    islands = first.join(steps, ["canonical_key", "bucket"])
     ends = islands.groupBy("canonical_key", "bucket").applyInPandas(
         _bucket_transitions, "canonical_key string, bucket bigint, ends array<int>")
     entries = ends.groupBy("canonical_key").applyInPandas(

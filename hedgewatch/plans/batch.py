@@ -12,7 +12,7 @@ from hedgewatch.functions.policy import attack_type_name
 from hedgewatch.functions.verdict import fallback_verdict
 from hedgewatch.operators.alerts import build_alerts
 from hedgewatch.operators.reuse import (
-    BUCKET_LINES, CLASS, Embedder, HashedNgrams, admit_entries, admit_exact, count_hits,
+    BUCKET_LINES, CLASS, Embedder, HashedNgrams, admit_entries, admit_exact, count_hits, join_dealt,
     fold_reuse, lookup_classes, number_classes, with_context,
 )
 from hedgewatch.operators.verdicts import Provider, infer_verdicts, parse_verdict, with_request
@@ -75,7 +75,7 @@ def with_reuse(flagged: DataFrame, exact: DataFrame, entries: DataFrame,
         "exact_type", "near_verdict", "similarity", "cached_type", "reason", "embedding",
         "best_seq")
     used = F.when(F.col("state") > 0, F.col("state")).otherwise(F.col("class_no"))
-    resolved = folded.withColumn("used", used).join(source, ["canonical_key", "used"])
+    resolved = join_dealt(folded.withColumn("used", used), source, ["canonical_key", "used"], bucket_lines)
 
     stored = (F.col("outcome") == "exact") & (F.col("state") == 0)
     is_exact, is_near = F.col("outcome") == "exact", F.col("outcome") == "semantic"

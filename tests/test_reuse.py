@@ -312,3 +312,19 @@ def test_failing_embeddings_are_misses(spark):
     rows = {r["canonical_key"]: r for r in reuse.lookup_outcome(found).collect()}
     assert {k: r["reason"] for k, r in rows.items()} == {"good": "empty_cache", "fine": "empty_cache", "bad": "lookup_failed"}
     assert {r["hit_type"] for r in rows.values()} == {"miss"} and rows["bad"]["embedding"] is None and rows["good"]["embedding"] is not None
+
+
+def test_a_hot_key_is_dealt_over_buckets(spark):
+    """One key with half the rows meets its class in many groups, not in one."""
+    events = spark.range(2000).selectExpr("id AS line_number", "IF(id % 2 = 0, 'hot', concat('k', id % 50)) AS canonical_key")
+    few = events.select("canonical_key").distinct().selectExpr("canonical_key", "length(canonical_key) AS n")
+    joined = reuse.join_dealt(events, few, ["canonical_key"], bucket_lines=100)
+    assert joined.count() == 2000 and joined.where("n <> length(canonical_key)").isEmpty()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = reuse.join_dealt(events, few, ["canonical_key"], bucket_lines=100)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    import re
+    with_lines = [p for p in re.findall(r"hashpartitioning\(([^)]*)\)", plan) if "__bucket" in p]
+    assert with_lines  # the events' side is dealt by key and bucket
