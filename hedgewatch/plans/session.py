@@ -89,7 +89,9 @@ def run_session(spark: SparkSession, path: str, out: str, options: Options,
     started = time.time()
     scan = scan_logs(spark, path)
     source = session_source(spark, path, options.source)
-    files, total = scan.files(), scan.total()
+    total = scan.total()
+    # one array for the session's row; the names never pass through the driver or the plan
+    files = scan.splits.agg(F.sort_array(F.collect_set("file_name")).alias("input_files"))
     detect(spark, scan.lines, source, options).write.mode("overwrite").parquet(folder("flagged"))
     flagged = spark.read.parquet(folder("flagged"))
 
@@ -101,13 +103,13 @@ def run_session(spark: SparkSession, path: str, out: str, options: Options,
 
     metrics = session_metrics(None, alerts, total).withColumns({
         "use_cache": F.lit(options.use_reuse), "source": F.lit(source), "input_dir": F.lit(path),
-        "input_files": F.array(*[F.lit(f) for f in files]).cast("array<string>"),
+        "input_files": files.scalar(),
         "elapsed_s": F.lit(time.time() - started)})
     metrics.coalesce(1).write.mode("overwrite").parquet(folder("metrics"))
     session = spark.createDataFrame(
-        [("done" if total else "idle", total, total, options.use_reuse,
-          ", ".join(files) or None, files, path, source, started)],
-        "status string, progress bigint, total_lines bigint, use_cache boolean, filename string, "
-        "input_files array<string>, input_dir string, source string, created_at double")
+        [("done" if total else "idle", total, total, options.use_reuse, path, source, started)],
+        "status string, progress bigint, total_lines bigint, use_cache boolean, "
+        "input_dir string, source string, created_at double").withColumn("input_files", files.scalar()).withColumn(
+        "filename", F.nullif(F.array_join("input_files", ", "), F.lit("")))
     session.coalesce(1).write.mode("overwrite").parquet(folder("sessions"))
     return session_id

@@ -21,6 +21,12 @@ def is_file(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop_path) and fs.getFileStatus(hadoop_path).isFile()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder that this package wrote itself; nothing happens without one."""
+    hadoop_path, fs = _path_and_fs(spark, path)
+    fs.delete(hadoop_path, True)
+
+
 def listing(spark: SparkSession, path: str) -> list[tuple[str, str, bool]]:
     """``(name, full path, is_file)`` of the direct children, sorted by name."""
     hadoop_path, fs = _path_and_fs(spark, path)

@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from hedgewatch.operators.search import upsert
 from hedgewatch.plans.session import Options, detect, resolve, session_source
 from hedgewatch.session import checkpoint_dir
-from hedgewatch.sources.files import exists, listing
+from hedgewatch.sources.files import exists, listing, remove
 from hedgewatch.sources.logs import lines_of, number_lines, refuse_hidden
 from hedgewatch.sources.verdict_store import write_store
 
@@ -122,6 +122,8 @@ def stream_upsert(alerts: DataFrame, out: str, checkpoint: str) -> StreamingQuer
             fresh = old.unionByName(fresh)
         latest = upsert(fresh.withColumn("__order", F.struct("arrival_batch", "arrival")), "__order")
         latest.drop("__order").write.mode("overwrite").parquet(f"{out}/version={batch_id}")
+        # a retry of this batch starts from the version before it, nothing from an older one
+        remove(spark, f"{out}/version={batch_id - 2}")
 
     return (alerts.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
