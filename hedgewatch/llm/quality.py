@@ -137,8 +137,8 @@ def fit(labelled: DataFrame, label: str = "quality", name: str = "statistics") -
     return Model(means, np.array([np.linalg.inv(f) for f in factors]), np.array(constants))
 
 
-def with_scores(measured: DataFrame, model: Model, name: str = "statistics") -> DataFrame:
-    """Adds ``score`` in place of the statistics; null statistics score as those of an empty text."""
+def with_scores(measured: DataFrame, model: Model, name: str = "statistics", out: str = "score") -> DataFrame:
+    """Adds ``out`` in place of the statistics; null statistics score as those of an empty text."""
     shared = measured.sparkSession.sparkContext.broadcast(model)  # a fixed number of figures
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,11 +146,11 @@ def with_scores(measured: DataFrame, model: Model, name: str = "statistics") ->
         for batch in batches:
             rows = [empty if r is None else r for r in batch.column(name).to_pylist()]
             values = shared.value.scores(np.array(rows, float).reshape(-1, len(STATISTICS)))
-            yield replaced(batch.drop_columns([name]), {"score": pa.array(values)})
+            yield replaced(batch.drop_columns([name]), {out: pa.array(values)})
 
-    kept = [f for f in measured.schema if f.name not in (name, "score")]
+    kept = [f for f in measured.schema if f.name not in (name, out)]
     return measured.select(*[quoted(f.name) for f in kept], quoted(name)).mapInArrow(
-        score, T.StructType([*kept, T.StructField("score", T.DoubleType())]))
+        score, T.StructType([*kept, T.StructField(out, T.DoubleType())]))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

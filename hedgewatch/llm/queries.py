@@ -89,7 +89,7 @@ ORACLES["op10_kd_tree_top_k"] = """
 @query
 def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its text after replacement and what was replaced in it."""
-    replaced = pii.replace_entities(table(spark, sf_dir, "documents"), report="replaced")
+    replaced = pii.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), report="replaced")
     return replaced.select("doc_id", "text", F.size("replaced").cast("long").alias("n_replaced"), F.array_join(F.transform(
         "replaced", lambda e: F.concat_ws(":", e["kind"], e["start"].cast("string"), e["end"].cast("string"))), ",").alias("spans"))
 

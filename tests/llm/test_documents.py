@@ -284,3 +284,13 @@ def test_pipeline_keeps_rows_without_id(spark, odd_docs, sf_dir):
     kept = corpus_pipeline.near_duplicate_stage(spark, docs, sf_dir).collect()
     assert any(r["doc_id"] is None and r["text"] == "no id" for r in kept)
     assert sum(r["text"] == "same text here twice" for r in kept) == 1
+
+
+def test_stages_leave_other_columns_alone(spark, odd_docs, sf_dir):
+    """Columns named like those that stages make pass through; empty tables stay empty."""
+    before = {(r["doc_id"], r["text"]): r for r in odd_docs.collect()}
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        after = stage(spark, odd_docs, sf_dir)
+        assert after.columns == odd_docs.columns
+        assert all(before[r["doc_id"], r["text"]] == r for r in after.collect())
+        assert stage(spark, odd_docs.limit(0), sf_dir).count() == 0
