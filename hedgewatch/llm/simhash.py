@@ -152,8 +152,9 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, id_col: str = "do
     prints = cut_lineage(fingerprints(docs, id_col, text_col))
     classes = cut_lineage(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
     joined = components(links(classes.select("fingerprint"), max_bits))
-    member = classes.join(joined, F.col("fingerprint") == F.col("node"), "left").select(
-        "fingerprint", "least", F.coalesce("component", "fingerprint").alias("component"))
-    least = member.groupBy("component").agg(F.min("least").alias("component_id"))
+    member = cut_lineage(classes.join(joined, F.col("fingerprint") == F.col("node"), "left").select(
+        "fingerprint", "least", F.coalesce("component", "fingerprint").alias("component")))
+    # Written, so that the join deals both sides anew and the optimizer may split a component with very many classes.
+    least = cut_lineage(member.groupBy("component").agg(F.min("least").alias("component_id")))
     named = member.join(least, "component").select("fingerprint", "component_id")
     return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
