@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from hedgewatch import config
 from hedgewatch.functions.canonical import with_canonical_key
+from hedgewatch.functions.once import with_columns_once
 from hedgewatch.functions.policy import (
     attack_type_name, context_type, exact_compatible, risk_score, rule_family,
     similarity_decision,
@@ -66,14 +67,17 @@ class HashedNgrams:
     def __init__(self, dims: int = 256) -> None:
         self.dims = dims
 
-    def column(self, text: Column) -> Column:
+    def embed(self, keys: DataFrame, text: Column) -> DataFrame:
+        """``keys`` with ``embedding``. Counts and norm are columns of their own first, so that each is found once a row."""
         padded = F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" "))
         grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1))), lambda i: F.substring(padded, i, F.lit(3)))
         places = F.transform(grams, lambda g: F.conv(F.left(F.md5(g), F.lit(7)), 16, 10).cast("int") % self.dims)
-        counts = F.aggregate(places, F.array_repeat(F.lit(0), self.dims), lambda acc, place: F.transform(
+        counts = F.aggregate("__places", F.array_repeat(F.lit(0), self.dims), lambda acc, place: F.transform(
             acc, lambda n, i: F.when(i == place, n + 1).otherwise(n)))
-        norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda total, n: total + n * n))
-        return F.transform(counts, lambda n: (n / norm).cast("float"))
+        norm = F.sqrt(F.aggregate("__counts", F.lit(0.0), lambda total, n: total + n * n))
+        counted = with_columns_once(with_columns_once(with_columns_once(keys, {"__places": places}), {"__counts": counts}), {"__norm": norm})
+        return counted.withColumn("embedding", F.transform("__counts", lambda n: (n / F.col("__norm")).cast("float"))).drop(
+            "__places", "__counts", "__norm")
 
     def __call__(self):
         from hashlib import md5
@@ -98,7 +102,7 @@ def embed_keys(keys: DataFrame, embedder: Embedder, truncate: int | None = None,
     has no vector; only that key is concerned."""
     if isinstance(embedder, HashedNgrams):
         key = F.col("canonical_key") if truncate is None else F.left("canonical_key", F.lit(truncate))
-        return keys.withColumn("embedding", embedder.column(key))
+        return embedder.embed(keys.drop("embedding"), key)
     kept = [f for f in keys.schema.fields if f.name != "embedding"]
     names = [f.name for f in kept]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", embedding array<float>"
