@@ -21,7 +21,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     rejects is the production one. Documents of equal text have equal scores."""
     measured = quality.with_statistics(docs.select("doc_id", "text"))
     model = quality.fit(quality.training_rows(measured, table(spark, sf_dir, "labels")))
-    scored = quality.with_scores(quality.with_statistics(docs, name="_statistics", keep_text=True), model, "_statistics", "_score")
+    scored = quality.with_text_scores(docs, model, out="_score")
     return scored.where(F.col("_score") >= quality.REJECT).select(*docs.columns)
 
 

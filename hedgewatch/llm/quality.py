@@ -28,6 +28,8 @@ TEMPERATURE = 2.0
 #: A short text says little: shares are taken as if so many usual characters, words and lines were added to every text.
 SOME_CHARACTERS, SOME_WORDS, SOME_LINES = 100, 20, 20
 USUAL_LENGTH, USUAL_SPREAD, USUAL_TITLES, USUAL_STOPS = 5.5, 3.0, 0.1, 0.1
+#: Characters measured at a time: some 40 bytes of arrays each.
+CHARS_AT_ONCE = 500_000
 _KINDS = np.zeros(0x250, np.int64)  # 0 other, 1 blank, 2 upper, 3 lower, 4 digit, 5 sign, 6 accented letter, 7 line end
 for _c in range(0x250):
     _s = chr(_c)
@@ -69,7 +71,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text", name: str = "statis
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch, text_col)
-            rows = [statistics_of(texts[a:b]) for a, b in slices_of_texts(texts)]
+            rows = [statistics_of(texts[a:b]) for a, b in slices_of_texts(texts, CHARS_AT_ONCE)]
             flat = np.concatenate(rows).ravel() if rows else np.zeros(0)
             offsets = np.arange(len(texts) + 1, dtype=np.int32) * len(STATISTICS)
             batch = replaced(batch, {name: pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))})
@@ -153,6 +155,20 @@ def with_scores(measured: DataFrame, model: Model, name: str = "statistics", out
         score, T.StructType([*kept, T.StructField(out, T.DoubleType())]))
 
 
+def with_text_scores(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
+    """``docs`` with the score of each whole text, measured and scored in one pass of one worker. Null text counts as empty."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of figures
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = texts_of(batch, text_col)
+            values = [shared.value.scores(statistics_of(texts[a:b])) for a, b in slices_of_texts(texts, CHARS_AT_ONCE)]
+            yield replaced(batch, {out: pa.array(np.concatenate(values) if values else np.zeros(0))})
+
+    kept = [f for f in docs.schema if f.name != out]
+    return docs.select(*[quoted(f.name) for f in kept]).mapInArrow(score, T.StructType([*kept, T.StructField(out, T.DoubleType())]))
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows that no model is fitted on."""
     return F.coalesce(F.crc32(quoted(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
