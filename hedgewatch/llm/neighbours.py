@@ -70,17 +70,42 @@ def usable_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     return rows.mapInArrow(read, "vec_id bigint, key string, raw binary, half binary")
 
 
+def _forest(linked: np.ndarray, unsure: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row, column) of a symmetric matrix: a spanning forest of ``linked``, and all ``unsure`` ones between its components.
+
+    Whatever of the unsure ones holds in the end, these pairs have the components of all pairs.
+    """
+    tree = np.full(len(linked), -1)
+    rows, columns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for start in np.flatnonzero(linked.any(axis=1)):
+        if tree[start] >= 0:
+            continue
+        tree[start], stack = start, [start]
+        while stack:
+            node = stack.pop()
+            reached = np.flatnonzero(linked[node] & (tree < 0))
+            tree[reached] = start
+            rows, columns = [*rows, np.full(len(reached), node)], [*columns, reached]
+            stack += reached.tolist()
+    tree = np.where(tree < 0, np.arange(len(tree)), tree)
+    row, column = np.nonzero(np.triu(unsure, 1))
+    apart = tree[row] != tree[column]
+    return np.concatenate([*rows, row[apart]]), np.concatenate([*columns, column[apart]])
+
+
 def _pairs(ids: np.ndarray, scores: np.ndarray, k: int, above: np.ndarray, least: float) -> list[np.ndarray]:
-    """Of square ``scores``: each row's k best columns better than ``above``, and its first and last column linked."""
+    """Of square ``scores``: each row's k best columns better than ``above``, and links that join whatever is linked.
+
+    Scores of half-precision vectors are within MARGIN: links are sure from two margins above ``least``.
+    """
     n = len(ids)
     np.fill_diagonal(scores, -2)
     top = np.argpartition(-scores, k - 1, axis=1)[:, :k] if n > k else np.broadcast_to(np.arange(n), (n, n))
     row, column = np.repeat(np.arange(n), top.shape[1]), top.ravel()
     good = scores[row, column] > np.maximum(above[row], -1.5)
-    linked = scores >= least
-    some = np.flatnonzero(linked.any(axis=1))
-    ends = np.concatenate([linked[some].argmax(axis=1), n - 1 - linked[some][:, ::-1].argmax(axis=1)])
-    row, column, link = (np.concatenate(x) for x in ((row[good], np.tile(some, 2)), (column[good], ends), (np.zeros(good.sum(), bool), np.ones(len(ends), bool))))
+    sure = scores >= least + 2 * MARGIN
+    from_, to = _forest(sure, (scores >= least) & ~sure)
+    row, column, link = (np.concatenate(x) for x in ((row[good], from_), (column[good], to), (np.zeros(good.sum(), bool), np.ones(len(to), bool))))
     return [ids[row], ids[column], scores[row, column].astype(np.float32), link]
 
 

@@ -64,6 +64,35 @@ def test_odd_vectors(spark):
     assert neighbours.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_block_links_join_their_components():
+    """The edge 2-3 is neither row's first nor last, and in no list: its ends have better neighbours."""
+    scores = np.zeros((6, 6))
+    for i, j in ((2, 0), (2, 5), (3, 1), (3, 4)):
+        scores[i, j] = scores[j, i] = 0.99
+    scores[2, 3] = scores[3, 2] = 0.91
+    for doubt in (0.91, 0.9):  # 0.9 may turn out to be below the threshold: it goes on, to be checked
+        scores[2, 3] = scores[3, 2] = doubt
+        row, column, _, link = neighbours._pairs(np.arange(6), scores.copy(), 1, np.full(6, 2.0), 0.9 - neighbours.MARGIN)
+        assert link.all() and len(row) == 5 and {2, 3} in [{int(a), int(b)} for a, b in zip(row, column, strict=True)]
+
+
+def test_dense_groups_joined_by_one_bridge():
+    """Two groups of 20 near copies; the sure links alone give the components whatever the doubtful ones are worth."""
+    draw = np.random.default_rng(3)
+    scores = np.full((41, 41), 0.2)
+    scores[:20, :20] = scores[20:40, 20:40] = 0.99
+    scores[10, 30] = scores[30, 10] = 0.92
+    scores[40, 5] = scores[5, 40] = 0.899
+    order = draw.permutation(41)
+    row, column, score, link = neighbours._pairs(order, scores[order][:, order].astype(np.float32), 8, np.full(41, -2.0), 0.9 - neighbours.MARGIN)
+    kept = [(a, b) for a, b, s, own in zip(row.tolist(), column.tolist(), score, link, strict=True) if own and s >= 0.9]
+    group = {n: {n} for n in range(41)}
+    for a, b in kept:
+        both = group[a] | group[b]
+        group.update(dict.fromkeys(both, both))
+    assert group[0] == set(range(40)) and group[40] == {40}
+
+
 def slow_top(ids, rows, queries_at, k):
     scores = rows @ rows.T
     out = []
