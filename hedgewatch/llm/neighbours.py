@@ -4,7 +4,8 @@ Equal vectors are one class. Classes start with the neighbours they meet in a fe
 their lists through neighbours of neighbours: around each node, the nodes that list it and that it lists are compared with
 each other. Lists whose entries are all links are saturated: there may be more links than entries, so they are enlarged to the
 node's whole component, whose links are counted exactly (and never written out as pairs). A sample is then audited against
-all vectors; too low a recall doubles the lists and goes on.
+all vectors, by node and stratum of true links; too low a recall doubles the lists and adds orders, and where that does not
+help, all vectors are compared in blocks.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ BLOCK, AROUND = 64, 64
 ROUNDS, STILL = 4, 0.002
 #: Vectors audited against all others (a bounded sample by hash), least recall, and how often lists are doubled for it.
 AUDITED, LEAST_RECALL, DOUBLINGS = 1024, 0.95, 2
-#: Vectors of one component compared in one go.
+#: Nodes of the sample are strata by the power of this base that their true links reach.
+STRATUM = 8
+#: Vectors of one component compared in one go, or of a block where all are compared.
 MEETING = 1024
 #: Half-precision vectors find candidates; links this close below the threshold are kept for the check in double precision.
 MARGIN = 0.002
@@ -266,7 +269,11 @@ def links_within(members: DataFrame, threshold: float) -> DataFrame:
 
 
 def recall(nodes: DataFrame, counted: DataFrame, threshold: float, audited: int = AUDITED, seed: int = 0) -> float:
-    """Links found of a bounded sample of nodes, as a share of all its links (1 if it has none)."""
+    """The least recall of the strata of a bounded sample of nodes.
+
+    A node counts if it links with a different vector, and counts once: its recall is the share of its links with different vectors that
+    was found. Strata are by number of these links, so that neither large groups hide small ones nor the other way round. 1 if no node counts.
+    """
     sample = nodes.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(audited)
     asked = [(r["id"], r["raw"], r["copies"]) for r in sample.select("id", "raw", "copies").collect()]
     shared = nodes.sparkSession.sparkContext.broadcast(asked)  # at most ``audited`` vectors
@@ -286,16 +293,46 @@ def recall(nodes: DataFrame, counted: DataFrame, threshold: float, audited: int
 
     true = dict(nodes.select("id", "raw", "copies").mapInArrow(count, "place bigint, links bigint").groupBy("place").agg(F.sum("links")).collect())
     links = {r["id"]: r["links"] for r in counted.join(F.broadcast(sample.select("id")), "id").select("id", "links").collect()}
-    every = sum(true[i] + c - 1 for i, (_, _, c) in enumerate(asked))
-    found = sum(links.get(n, c - 1) for n, _, c in asked)
-    return found / every if every else 1.0
+    strata: dict[int, list[float]] = {}
+    for place, (node, _, copies) in enumerate(asked):
+        if true[place]:
+            stratum = int(math.log(true[place] + 0.5, STRATUM))
+            strata.setdefault(stratum, []).append((links.get(node, copies - 1) - copies + 1) / true[place])
+    return min((sum(shares) / len(shares) for shares in strata.values()), default=1.0)
+
+
+def all_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that join the components of all pairs of ``nodes`` (id, raw) of at least ``threshold``: every block meets every block.
+
+    The work grows with the square of the nodes; what comes out is a forest of each two blocks.
+    """
+    blocks = max(1, math.ceil(nodes.count() / MEETING))
+    own = nodes.selectExpr("id", "raw", f"CAST(pmod(xxhash64(id), {blocks}) AS INT) AS own", f"explode(sequence(0, {blocks - 1})) AS other")
+    groups = own.selectExpr("least(own, other) AS i", "greatest(own, other) AS j", "id", "raw").groupBy("i", "j").agg(
+        F.collect_list(F.struct("id", "raw")).alias("members"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for members in batch.column("members"):
+                ids, raws = members.values.field("id").to_numpy(), members.values.field("raw").to_pylist()
+                for width in {len(r) for r in raws}:
+                    at = np.array([i for i, r in enumerate(raws) if len(r) == width])
+                    rows = unit_rows([raws[i] for i in at])
+                    linked = rows @ rows.T >= threshold
+                    np.fill_diagonal(linked, False)
+                    linked |= linked.T  # sums may be rounded differently on the two sides
+                    one, two = _forest(linked, np.zeros_like(linked))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at][one]), pa.array(ids[at][two])], names=["a", "b"])
+
+    return groups.select("members").mapInArrow(meet, "a bigint, b bigint")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBOURS, id_col: str = "vec_id", vector_col: str = "embedding",
                     seed: int = 1) -> DataFrame:
     """(vec_id, n_links, component_id, kept): one row a vector.
 
-    n_links counts the other vectors with a cosine of at least ``threshold`` (in double precision) that were found, component_id is
+    n_links counts the other vectors with a cosine of at least ``threshold`` (in double precision) that were found (all, where the audit
+    did not reach LEAST_RECALL and all vectors were compared), component_id is
     the smallest vec_id reachable over links, kept tells vectors that are their component's smallest. Vectors that are null, zero, empty or hold
     null or non-finite components have no links. Repeated rows are vectors of their own; rows without vec_id link but name no component.
     """
@@ -327,15 +364,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = N
                 break
         near = lists.where(F.col("score") >= least).selectExpr("least(id, other) AS a", "greatest(id, other) AS b")
         exact = exact_links(links.unionByName(near).distinct(), nodes, threshold)
-        joined = components(exact)
-        members = joined.selectExpr("node AS id", "component").join(nodes.select("id", "copies", "raw"), "id")
-        inner = cut_lineage(links_within(members.select("component", "id", "copies", "raw"), threshold))
+        joined, inner = _counted(exact, nodes, threshold)
         share = recall(nodes, inner, threshold, seed=seed)
         logging.getLogger(__name__).info("recall of the audited sample: %.4f", share)
         if share >= LEAST_RECALL:
             break
         k, seed = 2 * k, seed + 1
         fresh = first_neighbours(nodes, k, least, seed)
+    else:
+        logging.getLogger(__name__).warning("recall of the audited sample stayed at %.4f: all %d vectors are compared", share, count)
+        joined, inner = _counted(cut_lineage(all_pairs(nodes, threshold)), nodes, threshold)
     named = nodes.select("key", "id", "least", "copies").join(joined.selectExpr("node AS id", "component"), "id", "left").join(
         inner, "id", "left").withColumn("component", F.coalesce("component", "id"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -346,6 +384,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = N
         "kept", F.col("vec_id") == F.col("component_id"))
 
 
+def _counted(links: DataFrame, nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(node, component) of ``links``, and (id, links) within the components."""
+    joined = components(links)
+    members = joined.selectExpr("node AS id", "component").join(nodes.select("id", "copies", "raw"), "id")
+    return joined, cut_lineage(links_within(members.select("component", "id", "copies", "raw"), threshold))
+
+
 def _linked(found: DataFrame, links: DataFrame | None) -> DataFrame:
     own = found.where("link").selectExpr("least(id, other) AS a", "greatest(id, other) AS b")
     return (own if links is None else own.unionByName(links)).distinct()

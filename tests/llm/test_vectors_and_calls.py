@@ -93,6 +93,30 @@ def test_dense_groups_joined_by_one_bridge():
     assert group[0] == set(range(40)) and group[40] == {40}
 
 
+def vectors_of(spark, rows):
+    return spark.createDataFrame([(i, [float(v) for v in r], 0, 0, "") for i, r in enumerate(rows)], VECTORS)
+
+
+def test_audit_sees_small_groups(spark):
+    """A large group is found, every pair is lost; copies of a vector are no links found."""
+    rows = clouds(5, (60, *[2] * 20), rest=20)
+    near, raw = slow_links(rows), neighbours.usable_vectors(vectors_of(spark, rows))
+    nodes = raw.selectExpr("vec_id AS id", "raw", "IF(vec_id < 60, 1L, 5L) AS copies").cache()
+    found = [(i, int(near[i].sum()) if i < 60 else 4) for i in range(len(rows))]
+    assert neighbours.recall(nodes, spark.createDataFrame(found, "id long, links long"), 0.9) == 0
+    whole = [(i, int(near[i] @ np.where(np.arange(len(rows)) < 60, 1, 5)) + (0 if i < 60 else 4)) for i in range(len(rows))]
+    assert neighbours.recall(nodes, spark.createDataFrame(whole, "id long, links long"), 0.9) == 1
+
+
+def test_all_vectors_meet_if_the_search_fails(spark, monkeypatch):
+    rows = clouds(6, (40, 2, 2, 2), rest=60)
+    search = neighbours.first_neighbours
+    monkeypatch.setattr(neighbours, "MEETING", 16)
+    monkeypatch.setattr(neighbours, "DOUBLINGS", 0)
+    monkeypatch.setattr(neighbours, "first_neighbours", lambda *x: search(*x).where("false"))
+    check(neighbours.near_duplicates(vectors_of(spark, rows)).collect(), rows)
+
+
 def slow_top(ids, rows, queries_at, k):
     scores = rows @ rows.T
     out = []
