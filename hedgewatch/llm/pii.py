@@ -32,15 +32,17 @@ MALE = "Mr Herr Monsieur Señor Sr Signor Lord Sir Господин".split()
 FEMALE = "Mrs Ms Miss Frau Madame Mme Mlle Señora Señorita Sra Signora Lady Госпожа".split()
 NEUTRAL = "Dr Prof Professor Mx Доктор".split()
 _WORD = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+(?:-[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+)?"
+_PART = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 _PATTERNS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9_À-ɏ.+-]*[A-Za-z0-9_À-ɏ+-]@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
     "card": r"(?<![\w.-])(?:[0-9]{13,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3}|[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{5})(?![\w-])",
-    "phone": r"(?<![\w+])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)[\x20.-]?|[0-9]{3}[.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![\w-])|(?<![\w+])\+[0-9]{1,3}(?:[\x20.-]?[0-9]{2,4}){2,5}(?![\w-])",
-    "ip": r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9])",
+    "phone": r"(?<![\w+])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)[\x20.-]?|[0-9]{3}[.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![\w-]|\.[0-9])|(?<![\w+])\+[0-9]{1,3}(?:[\x20.-]?[0-9]{2,4}){2,5}(?![\w-]|\.[0-9])",
+    "ip": rf"(?<![\w.])(?:{_PART}\.){{3}}{_PART}(?![\w]|\.[0-9])",
 }
-_ANY = re.compile("|".join(f"(?P<{k}>{_PATTERNS[k]})" for k in ("email", "iban", "ssn", "phone", "card", "ip")))
+# An address of parts with three digits looks like a phone number and more: it is tried first.
+_ANY = re.compile("|".join(f"(?P<{k}>{_PATTERNS[k]})" for k in ("email", "iban", "ssn", "ip", "phone", "card")))
 _NAME = re.compile(rf"\b(?P<title>{'|'.join(MALE + FEMALE + NEUTRAL)})\b\.?\x20(?P<words>{_WORD}(?:\x20{_WORD}){{0,2}})")
 _TITLES = re.compile("|".join(MALE + FEMALE + NEUTRAL))
 _MAY = re.compile(r"@|[0-9][0-9.\x20()-]{5}|[A-Z]{2}[0-9]{2}")
@@ -70,8 +72,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             elif kind == "iban":
                 found.append((m.start(), m.end(), kind, value.replace(" ", "")))
             elif kind == "ip":
-                if all(int(p) < 256 for p in value.split(".")):
-                    found.append((m.start(), m.end(), kind, value))
+                found.append((m.start(), m.end(), kind, value))
             elif kind == "card":
                 if luhn(digits) or (len(digits) == 16 and digits[0] in "3456"):
                     found.append((m.start(), m.end(), kind, digits))

@@ -235,6 +235,27 @@ def test_surrogates_keep_type_and_reference(spark, no_docs):
     assert pii.replace_entities(no_docs).count() == 0
 
 
+def plain_addresses(text):
+    """Dotted numbers of exactly four parts up to 255, without the patterns of the module."""
+    found, at = [], 0
+    for run in re.findall(r"[\w.]+|[^\w.]+", text):
+        own = run.rstrip(".")
+        if own.count(".") == 3 and all(p.isascii() and p.isdigit() and len(p) < 4 and int(p) < 256 for p in own.split(".")):
+            found.append((at, at + len(own)))
+        at += len(run)
+    return found
+
+
+def test_addresses_are_no_phones(spark):
+    text = "from 233.254.104.120 to 192.168.100.200, 10.233.254.104 and 8.8.8.8. Call 017.555.7713 or 017-555-7713"
+    assert [text[a:b] for a, b, kind, _ in pii.entities(text) if kind == "ip"] == ["233.254.104.120", "192.168.100.200", "10.233.254.104", "8.8.8.8"]
+    assert [text[a:b] for a, b, kind, _ in pii.entities(text) if kind == "phone"] == ["017.555.7713", "017-555-7713"]
+    new = pii.replace_entities(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["text"]
+    assert len(plain_addresses(new)) == 4 and not set(re.findall(r"[\d.]{7,}", new)) & {"233.254.104.120", "192.168.100.200", "10.233.254.104"}
+    for row in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text LIKE '%.%.%.%'").collect():
+        assert [(a, b) for a, b, kind, _ in pii.entities(row["text"]) if kind == "ip"] == plain_addresses(row["text"])
+
+
 def test_surrogates_stay_distinct(spark):
     """A kind with few surrogates: collisions must be drawn again."""
     known = [("name", f"latin:given:f:n{i}") for i in range(40)] + [("ip", f"1.2.3.{i}") for i in range(200)]
