@@ -25,8 +25,10 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_ASSIGNED, LEAST_ACCESS = 6, 20
 KINDS = ("assign", "access", "hex", "novel")
 
-#: What may be a secret: a run of these characters with a digit and a letter.
+#: What may be a secret: a run of these characters with a letter; of name=value the value, where it is long enough.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST_CANDIDATE = 16
+VALUE = re.compile(r"[A-Za-z0-9+/_-]+(?:=+(?![A-Za-z0-9+/_=-]))?")
 #: Words that make a context sensitive, looked for so many characters before and after a candidate.
 SENSITIVE = re.compile(r"(?i:passw|secret|token|key|auth|credential|private|bearer|session|signature|salt|access|login)", re.ASCII)
 NEAR = 48
@@ -81,15 +83,24 @@ class Novelty:
         return max(0, self.size(before + after + text[start:end]) - self.size(before + after)) / max(1, end - start)
 
 
-def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty) -> list[tuple[int, int, str]]:
-    """Candidates in a sensitive context that stay incompressible and that no base span overlaps."""
-    found = []
+def candidates(text: str, base: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    """(start, end) of what is measured: long values of name=value (padding stays with its value), else the whole run; of
+    either, what lies outside the base spans."""
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        string = m[0]
-        if string.isalpha() or string.isdigit() or not (any(c.isdigit() for c in string) and any(c.isalpha() for c in string)):
-            continue
-        if any(x < b and a < y for x, y, _ in base):
+        values = [(x, y) for x, y in (v.span() for v in VALUE.finditer(text, a, b)) if y - x >= LEAST_CANDIDATE] if "=" in m[0] else []
+        for begin, end in values or [(a, b)]:
+            for x, y in [*((x, y) for x, y, _ in base if x < end and begin < y), (end, end)]:  # by start
+                if x - begin >= LEAST_CANDIDATE:
+                    yield begin, x
+                begin = max(begin, y)
+
+
+def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty) -> list[tuple[int, int, str]]:
+    """Candidates in a sensitive context (a name directly before the value counts) that stay incompressible."""
+    found = []
+    for a, b in candidates(text, base):
+        if not any(c.isalpha() for c in text[a:b]):
             continue
         if SENSITIVE.search(text, max(0, a - NEAR), a) or SENSITIVE.search(text, b, b + NEAR):
             if novelty.of(text, a, b) >= LEAST_NOVELTY:

@@ -165,6 +165,19 @@ def test_novel_spans():
     assert not secrets.novel_spans(repeated, [], novelty)
 
 
+def test_values_of_names_letters_and_rests_are_measured():
+    novelty = secrets.Novelty()
+    value, letters = "Zx81bQ92kLm3NpRt7VwY", "qWzXkVbNmTrPlKjHgFdSaYuE"
+    for name in ("AUTH", "private_key", "access_key", "signature", "session", "bearer", "https://x.example/y?a=b&login"):
+        assert secrets.novel_spans(f"{name}={value}; x", [], novelty) == [(len(name) + 1, len(name) + 21, "novel")]
+    assert secrets.novel_spans(f"auth={value}== x", [], novelty) == [(5, 27, "novel")]
+    assert secrets.novel_spans(f"bearer {letters} x", [], novelty) == [(7, 31, "novel")]
+    text = f"the key 0123456789abcdef01234567+{value} ends"
+    base = secrets.base_spans(text)
+    assert base == [(8, 32, "hex")] and secrets.novel_spans(text, base, novelty) == [(32, 53, "novel")]
+    assert not secrets.novel_spans(f"name={value}; x", [], novelty) and not secrets.novel_spans("auth=getUserTokenFactoryName here", [], novelty)
+
+
 def test_op5_base_columns(spark, sf_dir, odd_docs, no_docs):
     docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = queries.op5_secret_scan(spark, sf_dir).collect()
