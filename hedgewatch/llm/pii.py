@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,22 @@ TYPES = ("email", "card", "iban", "ssn", "phone", "ip", "name")
 MALE = "Mr Herr Monsieur Señor Sr Signor Lord Sir Господин".split()
 FEMALE = "Mrs Ms Miss Frau Madame Mme Mlle Señora Señorita Sra Signora Lady Госпожа".split()
 NEUTRAL = "Dr Prof Professor Mx Доктор".split()
-_WORD = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+(?:-[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+)?"
+_TITLES = re.compile("|".join(t for w in MALE + FEMALE + NEUTRAL for t in (w, w.upper())))
+# Words that begin a line after a honorific or name without being one, and are no later mention of a name.
+OTHERS = ("A An And As At But By Dear Do For From He Her His How I If In Is It My No Not Of On Or Our Please Re She So Thank Thanks That The Their "
+          "There These They This Those To We When Where Who With Yes You Your Der Die Das Ein Eine Er Es Ich Im Ist Sie Und Wir Le La Les Un Une Et Il "
+          "Elle Je Nous Vous El Los Las Una Yo Y Но Не На Он Она Они Мы Вы Это Как По").split()
+_LETTERS = [chr(c) for c in (*range(0x41, 0x250), *range(0x400, 0x530), *range(0x1E00, 0x1F00))]
+_U = "".join(c for c in _LETTERS if unicodedata.category(c) in ("Lu", "Lt"))
+_L = "".join(c for c in _LETTERS if unicodedata.category(c) == "Ll") + "̀-ͯ"
+_BLANK = r"[^\S\r\n]"
+_LINE = rf"{_BLANK}*\r?\n{_BLANK}*(?!(?:{'|'.join(OTHERS)})\b)"
+#: O'Brien, McDonald, SMITH, Jean-Pierre; 's is none of it.
+_SIMPLE = rf"[{_U}](?:['’][{_U}](?=[{_U}{_L}])|[{_U}{_L}])+"
+_SPELLED = rf"{_SIMPLE}(?:-{_SIMPLE})*"
+# Herr Dr. Schmidt: a honorific before a name is no name.
+_WORD = rf"(?!(?:{_TITLES.pattern})\b\.?{_BLANK}*[{_U}]){_SPELLED}"
+_INITIAL = rf"(?:[{_U}]\.(?:{_BLANK}+|{_LINE})?|[{_U}]{_BLANK}+)"
 _PART = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 _PATTERNS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9_À-ɏ.+-]*[A-Za-z0-9_À-ɏ+-]@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-])",
@@ -43,8 +59,13 @@ _PATTERNS = {
 }
 # An address of parts with three digits looks like a phone number and more: it is tried first.
 _ANY = re.compile("|".join(f"(?P<{k}>{_PATTERNS[k]})" for k in ("email", "iban", "ssn", "ip", "phone", "card")))
-_NAME = re.compile(rf"\b(?P<title>{'|'.join(MALE + FEMALE + NEUTRAL)})\b\.?\x20(?P<words>{_WORD}(?:\x20{_WORD}){{0,2}})")
-_TITLES = re.compile("|".join(MALE + FEMALE + NEUTRAL))
+_NAME = re.compile(rf"\b(?P<title>{_TITLES.pattern})\b(?:\.?{_BLANK}+|\.?{_LINE}|\.)(?P<words>{_INITIAL}*(?:{_WORD}{_LINE}{_WORD}|"
+                   rf"{_WORD}(?:{_BLANK}+{_INITIAL}*{_WORD}){{0,2}}))")
+_TOKEN = re.compile(rf"{_SPELLED}|[{_U}]")
+_BARE = re.compile(rf"(?<!\w){_SPELLED}(?!\w)")
+_SINGLE = re.compile(_SIMPLE)
+_TURNED = {w.lower() for w in OTHERS}
+_GENDER = {t: g for g, words in (("n", NEUTRAL), ("f", FEMALE), ("m", MALE)) for w in words for t in (w, w.upper())}
 _MAY = re.compile(r"@|[0-9][0-9.\x20()-]{5}|[A-Z]{2}[0-9]{2}")
 _VOWELS, _CONSONANTS = "aeiou", "bcdfghjklmnprstvw"
 _RU_VOWELS, _RU_CONSONANTS = "аеиоу", "бвгдзклмнпрст"
@@ -56,11 +77,16 @@ def luhn(digits: str) -> bool:
     return (sum(values[::2]) + sum(sum(divmod(2 * v, 10)) for v in values[1::2])) % 10 == 0
 
 
+def _plain(word: str) -> str:
+    return unicodedata.normalize("NFC", word).lower().replace("’", "'")
+
+
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, canonical) by start, not overlapping; positions in code points.
 
     Canonical: e-mail in lower case, digits alone for numbers, a name's single word with gender and script. A number is a card if its check
-    digit holds or it has 16 digits and a card's first digit; an address has parts up to 255.
+    digit holds or it has 16 digits and a card's first digit; an address has parts up to 255. Words of a name that a honorific
+    shows are found wherever else they stand in the text, as the family name if they are one somewhere; initials only beside a name.
     """
     found = []
     if _MAY.search(text):
@@ -80,17 +106,30 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
                 found.append((m.start(), m.end(), kind, digits))
     if _TITLES.search(text):
         taken = [(a, b) for a, b, _, _ in found]
+        free = lambda a, b: not any(x < b and a < y for x, y in taken)
+        known: dict[str, str] = {}
         for m in _NAME.finditer(text):
-            gender = "m" if m["title"] in MALE else "f" if m["title"] in FEMALE else "n"
-            words = list(re.finditer(r"\S+", m["words"]))
+            gender = _GENDER[m["title"]]
+            words = list(_TOKEN.finditer(text, m.start("words"), m.end("words")))
             for i, w in enumerate(words):
-                a, b = m.start("words") + w.start(), m.start("words") + w.end()
-                if not any(x < b and a < y for x, y in taken):
+                a, b = w.span()
+                if free(a, b):
                     script = "cyrillic" if "Ѐ" <= w[0][0] <= "ӿ" else "latin"
                     place = "family" if i == len(words) - 1 else "given"
                     # A family name is one entity whatever title stands before it, unless its form shows gender.
                     own = gender if place == "given" or script == "cyrillic" else "n"
-                    found.append((a, b, "name", f"{script}:{place}:{own}:{w[0].lower()}"))
+                    word = _plain(w[0])
+                    found.append((a, b, "name", f"{script}:{place}:{own}:{word}"))
+                    if len(word) > 1 and word not in _TURNED and (word not in known or place == "family" and ":given:" in known[word]):
+                        known[word] = found[-1][3]
+        if known:
+            starts = {a for a, _, kind, _ in found if kind == "name"}
+            for m in _BARE.finditer(text):
+                whole = _plain(m[0]) in known
+                for w in [m] if whole else _SINGLE.finditer(text, *m.span()):
+                    a, b = w.span()
+                    if _plain(w[0]) in known and a not in starts and m.start() not in starts and free(a, b):
+                        found.append((a, b, "name", known[_plain(w[0])]))
     return sorted(found)
 
 
@@ -133,9 +172,11 @@ def surrogate(kind: str, canonical: str, turn: int, key: str) -> str:
         return canonical[0] + "".join(digit() for _ in canonical[1:])
     if kind == "ip":
         return ".".join(str(1 + draw.below(254)) for _ in range(4))
-    script, place, gender, _ = canonical.split(":", 3)
+    script, place, gender, word = canonical.split(":", 3)
     vowels, consonants = (_RU_VOWELS, _RU_CONSONANTS) if script == "cyrillic" else (_VOWELS, _CONSONANTS)
     stem = "".join(draw.of(consonants) + draw.of(vowels) for _ in range(3 + turn // 4)) + draw.of(consonants)
+    if stem[0] == word:  # of an initial, one letter is all that is written
+        stem = draw.of(consonants.replace(word, "")) + stem[1:]
     if script == "cyrillic":
         ends = {"family": {"f": "ова", "m": "ов", "n": "ко"}, "given": {"f": "а", "m": "", "n": "и"}}
     else:
@@ -151,6 +192,8 @@ def shaped(kind: str, value: str, canonical: str) -> str:
         return canonical
     if kind == "name":
         word = canonical.rpartition(":")[2]
+        if len(value) == 1:
+            return word[0].upper()
         return word.upper() if value.isupper() else word.capitalize()
     fresh = iter(canonical)
     return "".join(next(fresh) if c.isalnum() else c for c in value)

@@ -269,6 +269,27 @@ def test_addresses_are_no_phones(spark):
         assert [(a, b) for a, b, kind, _ in pii.entities(row["text"]) if kind == "ip"] == plain_addresses(row["text"])
 
 
+def test_names_of_all_spellings():
+    def names(text):
+        return [text[a:b] for a, b, kind, _ in pii.entities(text) if kind == "name"]
+
+    for text, expected in [
+            ("Mr J. Smith left", "J Smith"), ("Mr J.R. Smith, Mr J R Jones", "J R Smith J R Jones"), ("Mr O'Brien's and Mrs D’Arcy", "O'Brien D’Arcy"),
+            ("Herr Łukasz Żak", "Łukasz Żak"), ("MR SMITH", "SMITH"), ("Mr.\nSmith", "Smith"), ("Mr.\u00a0 Smith", "Smith"), ("Mr.Smith", "Smith"),
+            ("Ms McDonald spoke", "McDonald"), ("Mrs Anna\nSmith", "Anna Smith"), ("Mr Smith\nThe end", "Smith"), ("Dear Sir\nThe end", ""),
+            ("Herr Dr. Schmidt", "Schmidt"), ("Mr Lord", "Lord"), ("Mr John F. Kennedy", "John F Kennedy"), ("Mme Anne-Marie Le", "Anne-Marie Le")]:
+        assert names(text) == expected.split(), text
+
+
+def test_later_mentions_of_a_name(spark):
+    text = "Before, Smith. Mrs Anna Smith came; Anna Smith, ANNA and Smith's Smith-Jones left Smithfield to Mr J. Smith. The end."
+    docs = spark.createDataFrame([(1, text), (2, "Smith without honorific"), (3, "Mr Smith")], "doc_id long, text string")
+    new = {r["doc_id"]: r["text"] for r in pii.replace_entities(docs, key="k").collect()}
+    found = re.fullmatch(r"Before, (\w+)\. Mrs (\w+) (\w+) came; (\w+) (\w+), (\w+) and (\w+)'s (\w+)-Jones left Smithfield to Mr (\w)\. (\w+)\. The end\.", new[1]).groups()
+    assert len({found[i] for i in (0, 2, 4, 6, 7, 9)}) == 1 and found[0] != "Smith" and found[1] == found[3] == found[5].capitalize() != "Anna"
+    assert found[8] != "J" and new[2] == "Smith without honorific" and new[3] == f"Mr {found[0]}"
+
+
 def test_surrogates_stay_distinct(spark):
     """A kind with few surrogates: collisions must be drawn again."""
     known = [("name", f"latin:given:f:n{i}") for i in range(40)] + [("ip", f"1.2.3.{i}") for i in range(200)]
