@@ -6,6 +6,7 @@ every stage's result as Parquet and reads it again, so a lost executor repeats o
 
 from __future__ import annotations
 
+import logging
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +19,13 @@ from hedgewatch.session import checkpoint_dir, cut_lineage
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go. The model is fitted on the labelled documents of this stage's own input; the score that
-    rejects is the production one. Documents of equal text have equal scores."""
+    rejects is the production one. Documents of equal text have equal scores. Where the labels hold fewer than two of these documents
+    for a class, there is no model to reject by: all documents stay, with a warning."""
     measured = quality.with_statistics(docs.select("doc_id", "text"))
     model = quality.fit(quality.training_rows(measured, table(spark, sf_dir, "labels")))
+    if model.constant_score is not None:
+        logging.getLogger(__name__).warning("too few labels of a class: no document is rejected")
+        return docs
     scored = quality.with_text_scores(docs, model, out="_score")
     return scored.where(F.col("_score") >= quality.REJECT).select(*docs.columns)
 

@@ -341,6 +341,13 @@ def test_pipeline_keeps_rows_without_id(spark, odd_docs, sf_dir):
     assert sum(r["text"] == "same text here twice" for r in kept) == 1
 
 
+@pytest.mark.parametrize("marks", [[], [0] * 5, [1] * 5])
+def test_quality_stage_without_a_model_keeps_all(spark, odd_docs, monkeypatch, marks):
+    labels = spark.createDataFrame(list(enumerate(marks)), "doc_id long, quality int")
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *x: labels)
+    assert corpus_pipeline.quality_stage(spark, odd_docs, "").count() == odd_docs.count()
+
+
 def test_stages_leave_other_columns_alone(spark, odd_docs, sf_dir):
     """Columns named like those that stages make pass through; empty tables stay empty."""
     before = {(r["doc_id"], r["text"]): r for r in odd_docs.collect()}
