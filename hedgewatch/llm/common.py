@@ -39,6 +39,18 @@ def slices_of_texts(texts: list[str], most: int = CHARS_AT_ONCE) -> Iterator[tup
         yield begin, len(texts)
 
 
+def slices_of_lengths(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of consecutive rows with at most ``most`` together, or one row."""
+    begin, held = 0, 0
+    for i, n in enumerate(lengths.tolist()):
+        if i > begin and held + n > most:
+            yield begin, i
+            begin, held = i, 0
+        held += n + 1
+    if begin < len(lengths):
+        yield begin, len(lengths)
+
+
 class PieceCache:
     """Token ids of the pieces of text a task has met.
 

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hedgewatch.llm import bpe, neighbours, packing, pii, quality, secrets, sharding, simhash, toolcalls, topk
+from hedgewatch.llm import bpe, decontaminate, neighbours, packing, pii, quality, secrets, sharding, simhash, toolcalls, topk, whitening
 from hedgewatch.session import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,3 +145,34 @@ def conversation_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 def op1_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = toolcalls.link_calls(*conversation_calls(table(spark, sf_dir, "conversations")), TOOLS)
     return linked.withColumn("problems", F.array_join("problems", "; "))
+
+
+@query
+def op11_suffix_automaton_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_CAPITALS}', '{_SMALL}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLES["op11_suffix_automaton_decontamination"] = f"""
+    WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+    i AS (SELECT item_id, w, least(len(w), 10) AS n FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+    passage AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(w, p, p + n - 1), ' ') AS g
+                FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS p FROM i)),
+    gram AS (SELECT doc_id, n, p, array_to_string(list_slice(w, p, p + n - 1), ' ') AS g
+             FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM i))),
+    found AS (SELECT doc_id, p, n, item_id FROM gram JOIN passage USING (n, g)),
+    word AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS place FROM found) GROUP BY doc_id),
+    item AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS names
+             FROM found GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+           coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN word USING (doc_id) LEFT JOIN item USING (doc_id)"""
+
+
+@query
+def op12_householder_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    parts = F.arrays_zip(F.sequence(F.lit(1), F.size("whitened")).alias("component"), "whitened", "explained")
+    return rows.where(F.size("whitened") > 0).select("vec_id", "n", "deviation", "identity_error", F.inline(parts)).select(
+        "vec_id", F.col("component").cast("int").alias("component"), "n", "deviation", "whitened", "explained", "identity_error")
