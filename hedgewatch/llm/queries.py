@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hedgewatch.llm import bpe, decontaminate, neighbours, packing, pii, quality, secrets, sharding, simhash, toolcalls, topk, whitening
+from hedgewatch.llm import bpe, decontaminate, negatives, neighbours, packing, pii, quality, secrets, sharding, simhash, toolcalls, topk, whitening
 from hedgewatch.session import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -176,3 +176,24 @@ def op12_householder_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.arrays_zip(F.sequence(F.lit(1), F.size("whitened")).alias("component"), "whitened", "explained")
     return rows.where(F.size("whitened") > 0).select("vec_id", "n", "deviation", "identity_error", F.inline(parts)).select(
         "vec_id", F.col("component").cast("int").alias("component"), "n", "deviation", "whitened", "explained", "identity_error")
+
+
+@query
+def op13_bond_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.expr("IF(vec_id % 7 = 0, (label + 1) % 10, label)"))
+    return negatives.mine(negatives.usable_rows(rows))
+
+
+ORACLES["op13_bond_hard_negatives"] = """
+    WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                      list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+               WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS MATERIALIZED (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.x, c.x) AS BIGINT) AS score
+               FROM v a JOIN v c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id),
+    positive AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+                 QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+    ranked AS (SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+                      CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+               FROM positive JOIN scored USING (anchor_id)
+               WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+    SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 3"""

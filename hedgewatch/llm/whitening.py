@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,27 +34,34 @@ ROWS_AT_ONCE = 4096
 _EPS = float(np.finfo(float).eps)
 
 
-def integer_entries(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, x array<long>) of the vectors that are not null and hold no null or non-finite entry; empty ones too."""
-    rows = vectors.select(quoted(id_col).alias("vec_id"), F.transform(quoted(vector_col), lambda v: v.cast("double")).alias("x"))
-    whole = rows.where("x IS NOT NULL").where(~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))
-    return whole.select("vec_id", F.transform("x", lambda v: F.floor(
-        F.least(F.greatest(v * SCALE, F.lit(-float(LARGEST))), F.lit(float(LARGEST)))) + SHIFT).alias("x"))
+def entries_of(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(vec_id, x): entries as they are where they are floating-point numbers, else as doubles."""
+    kind = vectors.schema[vector_col].dataType
+    plain = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.FloatType, T.DoubleType))
+    vector = quoted(vector_col) if plain else quoted(vector_col).cast("array<double>")
+    return vectors.select(quoted(id_col).alias("vec_id"), vector.alias("x"))
 
 
-def _rows(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Entries of some rows at a time, and the first row's place; shorter vectors end in entries of zero."""
-    lists = batch.column("x")
+def _rows(batch: pa.RecordBatch, width: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of usable vectors, some at a time, and floor(SCALE * c) + SHIFT of their entries; shorter vectors end in entries of zero.
+
+    Null vectors and those with a null or non-finite entry are left out. Without ``width``, rows are as wide as the widest of them.
+    """
     for begin in range(0, batch.num_rows, ROWS_AT_ONCE):
-        part = lists.slice(begin, ROWS_AT_ONCE)
-        flat, offsets = part.flatten().to_numpy(zero_copy_only=False), part.offsets.to_numpy()
-        lengths = np.diff(offsets)
-        if (lengths == width).all():
-            yield begin, flat.reshape(-1, width)
-            continue
-        rows = np.full((len(lengths), width), SHIFT, np.int64)
-        rows[np.arange(width)[None, :] < lengths[:, None]] = flat
-        yield begin, rows
+        part = batch.column("x").slice(begin, ROWS_AT_ONCE)
+        flat = part.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        lengths = pc.list_value_length(part).fill_null(0).to_numpy(zero_copy_only=False)
+        fit = part.is_valid().to_numpy(zero_copy_only=False).copy()
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        fit[owner[~np.isfinite(flat)]] = False
+        whole = np.floor(np.clip(flat[fit[owner]] * SCALE, -LARGEST, LARGEST)).astype(np.int64) + SHIFT
+        lengths = lengths[fit]
+        wide = int(lengths.max(initial=0)) if width is None else width
+        if wide > WIDEST:
+            raise ValueError(f"a vector has more than {WIDEST} entries")
+        rows = np.full((len(lengths), wide), SHIFT, np.int64)
+        rows[np.arange(wide)[None, :] < lengths[:, None]] = whole
+        yield np.flatnonzero(fit) + begin, rows
 
 
 @dataclass
@@ -92,14 +100,13 @@ def centre(entries: DataFrame) -> Centre:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, sums = 0, np.zeros((0, 2), np.int64)
         for batch in batches:
-            width = int(np.diff(batch.column("x").offsets.to_numpy()).max(initial=0))
-            if width > WIDEST:
-                raise ValueError(f"a vector has more than {WIDEST} entries")
-            count += batch.num_rows
-            if width > len(sums):  # rows before this had entries of zero there
-                sums = np.concatenate((sums, np.tile(((count - batch.num_rows) * SHIFT >> 32, (count - batch.num_rows) * SHIFT & 0xFFFFFFFF), (width - len(sums), 1))))
-            for _, rows in _rows(batch, len(sums)):
-                sums += np.stack(((rows >> 32).sum(axis=0), (rows & 0xFFFFFFFF).sum(axis=0)), axis=1)
+            for _, rows in _rows(batch):
+                more = max(0, rows.shape[1] - len(sums))  # rows before this had entries of zero there
+                sums = np.concatenate((sums, np.tile((count * SHIFT >> 32, count * SHIFT & 0xFFFFFFFF), (more, 1)).reshape(-1, 2)))
+                part = np.stack(((rows >> 32).sum(axis=0), (rows & 0xFFFFFFFF).sum(axis=0)), axis=1)
+                sums[:len(part)] += part
+                sums[len(part):, 1] += len(rows) * SHIFT
+                count += len(rows)
         yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(sums)), pa.int32()), pa.array([count, *([count] * len(sums))], pa.int64()),
                                           pa.array([0, *sums[:, 0].tolist()], pa.int64()), pa.array([0, *sums[:, 1].tolist()], pa.int64())],
                                          names=["entry", "rows", "high", "low"])
@@ -280,7 +287,7 @@ def whiten(vectors: DataFrame, components: int = COMPONENTS, id_col: str = "vec_
     down to empty for a table of equal vectors or of one. An empty table gives no rows. Entries beyond 2^46 count as 2^46; a deviation beyond
     the longs is the largest long. Other columns are not looked at. The input is read four times; only sums leave the tasks.
     """
-    entries = integer_entries(vectors, id_col, vector_col)
+    entries = entries_of(vectors, id_col, vector_col)
     given = centre(entries)
     width = len(given.sums)
     covariance = mean_products(entries, width, given) if width and given.n else np.zeros((0, 0))
@@ -293,11 +300,11 @@ def whiten(vectors: DataFrame, components: int = COMPONENTS, id_col: str = "vec_
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Centre(**figures)
         for batch in batches:
-            for begin, rows in _rows(batch, width):
+            for places, rows in _rows(batch, width):
                 whitened = known.centred(rows) @ project if len(shares) else np.zeros((len(rows), 0))
                 offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * whitened.shape[1])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("vec_id").slice(begin, len(rows)), pa.array(known.squares(rows), pa.int64()),
+                    [batch.column("vec_id").take(pa.array(places)), pa.array(known.squares(rows), pa.int64()),
                      pa.ListArray.from_arrays(offsets, pa.array(whitened.ravel()))], names=["vec_id", "deviation", "whitened"])
 
     kind = T.StructType([T.StructField("vec_id", entries.schema["vec_id"].dataType), T.StructField("deviation", T.LongType()),
