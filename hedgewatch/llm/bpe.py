@@ -263,10 +263,11 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_i
     rows are encoded as often as they come; other columns of ``docs`` are not looked at. No shuffle.
     """
     context = docs.sparkSession.sparkContext
-    shared = context.broadcast(load_vocabulary(vocabulary_path))  # as large as the vocabulary, whatever the input
+    # As large as the vocabulary, whatever the input. Plain arrays: a broadcast names classes, and executors have no copy of this package.
+    shared = context.broadcast(vars(load_vocabulary(vocabulary_path)))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = Encoder(Vocabulary(**shared.value))
         for batch in batches:
             texts = texts_of(batch, "text")
             for begin, end in slices_of_texts(texts):
@@ -276,7 +277,7 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_i
                 arrays = [batch.column("doc_id").slice(begin, end - begin), pa.array(counts, pa.int64()),
                           pa.array([i.tobytes() for i in each], pa.binary())]
                 if decoded:
-                    arrays.append(pa.array([decode_ids(i, shared.value).decode("utf-8", "replace") for i in each], pa.string()))
+                    arrays.append(pa.array([decode_ids(i, encoder.vocabulary).decode("utf-8", "replace") for i in each], pa.string()))
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     rows = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).cast("string").alias("text"))
@@ -289,11 +290,12 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_i
 def decode_documents(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
     """(doc_id, decoded) of (doc_id, ids binary). Null ids decode to the empty text; bytes that are not UTF-8 become
     the replacement character."""
-    shared = encoded.sparkSession.sparkContext.broadcast(load_vocabulary(vocabulary_path))
+    shared = encoded.sparkSession.sparkContext.broadcast(vars(load_vocabulary(vocabulary_path)))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary(**shared.value)
         for batch in batches:
-            texts = [decode_ids(np.frombuffer(i or b"", "<u4"), shared.value).decode("utf-8", "replace")
+            texts = [decode_ids(np.frombuffer(i or b"", "<u4"), vocabulary).decode("utf-8", "replace")
                      for i in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "decoded"])
 

@@ -20,6 +20,14 @@ def quoted(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, or a longer name that no column has."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def ragged_index(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions ``starts[i] .. starts[i] + lengths[i] - 1`` of all i, one after another."""
     ends = np.cumsum(lengths)

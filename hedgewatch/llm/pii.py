@@ -14,19 +14,20 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hedgewatch.llm.common import quoted, replaced
+from hedgewatch.llm.common import quoted, unused
 from hedgewatch.session import cut_lineage
 
 #: Key of the draws where the caller gives none; whoever publishes results passes a secret one.
 KEY = "surrogates"
 #: Draws of one entity before giving up: a type whose surrogates are nearly used up would need more.
 MAX_DRAWS = 64
+#: Texts that a task holds as Python strings at a time.
+TEXTS_AT_ONCE = 256
 TYPES = ("email", "card", "iban", "ssn", "phone", "ip", "name")
 # Honorifics by gender.
 MALE = "Mr Herr Monsieur Señor Sr Signor Lord Sir Господин".split()
@@ -238,47 +239,46 @@ def replace_entities(docs: DataFrame, key: str = KEY, text_col: str = "text", re
     """``docs`` with every entity in ``text_col`` replaced; all other columns, and clean texts, as they were.
 
     Null and empty texts stay; repeated rows are replaced alike; an entity has the same surrogate in every document and
-    spelling. With ``report``, a column of that name lists (start, end, kind, surrogate) in the original text. Columns whose
-    names begin with ``_pii_`` are not allowed.
+    spelling. With ``report``, a column of that name (none of the input's) lists (start, end, kind, surrogate) in the original text. Columns of
+    any name pass through. Only texts go to the workers; a text with entities is written once, to the checkpoint folder.
     """
-    if any(c.startswith("_pii_") for c in docs.columns) or report in docs.columns:
-        raise ValueError("the input has a column of a reserved name")
-    schema = docs.schema
-
-    def find(clean: bool):
-        def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = [entities(t) if t else [] for t in batch.column(text_col).to_pylist()]
-                kept = np.array([bool(f) != clean for f in found], bool)
-                batch = batch.filter(pa.array(kept))
-                if not clean:
-                    lists = [[dict(zip(("start", "end", "kind", "canonical"), e, strict=True)) for e in f] for f in found if f]
-                    batch = replaced(batch, {"_pii_found": pa.array(lists, _ARROW_MENTIONS)})
-                yield batch
-        return own
-
-    untouched = docs.mapInArrow(find(True), schema)
-    touched = docs.mapInArrow(find(False), T.StructType([*schema, T.StructField("_pii_found", _MENTIONS)]))
-    touched = cut_lineage(touched.withColumn("_pii_row", F.monotonically_increasing_id()))
-    mentions = touched.select("_pii_row", F.inline("_pii_found"))
+    if report is not None and report.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"the input has a column {report}")
+    found_col, row, drawn_col = (unused([*docs.columns, report or ""], f"_pii_{n}") for n in ("found", "row", "drawn"))
+
+    def mentions_of(texts: pa.Array) -> pa.Array:
+        # A slice at a time: a batch's texts are not all held as Python strings.
+        lists = [[dict(zip(("start", "end", "kind", "canonical"), e, strict=True)) for e in (entities(t) if t else [])]
+                 for begin in range(0, len(texts), TEXTS_AT_ONCE) for t in texts.slice(begin, TEXTS_AT_ONCE).to_pylist()]
+        return pa.array(lists, _ARROW_MENTIONS)
+
+    def any_of(texts: pa.Array) -> pa.Array:
+        return pa.array([bool(t and entities(t)) for begin in range(0, len(texts), TEXTS_AT_ONCE)
+                         for t in texts.slice(begin, TEXTS_AT_ONCE).to_pylist()], pa.bool_())
+
+    def written(texts: pa.Array, drawn: pa.Array) -> pa.Array:
+        return pa.array([_written(t.as_py(), d.as_py()) for t, d in zip(texts, drawn, strict=True)], pa.string())
+
+    text = quoted(text_col)
+    untouched = docs.where(~F.arrow_udf(any_of, "boolean")(text))
+    touched = docs.withColumn(found_col, F.arrow_udf(mentions_of, _MENTIONS)(text)).where(F.size(found_col) > 0)
+    touched = cut_lineage(touched.withColumn(row, F.monotonically_increasing_id()))
+    mentions = touched.select(F.col(row).alias("row"), F.inline(found_col))
     drawn = surrogates(mentions, key)
     # A hot entity's mentions may be split by the optimizer; a document's mentions are bounded by its text.
-    named = mentions.join(drawn, ["kind", "canonical"]).groupBy("_pii_row").agg(
-        F.sort_array(F.collect_list(F.struct("start", "end", "kind", "surrogate"))).alias("_pii_drawn"))
-    joined = touched.drop("_pii_found").join(named, "_pii_row").drop("_pii_row")
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for text, drawn in zip(batch.column(text_col).to_pylist(), batch.column("_pii_drawn").to_pylist(), strict=True):
-                parts, at = [], 0
-                for d in drawn:
-                    parts += (text[at:d["start"]], shaped(d["kind"], text[d["start"]:d["end"]], d["surrogate"]))
-                    at = d["end"]
-                texts.append("".join(parts) + text[at:])
-            yield replaced(batch, {text_col: pa.array(texts, pa.string())})
-
-    done = joined.mapInArrow(write, joined.schema).withColumnRenamed("_pii_drawn", report or "_pii_drawn")
+    named = mentions.join(drawn, ["kind", "canonical"]).groupBy(F.col("row").alias(row)).agg(
+        F.sort_array(F.collect_list(F.struct("start", "end", "kind", "surrogate"))).alias(drawn_col))
+    done = touched.drop(found_col).join(named, row).withColumn(text_col, F.arrow_udf(written, "string")(text, F.col(drawn_col)))
+    columns = [quoted(c) for c in docs.columns]
     if report is None:
-        return done.select(*map(quoted, docs.columns)).unionByName(untouched)
-    return done.unionByName(untouched.withColumn(report, F.expr("array()").cast(done.schema[report].dataType)))
+        return done.select(*columns).unionByName(untouched.select(*columns))
+    none = F.array().cast(done.schema[drawn_col].dataType)
+    return done.select(*columns, F.col(drawn_col).alias(report)).unionByName(untouched.select(*columns, none.alias(report)))
+
+
+def _written(text: str, drawn: list[dict]) -> str:
+    parts, at = [], 0
+    for d in drawn:
+        parts += (text[at:d["start"]], shaped(d["kind"], text[d["start"]:d["end"]], d["surrogate"]))
+        at = d["end"]
+    return "".join(parts) + text[at:]

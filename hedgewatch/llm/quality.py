@@ -13,11 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hedgewatch.llm.common import quoted, replaced, slices_of_texts, texts_of
+from hedgewatch.llm.common import quoted, replaced, slices_of_lengths, slices_of_texts, texts_of
 
 STATISTICS = ("characters", "words", "word_length", "word_spread", "upper", "digit", "sign", "accent", "line_length",
               "distinct_words", "commonest_word", "signed_words", "title_words", "stops", "repeated_lines", "long_words")
@@ -141,13 +142,13 @@ def fit(labelled: DataFrame, label: str = "quality", name: str = "statistics") -
 
 def with_scores(measured: DataFrame, model: Model, name: str = "statistics", out: str = "score") -> DataFrame:
     """Adds ``out`` in place of the statistics; null statistics score as those of an empty text."""
-    shared = measured.sparkSession.sparkContext.broadcast(model)  # a fixed number of figures
+    figures = vars(model)  # a fixed number of them, sent with the function
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        empty = statistics_of([""])[0]
+        empty, known = statistics_of([""])[0], Model(**figures)
         for batch in batches:
             rows = [empty if r is None else r for r in batch.column(name).to_pylist()]
-            values = shared.value.scores(np.array(rows, float).reshape(-1, len(STATISTICS)))
+            values = known.scores(np.array(rows, float).reshape(-1, len(STATISTICS)))
             yield replaced(batch.drop_columns([name]), {out: pa.array(values)})
 
     kept = [f for f in measured.schema if f.name not in (name, out)]
@@ -155,18 +156,21 @@ def with_scores(measured: DataFrame, model: Model, name: str = "statistics", out
         score, T.StructType([*kept, T.StructField(out, T.DoubleType())]))
 
 
-def with_text_scores(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with the score of each whole text, measured and scored in one pass of one worker. Null text counts as empty."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of figures
+def text_score(model: Model, text_col: str = "text") -> Column:
+    """The score of each whole text; null text counts as empty. Only texts go to the worker and only scores come back; a text is
+    measured by itself, so a worker holds the words of one text whatever the size of a batch."""
+    figures = vars(model)  # a fixed number of them, sent with the function
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = texts_of(batch, text_col)
-            values = [shared.value.scores(statistics_of(texts[a:b])) for a, b in slices_of_texts(texts, CHARS_AT_ONCE)]
-            yield replaced(batch, {out: pa.array(np.concatenate(values) if values else np.zeros(0))})
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = Model(**figures)
+        for texts in batches:
+            lengths = pc.utf8_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
+            values = [known.scores(statistics_of([t or "" for t in texts.slice(a, b - a).to_pylist()]))
+                      for a, b in slices_of_lengths(lengths, CHARS_AT_ONCE)]
+            yield pa.array(np.concatenate(values) if values else np.zeros(0))
 
-    kept = [f for f in docs.schema if f.name != out]
-    return docs.select(*[quoted(f.name) for f in kept]).mapInArrow(score, T.StructType([*kept, T.StructField(out, T.DoubleType())]))
+    return scored(quoted(text_col))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -174,6 +178,13 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(quoted(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def training_labels(labels: DataFrame, most: int, label: str = "quality") -> DataFrame:
+    """At most ``most`` labels to fit on (those with the smallest hash of doc_id). Labels without document or value, or not 0 or 1, and held-out
+    rows are left out."""
+    marks = labels.select("doc_id", quoted(label).cast("int").alias(label)).where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out())
+    return marks.orderBy(F.xxhash64("doc_id"), "doc_id", label).limit(most)
+
+
 def training_rows(measured: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
     """Statistics and label of the rows to fit on. Labels without document or value, and held-out rows, are left out."""
     marks = labels.select("doc_id", quoted(label).alias(label)).where(F.col(label).isNotNull() & ~held_out())
