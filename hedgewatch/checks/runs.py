@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from hedgewatch.checks import inputs
 from hedgewatch.checks.registry import register
-from hedgewatch.checks.sql import statement
-from hedgewatch.operators.reuse import CLASS
+from hedgewatch.checks.sql import statement, type_name
+from hedgewatch.functions.policy import attack_type_name
+from hedgewatch.functions.verdict import VERDICT
+from hedgewatch.operators.reuse import CLASS, admit_exact
 from hedgewatch.plans.session import Options, run_session
-from hedgewatch.session import checkpoint_dir
+from hedgewatch.session import checkpoint_dir, cut_lineage
+from hedgewatch.sources import verdict_store
 from hedgewatch.streaming import incremental
 
 # a run without a provider stores ``unknown`` for whatever it has to ask, so an
@@ -65,34 +68,64 @@ def incremental_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{out}/alerts").select("line_number", "cache_hit")
 
 
+_SEVERITIES = ("low", "medium", "high", "critical")
+# half of all events have one key; the verdict asked for carries the line that asked
+_HOT = "CASE WHEN line_number % 2 = 0 THEN 'hot' ELSE canonical_key END"
+
+
 @register("streamed_exact_reuse", statement(
-    """SELECT line_number, CASE WHEN hit THEN 'exact' ELSE 'miss' END AS outcome, CASE WHEN hit THEN context_type END AS reused_type FROM (
-      SELECT *, coalesce(lag(context_type) OVER (PARTITION BY canonical_key ORDER BY line_number) = context_type, FALSE) AS hit
-      FROM contexts)""", "contexts"))
+    f"""SELECT line_number, CASE WHEN hit THEN 'exact' ELSE 'miss' END AS outcome, CASE WHEN hit THEN context_type END AS reused_type,
+      'asked at ' || asked AS explanation, ({list(_SEVERITIES)})[asked % 4 + 1] AS severity, asked % 700 AS input_tokens
+    FROM (SELECT *, last_value(CASE WHEN NOT hit THEN first_line END IGNORE NULLS) OVER (PARTITION BY key ORDER BY line_number) AS asked
+      FROM (SELECT *, coalesce(lag(context_type) OVER (PARTITION BY key ORDER BY line_number) = context_type, FALSE) AS hit,
+          min(line_number) OVER (PARTITION BY key, context_type, context_family, part) AS first_line
+        FROM (SELECT *, {_HOT} AS key, line_number * 3 // ((SELECT max(line_number) FROM contexts) + 1) AS part FROM contexts)))""", "contexts"))
 def streamed_exact_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyed state on a stream, where every verdict confirms its context."""
-    source, out = _folder(spark, "contexts"), _folder(spark, "outcomes")
-    rows = inputs.contexts(spark, sf_dir).select(*CLASS, "line_number", F.col("context_type").alias("verdict_type"))
-    rows.write.parquet(source)
-    stream = spark.readStream.schema(rows.schema).parquet(source)
-    query = incremental.stream_exact_reuse(stream).writeStream.format("parquet").option("path", out).option(
-        "checkpointLocation", _folder(spark, "stream")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.parquet(out).select("line_number", "outcome", "reused_type")
+    """Whole verdicts kept in a store while events arrive in three micro-batches; every verdict confirms its context."""
+    source, out, store, checkpoint = (_folder(spark, n) for n in ("contexts", "outcomes", "store", "stream"))
+    line = F.col("line_number")
+    given = {"attack_type": F.col("context_type"), "explanation": F.concat(F.lit("asked at "), line.cast("string")),
+             "severity": F.get(F.array(*map(F.lit, _SEVERITIES)), (line % 4).cast("int")), "input_tokens": line % 700}
+    verdict = F.struct(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in VERDICT.fields])
+    rows = cut_lineage(inputs.contexts(spark, sf_dir).select(*CLASS, "line_number").withColumns({
+        "canonical_key": F.expr(_HOT), "verdict": verdict}))
+    last = rows.agg(F.max("line_number").alias("last")).scalar()
+    for part in range(3):
+        rows.where(F.floor(line * 3 / (last + 1)) == part).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        incremental.stream_reuse(stream, store, out, checkpoint).awaitTermination()
+    return spark.read.parquet(out).select("line_number", "outcome", "reused_type", "verdict.explanation", "verdict.severity", "verdict.input_tokens")
 
 
 @register("streamed_upsert", statement(
-    """SELECT 'line:' || (line_number % 1000) AS alert_key, arg_max(severity, line_number) AS severity
-    FROM alerts GROUP BY ALL""", "alerts"))
+    """SELECT 'line:' || (line_number % 1000) AS alert_key, arg_max(severity, line_number) AS severity, max(line_number) AS arrival
+    FROM alerts GROUP BY 1""", "alerts"))
 def streamed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alerts arriving in line order under a thousand recurring line numbers."""
-    source, out = _folder(spark, "arrivals"), _folder(spark, "latest")
-    rows = inputs.alerts(spark, sf_dir).select(
+    """Alerts arriving in line order, in three micro-batches, under a thousand recurring line numbers."""
+    source, out, checkpoint = (_folder(spark, n) for n in ("arrivals", "latest", "stream"))
+    rows = cut_lineage(inputs.alerts(spark, sf_dir).select(
         (F.col("line_number") % 1000).alias("line_number"), "timestamp", "source_ip", "path", "merged_score",
-        "severity", F.col("line_number").alias("arrival"))
-    rows.write.parquet(source)
-    query = incremental.stream_upsert(
-        spark.readStream.schema(rows.schema).parquet(source), out, _folder(spark, "stream"))
-    query.awaitTermination()
-    return incremental.latest_upsert(spark, out).select(
-        F.concat(F.lit("line:"), F.col("line_number").cast("string")).alias("alert_key"), "severity")
+        "severity", F.col("line_number").alias("arrival")))
+    last = rows.agg(F.max("arrival").alias("last")).scalar()
+    for part in range(3):
+        rows.where(F.floor(F.col("arrival") * 3 / (last + 1)) == part).write.mode("append").parquet(source)
+        incremental.stream_upsert(spark.readStream.schema(rows.schema).parquet(source), out, checkpoint).awaitTermination()
+    return incremental.latest_upsert(spark, out).select("alert_key", "severity", "arrival")
+
+
+@register("verdict_store_lookup", statement(
+    f"""SELECT canonical_key, arg_max(kind, line_number) AS cached_type, max(line_number) AS line_number
+    FROM (SELECT k.canonical_key, k.line_number, {type_name('v_attack_type')} AS kind
+          FROM contexts k JOIN judged j USING (line_number)) GROUP BY canonical_key
+    HAVING bool_or(line_number % 10 = 3)""", "contexts", "judged"))
+def verdict_store_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six batches in a log-structured store, merged on the way; looked up by the keys of a tenth of the events."""
+    path = _folder(spark, "store")
+    keyed = cut_lineage(inputs.with_verdicts(inputs.contexts(spark, sf_dir)).select("canonical_key", "line_number", "verdict"))
+    empty = spark.createDataFrame([], verdict_store.ENTRIES)
+    last = keyed.agg(F.max("line_number").alias("last")).scalar()
+    for batch in range(6):
+        own = keyed.where(F.floor(F.col("line_number") * 6 / (last + 1)) == batch)
+        verdict_store.write_store(path, admit_exact(own), empty, batch + 1)
+    exact, _ = verdict_store.read_store(spark, path, keys=keyed.where("line_number % 10 = 3"))
+    return exact.select("canonical_key", attack_type_name(F.col("verdict.attack_type")).alias("cached_type"), "line_number")

@@ -59,7 +59,8 @@ def resolve(spark: SparkSession, flagged: DataFrame, options: Options,
         return without_reuse(flagged, options.provider), 0
     store = options.store_path
     batch = batch if batch is not None else (next_batch(spark, store) if store else 1)
-    exact, entries = read_store(spark, store, before_batch=batch) if store else read_store(
+    # only files that may hold one of the batch's keys are opened
+    exact, entries = read_store(spark, store, before_batch=batch, keys=flagged.select("canonical_key")) if store else read_store(
         spark, f"/nonexistent-{uuid.uuid4()}")
     return with_reuse(flagged, exact, entries, options.provider, options.embedder,
                       options.max_store_entries), batch

@@ -36,3 +36,26 @@ def listing(spark: SparkSession, path: str) -> list[tuple[str, str, bool]]:
         (s.getPath().getName(), s.getPath().toString(), s.isFile())
         for s in fs.listStatus(hadoop_path)
     )
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file that is there whole or not at all; an older one is replaced."""
+    hadoop_path, fs = _path_and_fs(spark, path)
+    part, _ = _path_and_fs(spark, f"{path}.part")
+    stream = fs.create(part, True)
+    try:
+        stream.write(text.encode())
+    finally:
+        stream.close()
+    fs.delete(hadoop_path, False)
+    if not fs.rename(part, hadoop_path):
+        raise OSError(f"cannot write {path}")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    hadoop_path, fs = _path_and_fs(spark, path)
+    stream = fs.open(hadoop_path)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()

@@ -1,6 +1,6 @@
-"""The verdict store: append-only exact verdicts and a bounded set of entries.
+"""The verdict store: exact verdicts, one per key, and a bounded set of entries.
 
-Layout: ``<path>/epoch=<n>/exact/batch=<id>`` and ``.../entries/version=<id>``.
+Layout: ``<path>/epoch=<n>/exact`` (a log-structured table) and ``.../entries/version=<id>``.
 Writing a batch again replaces it, so a retried batch changes nothing; clearing
 starts a new epoch.
 """
@@ -8,11 +8,11 @@ starts a new epoch.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hedgewatch.functions.verdict import VERDICT
-from hedgewatch.sources.files import exists, listing
+from hedgewatch.sources.files import exists, listing, remove
+from hedgewatch.sources.keyed_runs import last_batch, read_all, read_keys, write_run
 
 EXACT = T.StructType([
     T.StructField("canonical_key", T.StringType()),
@@ -44,39 +44,41 @@ def _epoch(spark: SparkSession, path: str) -> str:
     return f"{path}/epoch={max(_numbers(spark, path, 'epoch'), default=0)}"
 
 
-def read_store(spark: SparkSession, path: str, before_batch: int | None = None) -> tuple[DataFrame, DataFrame]:
+def read_store(spark: SparkSession, path: str, before_batch: int | None = None,
+               keys: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``(exact, entries)``: the latest verdict per key and the current entries.
-    ``before_batch`` reads the store as it was before that batch."""
+    ``before_batch`` reads the store as it was before that batch, the last or the one to come.
+    With ``keys(canonical_key)`` only their verdicts are looked for, in files that may hold them."""
     epoch = _epoch(spark, path)
-
-    def past(numbers: list[int]) -> list[int]:
-        return [n for n in numbers if before_batch is None or n < before_batch]
-
-    batches = past(_numbers(spark, f"{epoch}/exact", "batch", written=True))
-    if batches:
-        written = spark.read.schema(EXACT).option("basePath", f"{epoch}/exact").parquet(
-            *[f"{epoch}/exact/batch={n}" for n in batches])
-        last = F.max_by(F.struct("verdict", "line_number"), F.struct("batch", "line_number"))
-        exact = written.groupBy("canonical_key").agg(last.alias("l")).select("canonical_key", "l.*")
+    if keys is None:
+        exact = read_all(spark, f"{epoch}/exact", EXACT, "canonical_key", before_batch)
     else:
-        exact = spark.createDataFrame([], EXACT)
-    versions = past(_numbers(spark, f"{epoch}/entries", "version", written=True))
+        exact = read_keys(keys, f"{epoch}/exact", EXACT, "canonical_key", before_batch)
+    versions = [n for n in _numbers(spark, f"{epoch}/entries", "version", written=True) if before_batch is None or n < before_batch]
     entries = (spark.read.schema(ENTRIES).parquet(f"{epoch}/entries/version={versions[-1]}")
                if versions else spark.createDataFrame([], ENTRIES))
     return exact, entries
 
 
 def next_batch(spark: SparkSession, path: str) -> int:
-    return max(_numbers(spark, f"{_epoch(spark, path)}/exact", "batch", written=True), default=0) + 1
+    return last_batch(spark, f"{_epoch(spark, path)}/exact") + 1
 
 
-def write_store(path: str, new_exact: DataFrame, entries: DataFrame, batch: int) -> None:
-    """Append the exact verdicts of one batch and write the entries as of it.
-    ``entries`` must not read the version being written."""
-    epoch = _epoch(new_exact.sparkSession, path)
+def _write_entries(entries: DataFrame, epoch: str, batch: int) -> None:
     entries.select(*ENTRIES.names).coalesce(1).write.partitionBy("attack_type").mode(
         "overwrite").parquet(f"{epoch}/entries/version={batch}")
-    new_exact.select(*EXACT.names).write.mode("overwrite").parquet(f"{epoch}/exact/batch={batch}")
+
+
+def write_store(path: str, new_exact: DataFrame, entries: DataFrame, batch: int) -> None:
+    """Add the exact verdicts of one batch, at most one per key, and write the entries as of it.
+    ``entries`` must not read the version being written."""
+    spark = new_exact.sparkSession
+    epoch = _epoch(spark, path)
+    _write_entries(entries, epoch, batch)
+    write_run(new_exact.select(*EXACT.names), f"{epoch}/exact", "canonical_key", batch)
+    # a retry of this batch starts from the version before it
+    for n in [n for n in _numbers(spark, f"{epoch}/entries", "version") if n < batch][:-1]:
+        remove(spark, f"{epoch}/entries/version={n}")
 
 
 def clear_store(spark: SparkSession, path: str) -> None:
@@ -87,10 +89,9 @@ def clear_store(spark: SparkSession, path: str) -> None:
 
 
 def compact_store(spark: SparkSession, path: str) -> None:
-    """Rewrite the exact verdicts as one batch of a new epoch, with the entries."""
+    """Rewrite the exact verdicts as one run of a new epoch, with the entries."""
     exact, entries = read_store(spark, path)
     batch = next_batch(spark, path) - 1
     epoch = f"{path}/epoch={max(_numbers(spark, path, 'epoch'), default=0) + 1}"
-    exact.select(*EXACT.names).write.mode("overwrite").parquet(f"{epoch}/exact/batch={batch}")
-    entries.select(*ENTRIES.names).coalesce(1).write.partitionBy("attack_type").mode(
-        "overwrite").parquet(f"{epoch}/entries/version={batch}")
+    _write_entries(entries, epoch, batch)
+    write_run(exact, f"{epoch}/exact", "canonical_key", batch)

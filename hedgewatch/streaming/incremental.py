@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from hedgewatch.operators.search import upsert
+from hedgewatch import config
+from hedgewatch.functions.policy import attack_type_name
+from hedgewatch.operators.reuse import CLASS, admit_exact, exact_lookup, fold_reuse, join_dealt, number_classes
+from hedgewatch.operators.search import alert_key, upsert
 from hedgewatch.plans.session import Options, detect, resolve, session_source
-from hedgewatch.session import checkpoint_dir
-from hedgewatch.sources.files import exists, listing, remove
+from hedgewatch.session import checkpoint_dir, cut_lineage
+from hedgewatch.sources.files import listing
 from hedgewatch.sources.logs import lines_of, number_lines, refuse_hidden
-from hedgewatch.sources.verdict_store import write_store
+from hedgewatch.sources.merge_table import merge, read_merged
+from hedgewatch.sources.verdict_store import read_store, write_store
 
 
 def stream_lines(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -69,73 +69,62 @@ def _lines_before(spark: SparkSession, out: str, batch_id: int) -> int:
     return spark.read.parquet(*earlier).agg(F.coalesce(F.sum("lines"), F.lit(0))).first()[0]
 
 
-# --- keyed state --------------------------------------------------------------
-
-REUSE_OUTPUT = "canonical_key string, line_number bigint, context_type string, outcome string, reused_type string"
-
-
-def _compatible(context: str, stored: str | None) -> bool:
-    if stored is None:
-        return False
-    return stored in ("unknown", "normal") if context == "unknown" else stored == context
-
+# --- tables kept by streams ---------------------------------------------------
 
-def _replay(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    stored = state.get[0] if state.exists else None
-    for batch in [pd.concat(list(batches)).sort_values("line_number")]:
-        outcomes, reused = [], []
-        for context, verdict in zip(batch["context_type"], batch["verdict_type"]):
-            hit = _compatible(context, stored)
-            outcomes.append("exact" if hit else "miss")
-            reused.append(stored if hit else None)
-            stored = stored if hit else verdict
-        state.update((stored,))
-        yield batch[["canonical_key", "line_number", "context_type"]].assign(
-            outcome=outcomes, reused_type=reused)
+def stream_reuse(events: DataFrame, store_path: str, out: str, checkpoint: str, max_similar: int = config.STORE_MAX_ENTRIES) -> StreamingQuery:
+    """Exact reuse of whole verdicts while events arrive.
 
-
-def stream_exact_reuse(events: DataFrame) -> DataFrame:
-    """Exact reuse with the last stored verdict type of each key as state.
-
-    ``events(canonical_key, line_number, context_type, verdict_type)``; the last
-    column is the type of the verdict an event gets if it has to ask. A key's rows
-    within one micro-batch go through one task; where a key may flood, use
-    ``run_incremental``, whose batches are resolved without that.
+    ``events(canonical_key, context_type, context_family, line_number, verdict)``; the last column is the verdict that an event
+    gets if it has to ask (that of the first event of its class in a batch counts). What is stored for a key is the store's; within a batch
+    runs of events are reduced to maps from state to state and chained, so a key with any share of the rows is many tasks.
+    ``<out>/batch=<n>`` gets (canonical_key, line_number, context_type, outcome, verdict, reused_type); a retried batch replaces it.
     """
-    return events.select("canonical_key", "line_number", "context_type", "verdict_type").groupBy(
-        "canonical_key").applyInPandasWithState(
-            _replay, REUSE_OUTPUT, "stored string", "append", GroupStateTimeout.NoTimeout)
+    checkpoint_dir(events.sparkSession)
+
+    def batch(arrived: DataFrame, batch_id: int) -> None:
+        spark = arrived.sparkSession
+        rows = cut_lineage(arrived.select(*CLASS, "line_number", "verdict"))
+        classes = number_classes(rows.groupBy(*CLASS).agg(F.min("line_number").alias("first_line"), F.min_by("verdict", "line_number").alias("verdict")))
+        exact, entries = read_store(spark, store_path, before_batch=batch_id + 1, keys=rows)
+        known = cut_lineage(exact_lookup(classes, exact).withColumns({
+            "accepted": F.lit(False), "verdict_type": attack_type_name(F.col("verdict.attack_type"))}))
+        folded = fold_reuse(rows.drop("verdict"), known)
+        used = F.when(F.col("state") > 0, F.col("state")).otherwise(F.col("class_no"))
+        resolved = join_dealt(folded.withColumn("used", used), known.select(
+            "canonical_key", F.col("class_no").alias("used"), "verdict", "exact_verdict"), ["canonical_key", "used"])
+        hit = F.col("outcome") == "exact"
+        verdict = F.when(hit & (F.col("state") == 0), F.col("exact_verdict")).otherwise(F.col("verdict"))
+        resolved.select("canonical_key", "line_number", "context_type", "outcome", verdict.alias("verdict")).withColumn(
+            "reused_type", F.when(F.col("outcome") == "exact", attack_type_name(F.col("verdict.attack_type")))).write.mode(
+            "overwrite").parquet(f"{out}/batch={batch_id}")
+        asked = spark.read.parquet(f"{out}/batch={batch_id}").where("outcome = 'miss'")
+        write_store(store_path, admit_exact(asked), entries.orderBy(F.col("seq").desc()).limit(max_similar), batch_id + 1)
+
+    return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_upsert(alerts: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Keep ``<out>/version=<batch>`` as the latest alert per key while alerts arrive;
-    later batches win, within a batch later ``arrival``. Rereading one version and
-    writing the next makes a retried batch harmless."""
+    """Keep the latest alert per key in a bucketed table while alerts arrive; later batches win, within a batch
+    later ``arrival``. A batch rewrites the buckets of its own keys; a retried one starts from the table before it."""
     checkpoint_dir(alerts.sparkSession)
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+    def merge_batch(batch: DataFrame, batch_id: int) -> None:
         # earlier batches' rows are older whatever their arrival number
-        fresh = batch.withColumn("arrival_batch", F.lit(batch_id).cast("bigint"))
-        if batch_id > 0 and exists(spark, f"{out}/version={batch_id - 1}"):
-            old = spark.read.parquet(f"{out}/version={batch_id - 1}").drop("alert_key")
-            fresh = old.unionByName(fresh)
-        latest = upsert(fresh.withColumn("__order", F.struct("arrival_batch", "arrival")), "__order")
-        latest.drop("__order").write.mode("overwrite").parquet(f"{out}/version={batch_id}")
-        # a retry of this batch starts from the version before it, nothing from an older one
-        remove(spark, f"{out}/version={batch_id - 2}")
-
-    return (alerts.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+        fresh = batch.withColumns({"arrival_batch": F.lit(batch_id).cast("bigint"), "alert_key": alert_key()})
+
+        def newest(rows: DataFrame) -> DataFrame:
+            ordered = rows.withColumn("__order", F.struct("arrival_batch", "arrival"))
+            return upsert(ordered.drop("alert_key"), "__order").select(*rows.columns)
+
+        merge(fresh, out, "alert_key", batch_id, newest)
+
+    return (alerts.writeStream.foreachBatch(merge_batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
 def latest_upsert(spark: SparkSession, out: str) -> DataFrame:
-    """The newest finished version that ``stream_upsert`` wrote."""
-    versions = [int(name[8:]) for name, full, regular in listing(spark, out)
-                if not regular and name.startswith("version=") and exists(spark, f"{full}/_SUCCESS")]
-    if not versions:
-        raise FileNotFoundError(f"no finished version in {out}")
-    return spark.read.parquet(f"{out}/version={max(versions)}")
+    """The table of ``stream_upsert`` as of its last batch."""
+    return read_merged(spark, out)
 
 
 def stream_progress(spark: SparkSession, out: str) -> DataFrame:

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from hedgewatch.functions.verdict import VERDICT
 from hedgewatch.plans.session import Options
 from hedgewatch.sources import verdict_store
 from hedgewatch.streaming import incremental
@@ -50,8 +51,10 @@ def test_keyed_state_survives_batches(spark, tmp_path):
 
     def run():
         stream = spark.readStream.schema(schema).parquet(source)
-        incremental.stream_exact_reuse(stream).writeStream.format("parquet").option("path", out).option(
-            "checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+        kinds = {f.name: F.lit(None).cast(f.dataType) for f in VERDICT.fields} | {
+            "attack_type": F.col("verdict_type"), "explanation": F.concat(F.lit("line "), F.col("line_number").cast("string"))}
+        events = stream.withColumns({"verdict": F.struct(*[c.alias(n) for n, c in kinds.items()]), "context_family": F.lit("family")})
+        incremental.stream_reuse(events, str(tmp_path / "store"), out, str(tmp_path / "check")).awaitTermination()
 
     feed(spark, source, [("k", "xss", 2, "xss"), ("k", "sqli", 1, "csrf"), ("j", "unknown", 3, "normal")], schema)
     run()
@@ -60,6 +63,8 @@ def test_keyed_state_survives_batches(spark, tmp_path):
     got = {r["line_number"]: (r["outcome"], r["reused_type"]) for r in spark.read.parquet(out).collect()}
     assert got == {1: ("miss", None), 2: ("miss", None), 3: ("miss", None), 4: ("exact", "xss"), 5: ("exact", "normal"),
                    6: ("miss", None), 7: ("miss", None)}
+    said = {r["line_number"]: r["verdict"]["explanation"] for r in spark.read.parquet(out).collect()}
+    assert said == {1: "line 1", 2: "line 2", 3: "line 3", 4: "line 2", 5: "line 3", 6: "line 6", 7: "line 7"}
 
 
 def test_streamed_upsert_over_batches(spark, tmp_path):
@@ -74,5 +79,5 @@ def test_streamed_upsert_over_batches(spark, tmp_path):
     run()
     feed(spark, source, [(1, "t", "i", "p", 0.5, "medium", 2), (3, "t", "i", "p", 0.5, "low", 3)], schema)
     run()
-    got = {r["line_number"]: r["severity"] for r in spark.read.parquet(f"{out}/version=1").collect()}
+    got = {r["line_number"]: r["severity"] for r in incremental.latest_upsert(spark, out).collect()}
     assert got == {1: "medium", 2: "low", 3: "low"}
