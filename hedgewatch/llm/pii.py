@@ -261,7 +261,9 @@ def replace_entities(docs: DataFrame, key: str = KEY, text_col: str = "text", re
 
     text = quoted(text_col)
     untouched = docs.where(~F.arrow_udf(any_of, "boolean")(text))
-    touched = docs.withColumn(found_col, F.arrow_udf(mentions_of, _MENTIONS)(text)).where(F.size(found_col) > 0)
+    # Else the filter would be pushed below the column, and every text be searched for both.
+    found = F.arrow_udf(mentions_of, _MENTIONS).asNondeterministic()(text)
+    touched = docs.withColumn(found_col, found).where(F.size(found_col) > 0)
     touched = cut_lineage(touched.withColumn(row, F.monotonically_increasing_id()))
     mentions = touched.select(F.col(row).alias("row"), F.inline(found_col))
     drawn = surrogates(mentions, key)

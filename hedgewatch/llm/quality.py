@@ -102,26 +102,36 @@ class Model:
         return 1 / (1 + np.exp(-odds))
 
 
-def fit(labelled: DataFrame, label: str = "quality", name: str = "statistics") -> Model:
-    """Fit on every row of ``labelled`` with label 0 or 1 (others are left out).
+def fit(labelled: DataFrame, label: str = "quality", name: str = "statistics", text_col: str | None = None) -> Model:
+    """Fit on every row of ``labelled`` with label 0 or 1 (others are left out), from its statistics or, with ``text_col``, from its texts.
 
     Only sums leave the tasks: one row per class and entry of the moments, added up in Spark. Where a class has too few rows
     for a covariance (fewer than 2), the score is the constant (rows of class 1 + 1) / (rows + 2).
     """
     width = len(STATISTICS)
 
+    def measured(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        if text_col is None:
+            yield 0, batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            return
+        texts = batch.column(text_col)
+        for a, b in slices_of_lengths(pc.utf8_length(texts).fill_null(0).to_numpy(zero_copy_only=False), CHARS_AT_ONCE):
+            yield a, statistics_of([t or "" for t in texts.slice(a, b - a).to_pylist()])
+
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 + width + width * width))
         for batch in batches:
-            rows = batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-            marks = batch.column("mark").to_numpy(zero_copy_only=False)
-            for k in (0, 1):
-                own = rows[marks == k]
-                total[k] += np.concatenate(([len(own)], own.sum(axis=0), (own.T @ own).ravel()))
+            every = batch.column("mark").to_numpy(zero_copy_only=False)
+            for begin, rows in measured(batch):
+                marks = every[begin:begin + len(rows)]
+                for k in (0, 1):
+                    own = rows[marks == k]
+                    total[k] += np.concatenate(([len(own)], own.sum(axis=0), (own.T @ own).ravel()))
         entries = np.flatnonzero(total.ravel())
         yield pa.RecordBatch.from_arrays([pa.array(entries), pa.array(total.ravel()[entries])], names=["entry", "part"])
 
-    rows = labelled.select(quoted(name), quoted(label).cast("int").alias("mark")).where(f"mark IN (0, 1) AND `{name}` IS NOT NULL")
+    usable = f"`{name}` IS NOT NULL" if text_col is None else "true"
+    rows = labelled.select(quoted(text_col or name), quoted(label).cast("int").alias("mark")).where(f"mark IN (0, 1) AND {usable}")
     sums = rows.mapInArrow(moments, "entry bigint, part double").groupBy("entry").agg(F.sum("part").alias("total"))
     total = np.zeros(2 * (1 + width + width * width))
     for entry, value in sums.collect():  # at most as many rows as there are moments
