@@ -28,7 +28,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     warning. Columns of any name pass through."""
     marks = quality.training_labels(table(spark, sf_dir, "labels"), TRAINING_ROWS)
     labelled = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id")  # at most TRAINING_ROWS pairs of numbers
-    model = quality.fit(quality.with_statistics(labelled.select("text", "quality")))
+    model = quality.fit(labelled, text_col="text")
     if model.constant_score is not None:
         logging.getLogger(__name__).warning("too few labels of a class: no document is rejected")
         return docs
