@@ -11,7 +11,7 @@ from hedgewatch.checks import inputs
 from hedgewatch.checks.registry import register
 from hedgewatch.checks.sql import LATENCY, score_severity, severity_name, statement
 from hedgewatch.operators import alerts as alert_ops
-from hedgewatch.operators import metrics, search
+from hedgewatch.operators import metrics, rank_index, search
 from hedgewatch.session import checkpoint_dir
 
 _READ = f"coalesce({severity_name('severity')}, {severity_name('v_severity')}, {score_severity('merged_score')})"
@@ -113,6 +113,18 @@ def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(page)
 
 
+@register("last_page", statement(
+    """SELECT line_number, merged_score, rank FROM (
+      SELECT line_number, merged_score, row_number() OVER (ORDER BY merged_score DESC, line_number) AS rank, count(*) OVER () AS n FROM alerts)
+    WHERE rank > (ceil(n / 50.0)::BIGINT - 1) * 50""", "alerts"))
+def last_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deepest page, from alerts stored in display order: it opens the ranges that it lies in."""
+    path = f"{checkpoint_dir(spark)}/ranked-{uuid.uuid4()}"
+    rank_index.build_rank_index(_alerts(spark, sf_dir), path, "merged_score", "desc", range_rows=1000)
+    pages = search.totals(spark.read.parquet(f"{path}/rows"), 50).first()["total_pages"]
+    return rank_index.page_from_index(spark, path, pages, 50).select("line_number", "merged_score", "rank")
+
+
 @register("search_totals", statement(
     f"SELECT count(*) AS total, greatest(1, ceil(count(*) / 20.0))::BIGINT AS total_pages FROM alerts WHERE {_READ} IN ('high')", "alerts"))
 def search_totals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hedgewatch.operators.selection import kth_smallest
+
 QUANTILE = 0.95
-# Rank error of the bracket sketch is n / ACCURACY; the bracket is five times that.
+# Rank error of the approximate value is n / ACCURACY.
 ACCURACY = 100_000
 
 
@@ -54,21 +56,9 @@ def latency_p95(lines: DataFrame, exact: bool = True) -> DataFrame:
     if not exact:
         return values.agg(F.round(F.percentile_approx("v", F.lit(QUANTILE), F.lit(ACCURACY)), 2)
                           .alias("latency_p95_ms"))
-    slack = 5 / ACCURACY
-    sketch = values.agg(
-        F.percentile_approx("v", F.lit(QUANTILE - slack), F.lit(ACCURACY)).alias("low"),
-        F.percentile_approx("v", F.lit(QUANTILE + slack), F.lit(ACCURACY)).alias("high"))
-    bracket = sketch.select(F.struct("low", "high")).scalar()
-    # one more value up: on few rows the sketch is exact and may stop one short
-    split = values.agg(F.struct(
-        F.count("*").alias("n"), F.count_if(F.col("v") < bracket["low"]).alias("below"),
-        F.min(F.when(F.col("v") > bracket["high"], F.col("v"))).alias("above"))).scalar()
-    inside = values.filter(F.col("v").between(
-        bracket["low"], F.coalesce(split["above"], bracket["high"])
-    )).groupBy("v").agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = inside.withColumn("upto", upto + split["below"])
-    found = ranked.filter(F.col("upto") > F.floor(split["n"] * QUANTILE))
+    rows = values.withColumn("one", F.lit(1))
+    wanted = rows.groupBy("one").agg((F.floor(F.count("*") * QUANTILE) + 1).alias("k"))
+    found = kth_smallest(rows, wanted, "one", "v")
     return found.agg(F.coalesce(F.round(F.min("v"), 2), F.lit(0.0)).alias("latency_p95_ms"))
 
 
