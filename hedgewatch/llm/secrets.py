@@ -79,8 +79,10 @@ class Novelty:
 
     def of(self, text: str, start: int, end: int) -> float:
         """Bytes that text[start:end] adds to its surroundings, per byte."""
-        before, after = LEAD + text[max(0, start - AROUND):start], text[end:end + AROUND]
-        return max(0, self.size(before + after + text[start:end]) - self.size(before + after)) / max(1, end - start)
+        own = text[start:end]
+        # Its own copies say nothing about whether it is known: a secret may stand twice.
+        before, after = LEAD + text[max(0, start - AROUND):start].replace(own, ""), text[end:end + AROUND].replace(own, "")
+        return max(0, self.size(before + after + own) - self.size(before + after)) / max(1, end - start)
 
 
 def candidates(text: str, base: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
@@ -100,8 +102,6 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty) -
     """Candidates in a sensitive context (a name directly before the value counts) that stay incompressible."""
     found = []
     for a, b in candidates(text, base):
-        if not any(c.isalpha() for c in text[a:b]):
-            continue
         if SENSITIVE.search(text, max(0, a - NEAR), a) or SENSITIVE.search(text, b, b + NEAR):
             if novelty.of(text, a, b) >= LEAST_NOVELTY:
                 found.append((a, b, "novel"))
