@@ -28,8 +28,11 @@ THRESHOLD, NEIGHBOURS, ORDERS, HYPERPLANES = 0.9, 8, 8, 24
 BLOCK, AROUND = 64, 64
 #: Refinement ends after so many rounds, or when fewer than this share of list entries change.
 ROUNDS, STILL = 4, 0.002
-#: Vectors audited against all others (a bounded sample by hash), least recall, and how often lists are doubled for it.
-AUDITED, LEAST_RECALL, DOUBLINGS = 1024, 0.95, 2
+#: Vectors audited against all others (bounded samples by hash, each larger than the one before), how many with links will do, least recall, and
+#: how often lists are doubled for it.
+AUDITED, ENOUGH, LEAST_RECALL, DOUBLINGS = (1024, 8192, 65_536), 200, 0.95, 2
+#: Links of an audited node that a task passes on.
+FEW = 64
 #: Nodes of the sample are strata by the power of this base that their true links reach.
 STRATUM = 8
 #: Vectors of one component compared in one go, or of a block where all are compared.
@@ -268,37 +271,81 @@ def links_within(members: DataFrame, threshold: float) -> DataFrame:
     return alone.unionByName(met).groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def recall(nodes: DataFrame, counted: DataFrame, threshold: float, audited: int = AUDITED, seed: int = 0) -> float:
-    """The least recall of the strata of a bounded sample of nodes.
+class Audit:
+    """True links of a bounded sample of nodes, from comparing it with all of them.
 
-    A node counts if it links with a different vector, and counts once: its recall is the share of its links with different vectors that
-    was found. Strata are by number of these links, so that neither large groups hide small ones nor the other way round. 1 if no node counts.
+    The sample grows until ``ENOUGH`` of its nodes have a link with a different vector, or it holds all nodes or the last of ``AUDITED``:
+    where links are rare, a small sample would say nothing. ``links`` are the links it met on nodes with at most ``FEW`` of them in a task, which
+    is where a search loses some; ``complete`` tells that all nodes were audited.
     """
-    sample = nodes.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(audited)
-    asked = [(r["id"], r["raw"], r["copies"]) for r in sample.select("id", "raw", "copies").collect()]
-    shared = nodes.sparkSession.sparkContext.broadcast(asked)  # at most ``audited`` vectors
+
+    def __init__(self, nodes: DataFrame, threshold: float, sizes: tuple[int, ...] = AUDITED, seed: int = 0):
+        count = nodes.count()
+        for size in sizes:
+            self.sample = nodes.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(size).select("id")
+            asked = nodes.join(F.broadcast(self.sample), "id").select("id", "raw", "copies").collect()  # at most ``size`` vectors
+            self.copies = {r["id"]: r["copies"] for r in asked}
+            met = cut_lineage(_met(nodes, [(r["id"], r["raw"]) for r in asked], threshold))
+            # Nodes of the sample with their true links with different vectors: at most ``size`` rows.
+            self.true = dict(met.where("b IS NULL").groupBy("a").agg(F.sum("copies")).collect())
+            self.complete = size >= count
+            if self.complete or len(self.true) >= ENOUGH:
+                break
+        self.links = met.where("b IS NOT NULL").selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct()
+
+    def recall(self, counted: DataFrame) -> float:
+        """The least recall of the strata of the sample.
+
+        A node counts if it links with a different vector, and counts once: its recall is the share of its links with different vectors that
+        was found. Strata are by number of these links, so that neither large groups hide small ones nor the other way round. 1 if no node counts.
+        """
+        links = {r["id"]: r["links"] for r in counted.join(F.broadcast(self.sample), "id").select("id", "links").collect()}
+        strata: dict[int, list[float]] = {}
+        for node, true in self.true.items():
+            copies = self.copies[node]
+            strata.setdefault(int(math.log(true + 0.5, STRATUM)), []).append((links.get(node, copies - 1) - copies + 1) / true)
+        return min((sum(shares) / len(shares) for shares in strata.values()), default=1.0)
+
+
+def recall(nodes: DataFrame, counted: DataFrame, threshold: float) -> float:
+    """The audited recall of what ``counted`` (id, links) says of ``nodes``."""
+    return Audit(nodes, threshold).recall(counted)
+
+
+def _met(nodes: DataFrame, asked: list[tuple[int, bytes]], threshold: float) -> DataFrame:
+    """(a, b, copies) of audited nodes a: rows with b are links with it, rows without sum up the copies linked within a task."""
+    shared = nodes.sparkSession.sparkContext.broadcast(asked)  # at most the last of AUDITED vectors
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(shared.value), np.int64)
-        widths = np.array([len(r) for _, r, _ in shared.value])
-        ids = np.array([i for i, _, _ in shared.value])
-        for batch in batches:
-            raws, own, copies = batch.column("raw").to_pylist(), batch.column("id").to_numpy(), batch.column("copies").to_numpy()
-            for width in {len(r) for r in raws} & set(widths.tolist()):
-                at, to = np.flatnonzero(widths == width), np.array([i for i, r in enumerate(raws) if len(r) == width])
-                near = unit_rows([shared.value[i][1] for i in at]) @ unit_rows([raws[i] for i in to]).T >= threshold
-                near[ids[at][:, None] == own[to][None, :]] = False
-                total[at] += near @ copies[to]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["place", "links"])
-
-    true = dict(nodes.select("id", "raw", "copies").mapInArrow(count, "place bigint, links bigint").groupBy("place").agg(F.sum("links")).collect())
-    links = {r["id"]: r["links"] for r in counted.join(F.broadcast(sample.select("id")), "id").select("id", "links").collect()}
-    strata: dict[int, list[float]] = {}
-    for place, (node, _, copies) in enumerate(asked):
-        if true[place]:
-            stratum = int(math.log(true[place] + 0.5, STRATUM))
-            strata.setdefault(stratum, []).append((links.get(node, copies - 1) - copies + 1) / true[place])
-    return min((sum(shares) / len(shares) for shares in strata.values()), default=1.0)
+        by_width: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for width in {len(r) for _, r in shared.value}:
+            own = [(i, r) for i, r in shared.value if len(r) == width]
+            by_width[width] = np.array([i for i, _ in own]), unit_rows([r for _, r in own])
+        total = {w: np.zeros(len(ids), np.int64) for w, (ids, _) in by_width.items()}
+        few = {w: np.zeros(len(ids), np.int64) for w, (ids, _) in by_width.items()}
+        for whole in batches:
+            for begin in range(0, whole.num_rows, MEETING):
+                batch = whole.slice(begin, MEETING)
+                raws, own, copies = batch.column("raw").to_pylist(), batch.column("id").to_numpy(), batch.column("copies").to_numpy()
+                for width in {len(r) for r in raws} & set(by_width):
+                    ids, rows = by_width[width]
+                    to = np.array([i for i, r in enumerate(raws) if len(r) == width])
+                    others = unit_rows([raws[i] for i in to]).T
+                    for first in range(0, len(ids), MEETING):
+                        at, other = np.nonzero(rows[first:first + MEETING] @ others >= threshold)
+                        at, other = at + first, to[other]
+                        different = ids[at] != own[other]
+                        at, other = at[different], other[different]
+                        if len(at):
+                            np.add.at(total[width], at, copies[other])
+                            kept = few[width][at] < FEW
+                            np.add.at(few[width], at, 1)
+                            yield pa.RecordBatch.from_arrays([pa.array(ids[at[kept]]), pa.array(own[other[kept]]), pa.array(copies[other[kept]])], names=["a", "b", "copies"])
+        for width, (ids, _) in by_width.items():
+            found = np.flatnonzero(total[width])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[found]), pa.nulls(len(found), pa.int64()), pa.array(total[width][found])], names=["a", "b", "copies"])
+
+    return nodes.select("id", "raw", "copies").mapInArrow(count, "a bigint, b bigint, copies bigint")
 
 
 def all_pairs(nodes: DataFrame, threshold: float) -> DataFrame:
@@ -331,10 +378,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = N
                     seed: int = 1) -> DataFrame:
     """(vec_id, n_links, component_id, kept): one row a vector.
 
-    n_links counts the other vectors with a cosine of at least ``threshold`` (in double precision) that were found (all, where the audit
-    did not reach LEAST_RECALL and all vectors were compared), component_id is
+    n_links counts the other vectors with a cosine of at least ``threshold`` (in double precision) that were found, component_id is
     the smallest vec_id reachable over links, kept tells vectors that are their component's smallest. Vectors that are null, zero, empty or hold
-    null or non-finite components have no links. Repeated rows are vectors of their own; rows without vec_id link but name no component.
+    null or non-finite components have no links. All links are found where the audit covered all vectors, or failed and all were compared; else the audited
+    recall is at least LEAST_RECALL (logged, with the number of nodes that it rests on) and single links may be missing. Repeated rows are vectors of their own; rows without vec_id link but name no component.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
@@ -348,7 +395,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = N
     nodes = cut_lineage(nodes.withColumn("id", F.when(F.row_number().over(twice) > 1, F.xxhash64("key", "id")).otherwise(F.col("id"))))
     count, least = nodes.count(), threshold - MARGIN
     fresh = first_neighbours(nodes, k, least, seed)
-    links = None
+    links = audit = None
     for doubling in range(DOUBLINGS + 1):
         found = cut_lineage(fresh)
         links = cut_lineage(_linked(found, links))
@@ -365,8 +412,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = N
         near = lists.where(F.col("score") >= least).selectExpr("least(id, other) AS a", "greatest(id, other) AS b")
         exact = exact_links(links.unionByName(near).distinct(), nodes, threshold)
         joined, inner = _counted(exact, nodes, threshold)
-        share = recall(nodes, inner, threshold, seed=seed)
-        logging.getLogger(__name__).info("recall of the audited sample: %.4f", share)
+        audit = audit or Audit(nodes, threshold, seed=seed)
+        share = audit.recall(inner)
+        logging.getLogger(__name__).info("recall of the %d audited nodes that have links: %.4f", len(audit.true), share)
+        if share < 1 and (share >= LEAST_RECALL or audit.complete):
+            # What the audit met and the search had lost is linked too.
+            joined, inner = _counted(cut_lineage(exact.unionByName(audit.links).distinct()), nodes, threshold)
+            share = audit.recall(inner) if audit.complete else share
         if share >= LEAST_RECALL:
             break
         k, seed = 2 * k, seed + 1
