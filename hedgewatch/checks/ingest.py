@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hedgewatch import config
@@ -192,6 +192,27 @@ def rule_union(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").alias("rules"), F.countDistinct("pattern").alias("patterns"))
 
 
+# a rule for every pair of part type and size, hundreds whatever the table's size
+_NUMBERED = """(SELECT row_number() OVER (ORDER BY p_type, p_size) - 1 AS n FROM (SELECT DISTINCT p_type, p_size FROM part))"""
+
+
+@register("imported_rule_hits", statement(
+    f"""SELECT rule, count(*) AS events, min(line_number) AS first_line FROM (
+      SELECT unnest(matched_rules) AS rule, line_number FROM detected
+      UNION ALL SELECT 'crs_' || (941000 + n), line_number
+      FROM (SELECT *, {any_text()} AS any_text FROM log) l, {_NUMBERED} r
+      WHERE regexp_matches(any_text, '(?i)(?:shelf|USER|page)=' || n || '(?:[^0-9]|$)')) GROUP BY rule""", "detected", "log"))
+def imported_rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hundreds of imported rules on all lines; most lines hold no text that one of them needs."""
+    kinds = inputs.table(spark, sf_dir, "part").select("p_type", "p_size").distinct()
+    raw = kinds.select((F.row_number().over(Window.orderBy("p_type", "p_size")) + 940999).cast("bigint").alias("id")).select(
+        "id", F.concat(F.lit("(?:shelf|USER|page)="), F.col("id") - 941000, F.lit("(?:[^0-9]|$)")).alias("regex"),
+        F.lit("xss").alias("attack_type"), F.lit("ARGS").alias("target"))
+    table = rules.with_imported(spark, raw)
+    found = detect.apply_rules(inputs.access_log(spark, sf_dir), table)
+    return detect.rule_hits(found).groupBy("rule").agg(F.count("*").alias("events"), F.min("line_number").alias("first_line"))
+
+
 @register("indicator_paths", """
     SELECT DISTINCT path FROM (
       SELECT unnest(['/product/' || (c_custkey % 1000), '/nation/' || c_nationkey]) AS path FROM customer

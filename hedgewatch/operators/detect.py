@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hedgewatch.functions.literals import FOLDED, roots, shared_pattern
 from hedgewatch.functions.once import with_columns_once
 from hedgewatch.functions.text import quoted
 from hedgewatch.sources.rules import BUILTIN, RULE_COLUMNS
 
-HIT = "struct<name:string,score:double,attack_type:string>"
+HIT = "struct<place:int,name:string,score:double,attack_type:string>"
+#: Imported rules that are passed over together.
+GROUP = 25
 FIELDS = ("path", "query_string", "content", "user_agent")
 
 
@@ -27,20 +30,29 @@ def apply_rules(access_log: DataFrame, rules: DataFrame | None = None) -> DataFr
     driver and becomes literal patterns in one projection: no join, no shuffle,
     and each pattern is compiled once per task. The hits are evaluated once, even
     below later filters on the score. Rules with ``needles`` are only tried on
-    texts that contain one.
+    texts that contain one: built-in rules look for their own, those of all imported
+    rules are found together, by one pattern per text.
     """
     if rules is None:
         listed = [dict(zip(RULE_COLUMNS, row)) for row in BUILTIN]
     else:
         listed = [row.asDict() for row in rules.orderBy("ordinal").collect()]
     value = {c: c for c in FIELDS if c in access_log.columns} | {"any": "__any"}
-    tests = [_test(rule, value[rule["field"]]) for rule in listed if rule["field"] in value]
-    hits = F.expr(f"CAST(array_compact(array({', '.join(tests)})) AS ARRAY<{HIT}>)")
+    listed = [rule for rule in listed if rule["field"] in value]
+    linked = [(i, rule) for i, rule in enumerate(listed) if rule["needles"] and rule["source"] != "custom"]
+    alone = [(i, rule) for i, rule in enumerate(listed) if not rule["needles"] or rule["source"] == "custom"]
+    hits = f"array_compact(array({', '.join(_test(i, rule, value[rule['field']]) for i, rule in alone)}))"
 
     text = access_log.withColumn("__any", any_text(access_log.columns)).selectExpr(
         # every field is part of this text; lower-casing is plain only for ASCII
         "*", "lower(__any) AS __low", "length(__any) = octet_length(__any) AS __plain")
-    found = with_columns_once(text, {"__hits": hits})
+    if linked:
+        root = roots(n for _, rule in linked for n in rule["needles"])
+        folded = f"IF(__plain, __low, lower(translate(__any, {quoted(FOLDED[0])}, {quoted(FOLDED[1])})))"
+        pattern = quoted(shared_pattern(sorted(set(root.values()))))
+        text = with_columns_once(text, {"__found": F.expr(f"array_distinct(regexp_extract_all({folded}, {pattern}, 1))")})
+        hits = f"array_sort(concat({hits}, {_linked_tests(linked, root, value)}))"
+    found = with_columns_once(text, {"__hits": F.expr(f"CAST({hits} AS ARRAY<{HIT}>)")})
     kept = [f"`{c}`" for c in access_log.columns]
     return found.selectExpr(
         *kept,
@@ -52,16 +64,36 @@ def apply_rules(access_log: DataFrame, rules: DataFrame | None = None) -> DataFr
     )
 
 
-def _test(rule: dict, value: str) -> str:
+def _test(place: int, rule: dict, value: str) -> str:
     """SQL for the hit of one rule, NULL if it does not match."""
     matches = f"{value} RLIKE {quoted(rule['pattern'])}"
-    if rule.get("needles"):
+    if rule.get("needles") and rule["source"] == "custom":
         possible = " OR ".join(f"contains(__low, {quoted(n)})" for n in rule["needles"])
         matches = f"(NOT __plain OR {possible}) AND {matches}"
-    return (f"CASE WHEN {matches} THEN named_struct('name', {quoted(rule['name'])}, "
+    return (f"CASE WHEN {matches} THEN named_struct('place', {place}, 'name', {quoted(rule['name'])}, "
             f"'score', {float(rule['score'])!r}D, 'attack_type', {quoted(rule['attack_type'])}) END")
 
 
+def _linked_tests(linked: list[tuple[int, dict]], root: dict[str, str], value: dict[str, str]) -> str:
+    """SQL for the hits of rules whose needles are looked up in ``__found``. Rules with like needles stand together, and a group
+    is passed over where none of its needles was found, so that a text without any costs no rule at all."""
+    needs = sorted(((sorted({root[n] for n in rule["needles"]}), place, rule) for place, rule in linked), key=lambda x: x[:2])
+    groups = []
+    for start in range(0, len(needs), GROUP):
+        group = needs[start:start + GROUP]
+        tests = ", ".join(f"CASE WHEN {_any_found(roots_)} THEN {_test(place, rule, value[rule['field']])} END"
+                          for roots_, place, rule in group)
+        groups.append(f"IF({_any_found(sorted({r for roots_, _, _ in group for r in roots_}))}, "
+                      f"array_compact(array({tests})), CAST(array() AS ARRAY<{HIT}>))")
+    return f"IF(size(__found) > 0, concat({', '.join(groups)}), CAST(array() AS ARRAY<{HIT}>))"
+
+
+def _any_found(texts: list[str]) -> str:
+    if len(texts) == 1:
+        return f"array_contains(__found, {quoted(texts[0])})"
+    return f"arrays_overlap(__found, array({', '.join(map(quoted, texts))}))"
+
+
 def rule_hits(detected: DataFrame) -> DataFrame:
     """Long form, one row per event and matched rule, in rule order."""
     return detected.select("line_number", F.posexplode("matched_rules").alias("position", "rule"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hedgewatch import config
+from hedgewatch.functions.literals import required_literals
 from hedgewatch.sources.files import exists
 
 RULE_SCHEMA = ("ordinal int, name string, score double, pattern string, field string, "
@@ -115,12 +116,14 @@ def compilable(rules: DataFrame, pattern: str) -> DataFrame:
 
 
 def load_rules(spark: SparkSession, json_path: str | None = None) -> DataFrame:
-    """Built-in rules first, then the imported ones, with a running ordinal."""
-    rules = builtin_rules(spark)
-    if json_path is None:
-        return rules
-    listed = compilable(imported_rules(read_rule_json(spark, json_path)), "pattern").collect()
+    """Built-in rules first, then the imported ones, with a running ordinal and the texts their patterns cannot match without."""
+    return builtin_rules(spark) if json_path is None else with_imported(spark, read_rule_json(spark, json_path))
+
+
+def with_imported(spark: SparkSession, raw: DataFrame) -> DataFrame:
+    """The same from raw ``(id, regex, attack_type, target)`` rows."""
+    listed = compilable(imported_rules(raw), "pattern").collect()
     start = len(config.BUILTIN_RULES)
     rows = [(start + i, r["name"], r["score"], r["pattern"], r["field"], r["attack_type"],
-             r["source"], None) for i, r in enumerate(listed)]
-    return rules.unionByName(spark.createDataFrame(rows, RULE_SCHEMA))
+             r["source"], required_literals(r["pattern"])) for i, r in enumerate(listed)]
+    return builtin_rules(spark).unionByName(spark.createDataFrame(rows, RULE_SCHEMA))

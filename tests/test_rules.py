@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hedgewatch import config
+from hedgewatch.functions.literals import FOLDED, required_literals, roots, shared_pattern
 from hedgewatch.operators import detect
 from hedgewatch.sources import indicators, rules
 
@@ -127,3 +128,42 @@ def test_indicators(spark, tmp_path):
     assert sorted(r["path"] for r in paths.collect()) == ["/a", "/b", "/c"]
     log = spark.createDataFrame([(1, "/b"), (2, "/z")], "line_number bigint, path string")
     assert [r["line_number"] for r in indicators.match_cve(log, paths).collect()] == [1]
+
+
+IMPORTED = [r"union\s+select", r"(?:foo|ba[rz])+qux", r"https?://evil", r"[Ss]leep\(", r"\bkelvin\b", r"(?=x)xray(?!s)", r"a{2,3}bcd",
+            r"(?:abc|(?:de|fg)h)ij", r"order.*by", r"or\b", r"[^a-z]{3}z", r"(?i)Script|style", r"x[a[b]]yz", r"(?>atomic)ly"]
+
+
+def test_literals_never_hide_a_match(spark):
+    known = {p: required_literals("(?iUd)" + p) for p in IMPORTED}
+    assert known[r"https?://evil"] == ["http://evil", "https://evil"] and known[r"(?:abc|(?:de|fg)h)ij"] == ["abcij", "dehij", "fghij"]
+    assert known[r"or\b"] is None and known[r"x[a[b]]yz"] is None and known[r"(?:foo|ba[rz])+qux"] == ["qux"]
+    raw = spark.createDataFrame([(941000 + i, p, "xss", "ARGS") for i, p in enumerate(IMPORTED)], rules.RAW_SCHEMA)
+    linked = rules.with_imported(spark, raw)
+    plain = linked.withColumn("needles", F.when(F.col("source") == "custom", F.col("needles")))
+    pieces = ["union", " ", "select", "foo", "bar", "qux", "http", "s", "://evil", "sleep", "ſleep", "(", "Kelvin", "x", "ray", "aa", "bcd", "de",
+              "h", "ij", "abc", "order", "by", "ORDER", "#$%z", "scrİpt", "scrıpt", "style", "xbyz", "atomic", "ly", "é", "/", "or "]
+    rng = random.Random(11)
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 10))) for _ in range(1500)] + [
+        "UNION  select", "barfooqux", "HTTPS://EVIL", "ſLEEP(", "x Kelvin", "xray", "baabcd", "fghij", "order it by", "x or", "#$%z", "scrİpt",
+        "xbyz", "Atomicly"]
+    events = [("/" + t, t if i % 2 else None, None) for i, t in enumerate(texts)]
+    found, expected = ([r["matched_rules"] for r in run(spark, *events, table=t)] for t in (linked, plain))
+    assert found == expected and {name for r in found for name in r if name.startswith("crs_")} == {
+        f"crs_{941000 + i}" for i in range(len(IMPORTED))}
+
+
+def test_only_four_letters_fold_to_ascii(spark):
+    """Every other letter outside ASCII matches no ASCII letter when case is ignored."""
+    letters = [(chr(c),) for c in range(128, 0x10000) if not 0xD800 <= c < 0xE000]
+    found = spark.createDataFrame(letters, "c string").filter(F.col("c").rlike("(?iUd)[a-z]|" + "|".join(map(chr, range(97, 123)))))
+    assert {r["c"] for r in found.collect()} == set(FOLDED[0])
+
+
+def test_roots_and_shared_pattern(spark):
+    texts = ["or", "order", "order by", "a.b", "a.c", "(x"]
+    root = roots(texts)
+    assert root == {"(x": "(x", "a.b": "a.b", "a.c": "a.c", "or": "or", "order": "or", "order by": "or"}
+    df = spark.createDataFrame([("border(xa.b",), ("a+b",)], "t string")
+    got = df.select(F.regexp_extract_all("t", F.lit(shared_pattern(sorted(set(root.values())))), F.lit(1)).alias("f")).collect()
+    assert [r["f"] for r in got] == [["or", "(x", "a.b"], []]
