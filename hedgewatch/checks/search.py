@@ -11,7 +11,7 @@ from hedgewatch.checks import inputs
 from hedgewatch.checks.registry import register
 from hedgewatch.checks.sql import LATENCY, score_severity, severity_name, statement
 from hedgewatch.operators import alerts as alert_ops
-from hedgewatch.operators import metrics, rank_index, search
+from hedgewatch.operators import metrics, rank_index, search, text_index
 from hedgewatch.session import checkpoint_dir
 
 _READ = f"coalesce({severity_name('severity')}, {severity_name('v_severity')}, {score_severity('merged_score')})"
@@ -71,6 +71,27 @@ def search_free_text_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.filter_alerts(_alerts(spark, sf_dir), search="sqli_union_or_boolean,S", dashboard=True).select("line_number")
 
 
+@register("search_text_index", statement(
+    f"""SELECT 'rare' AS searched, line_number FROM alerts WHERE contains({_haystack(False)}, 'model=1')
+    UNION ALL SELECT 'often', line_number FROM alerts WHERE contains({_haystack(False)}, '''dir_scan'', ''scanner')
+    UNION ALL SELECT 'short', line_number FROM alerts WHERE contains({_haystack(False)}, '=9')
+    UNION ALL SELECT 'filtered', line_number FROM alerts WHERE contains({_haystack(False)}, 'etc/shadow') AND {_READ} IN ('high', 'medium')""",
+    "alerts"))
+def search_text_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches through the trigram postings of alerts added in two batches."""
+    path = f"{checkpoint_dir(spark)}/text-index-{uuid.uuid4()}"
+    found = _alerts(spark, sf_dir)
+    text_index.add_to_text_index(found.where("NOT cache_hit"), path, 0, block_rows=2000)
+    text_index.add_to_text_index(found.where("cache_hit"), path, 1, block_rows=2000)
+    searches = {"rare": ("model=1", None), "often": ("'DIR_SCAN', 'scanner", None), "short": ("=9", None),
+                "filtered": ("etc/shadow", ["high", "medium"])}
+    out = None
+    for name, (text, severity) in searches.items():
+        rows = text_index.search_index(spark, path, text, severity).select(F.lit(name).alias("searched"), "line_number")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @register("search_text_in_conversations", """
     SELECT conv_id, count(*) AS turns FROM conversations
     WHERE contains(lower(concat_ws(' ', nullif(role, ''), nullif(text, ''))), 'the') GROUP BY conv_id""")

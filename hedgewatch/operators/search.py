@@ -18,7 +18,7 @@ def read_attack_type() -> Column:
     return F.coalesce("analysis.attack_type", F.lit("unknown"))
 
 
-def _haystack(dashboard: bool) -> Column:
+def haystack(dashboard: bool) -> Column:
     """Searched text: the fields that have a value, joined by blanks. The dashboard
     variant has no severities and shows lists comma-separated."""
     def number(name: str) -> Column:
@@ -55,7 +55,7 @@ def filter_alerts(alerts: DataFrame, severity: list[str] | None = None,
     if ip:
         alerts = alerts.filter(F.contains(F.lower(F.coalesce("source_ip", F.lit(""))), F.lit(ip.lower())))
     if search:
-        alerts = alerts.filter(F.contains(_haystack(dashboard), F.lit(search.lower())))
+        alerts = alerts.filter(F.contains(haystack(dashboard), F.lit(search.lower())))
     return alerts
 
 
