@@ -11,13 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hedgewatch.llm.common import quoted, rank_within
+from hedgewatch.llm.common import quoted
 from hedgewatch.session import cut_lineage
 
 SHARDS, POINTS = 24, 128
 #: The ring is cut in so many arcs, so that a key is compared with the few places of its arc.
 ARC_BITS = 12
 RING_BITS = 32
+#: Rows that nothing tells apart are written by a task in runs of so many at most.
+COPIES_AT_ONCE = 1 << 16
 
 
 def position(text: str) -> str:
@@ -88,22 +90,39 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, points: int = POINTS, i
 
     ``size`` is the text's UTF-8 bytes plus 8; null text counts as none. Shards hold equally many documents, or one more.
     Rows without doc_id share one key, and so do repeated rows: what does not fit in their shard goes on like any other key.
-    Which rows of an overfull place move on, a hash decides. ``home_shard`` is the ring's own choice. An empty table gives no rows.
+    Which rows of an overfull place move on, a hash of what they hold decides, however the table is partitioned. ``home_shard`` is the ring's own choice. An empty table gives no rows.
     """
     spark = docs.sparkSession
     step = RING_BITS - ARC_BITS
     rows = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).cast("string").alias("text")).selectExpr(
         "doc_id", "CAST(coalesce(octet_length(text), 0) + 8 AS BIGINT) AS size", "crc32(coalesce(text, '')) AS text_crc32",
-        f"{position('coalesce(CAST(doc_id AS STRING), '+repr('')+')')} AS position", "spark_partition_id() AS part")
+        f"{position('coalesce(CAST(doc_id AS STRING), '+repr('')+')')} AS position")
     places = cut_lineage(ring(spark, shards, points))
     near = F.broadcast(arcs(places))  # the ring's places and arcs: a size given by the arguments
     located = rows.withColumn("arc", F.shiftright("position", step)).join(near, "arc").where(
-        "position > low AND position <= high").select("doc_id", "size", "text_crc32", "part", "place")
-    located = cut_lineage(located)
-    counts = cut_lineage(located.groupBy("place").agg(F.count(F.lit(1)).alias("n")))
+        "position > low AND position <= high")
+    # rows that nothing tells apart are one entry with a count, so the ranks of all rows follow from what they hold
+    entries = cut_lineage(located.groupBy("place", "doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("copies")))
+    counts = cut_lineage(entries.groupBy("place").agg(F.sum("copies").alias("n")))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     runs = F.broadcast(loads(counts, places, shards, total).withColumnRenamed("place", "of"))  # at most twice the ring's places, and a row a shard
-    ranked = rank_within(located, ["place"], ["doc_id", "text_crc32", "size"], ["doc_id", "text_crc32", "part"], "rank", rows=total)
+    ranked = _ranked(entries, total).join(runs, F.expr("place = of AND rank < last AND rank + copies > first")).selectExpr(
+        "doc_id", "size", "text_crc32", "place", "shard", "slot - first AS ahead", "greatest(rank, first) AS low", "least(rank + copies, last) AS high")
     home = F.broadcast(places.select(F.col("place").alias("at"), F.col("shard").alias("home_shard")))
-    return (ranked.join(runs, F.expr("place = of AND rank >= first AND rank < last")).join(home, F.expr("place = at"))
-            .selectExpr("doc_id", "size", "text_crc32", "shard", "slot + rank - first AS slot", "home_shard"))
+    many = ranked.where(f"high - low > {COPIES_AT_ONCE}").withColumn("start", F.expr(f"explode(sequence(low, high - 1, {COPIES_AT_ONCE}L))"))
+    dealt = many.withColumns({"low": F.col("start"), "high": F.expr(f"least(high, start + {COPIES_AT_ONCE})")}).drop("start").repartition("doc_id", "low")
+    return (ranked.where(f"high - low <= {COPIES_AT_ONCE}").unionByName(dealt).withColumn("rank", F.expr("explode(sequence(low, high - 1))"))
+            .join(home, F.expr("place = at"))
+            .selectExpr("doc_id", "size", "text_crc32", "shard", "ahead + rank AS slot", "home_shard"))
+
+
+def _ranked(entries: DataFrame, rows: int) -> DataFrame:
+    """``rank``: how many rows of an entry's place come before it. A place's entries are dealt into about sqrt(rows) buckets by a
+    hash of what they hold, summed up in their bucket, and moved on by the rows of the earlier buckets."""
+    dealt = entries.withColumn("bucket", F.expr(f"pmod(xxhash64(doc_id, text_crc32, size), {max(1, int(rows ** 0.5))})"))
+    before = dealt.groupBy("place", "bucket").agg(F.sum("copies").alias("n")).withColumn(
+        "before", F.coalesce(F.sum("n").over(Window.partitionBy("place").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = Window.partitionBy("place", "bucket").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = dealt.withColumn("within", F.coalesce(F.sum("copies").over(own), F.lit(0)))
+    return within.join(before.drop("n").hint("shuffle_hash"), ["place", "bucket"]).withColumn(
+        "rank", F.col("before") + F.col("within")).drop("bucket", "before", "within")

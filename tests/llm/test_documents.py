@@ -8,6 +8,7 @@ import zlib
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from hedgewatch.llm import pii, quality, queries, secrets, sharding, simhash
@@ -32,6 +33,18 @@ def test_op2_shards(spark, sf_dir):
         assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(text) + 8, zlib.crc32(text), "rows", None)
 
 
+def test_op2_shards_depend_on_rows_alone(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES_AT_ONCE", 100)
+    same = spark.range(900).selectExpr("7L AS doc_id", "'hot' AS text")  # repeats that fill shards
+    docs = spark.range(3000).selectExpr("id % 1000 AS doc_id", "concat('t', id % 2000) AS text").unionByName(same).unionByName(
+        spark.sql("SELECT CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS STRING) AS text FROM range(5)"))
+    found = [sorted((tuple(r) for r in sharding.assign_shards(d, 5, 8).collect()), key=repr)
+             for d in (docs, docs.repartition(13), docs.orderBy(F.desc("text")).coalesce(1))]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 3905
+    assert collections.Counter((r[0], r[2]) for r in found[0])[7, zlib.crc32(b"hot")] == 900
+    even(sharding.assign_shards(docs, 5, 8).collect(), 5)
+
+
 def ring_walk(ids, shards, points):
     """Bounded loads key by key: where each key's own shard is, and how many keys each place keeps."""
     at = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:8], 16)
