@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from hedgewatch.checks.sql import (
 from hedgewatch.functions.verdict import confidence_value
 from hedgewatch.operators import alerts as alert_ops
 from hedgewatch.operators import verdicts
-from hedgewatch.session import cut_lineage
+from hedgewatch.session import checkpoint_dir, cut_lineage
 
 
 def _flat(column: str) -> str:
@@ -69,6 +71,30 @@ def verdict_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
         "line_number", failed, "verdict.attack_type", "verdict.input_tokens", "verdict.output_tokens")
 
 
+def _refusing_provider():
+    """Takes what the other one refuses, and nothing else: only what no earlier run has answered may be asked."""
+    def complete(requests: list[str]) -> list:
+        if not all(_fails(r) for r in requests):
+            raise RuntimeError("asked again")
+        return ['{"attack_type":"xss"}' for _ in requests]
+    return complete
+
+
+@register("journaled_inference", statement(
+    f"""SELECT line_number, length({_REQUEST}) % 7 = 3 AS late,
+      CASE WHEN length({_REQUEST}) % 7 = 3 THEN 'xss' WHEN contains({_REQUEST}, 'sqli') THEN 'sqli' ELSE 'unknown' END AS attack_type,
+      FALSE AS failed FROM flagged""", "flagged"))
+def journaled_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over one journal of answers: the second asks for what the first could not get."""
+    requests = verdicts.with_request(inputs.flagged(spark, sf_dir)).select("line_number", "request")
+    journal = f"{checkpoint_dir(spark)}/answers-{uuid.uuid4()}"
+    verdicts.infer_verdicts(requests, _echo_provider, 256, journal).write.format("noop").mode("overwrite").save()
+    answers = cut_lineage(verdicts.infer_verdicts(requests, _refusing_provider, 256, journal))
+    failed, late = F.col("error").isNotNull(), F.length("request") % 7 == 3
+    return verdicts.parse_verdict(answers.withColumns({"failed": failed, "late": late})).select(
+        "line_number", "late", "verdict.attack_type", "failed")
+
+
 @register("verdict_parsing", statement(
     f"""SELECT line_number, v_label AS label, v_attack_type AS attack_type, v_confidence AS confidence, v_severity AS severity,
       v_explanation AS explanation, {joined('v_actions')} AS recommended_actions, {joined('v_cves')} AS cve_refs,

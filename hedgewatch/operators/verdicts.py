@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ from hedgewatch import config
 from hedgewatch.functions.once import with_columns_once
 from hedgewatch.functions.text import decode_columns, list_literal, non_empty
 from hedgewatch.functions.verdict import parsed_verdict, strip_fences
+from hedgewatch.operators.answer_journal import PartitionJournal, digest, with_known_answers
 
 # ``provider()`` is called once per partition and gives a function from a list
 # of request texts to as many answers. An answer is a text, None (failed), or a
@@ -98,7 +102,7 @@ def with_request(df: DataFrame, lengths: Lengths = WHOLE) -> DataFrame:
                             F.col("context_summary"), rules))
 
 
-def infer_verdicts(requests: DataFrame, provider: Provider, at_once: int = 16) -> DataFrame:
+def infer_verdicts(requests: DataFrame, provider: Provider, at_once: int = 16, journal: str | None = None) -> DataFrame:
     """One answer per row of ``requests(request, ...)``, columns kept.
 
     Calls have side effects and a retried task repeats them, so callers write or
@@ -106,22 +110,38 @@ def infer_verdicts(requests: DataFrame, provider: Provider, at_once: int = 16) -
     ``at_once``; a group that raises, or gets another number of answers, is sent again one by
     one, so only the requests that fail have no answer. ``error`` tells why, also
     where the provider could not be made (it is tried again with the next Arrow batch).
+
+    With a ``journal`` (a shared folder that executors can open) answers are appended there group by group, so a retried task, or
+    another run with the same journal, asks only for what is missing. Failed requests are not written and are asked again. Two
+    attempts of a task at the same time may both ask.
     """
     fields = list(USAGE)
     kept = [f for f in requests.schema.fields if f.name not in ("raw", "error", *fields)]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept]
                        + ["raw string", "error string"] + [f"{n} {t}" for n, t in USAGE.items()])
     names = [f.name for f in kept]
+    folder = f"{journal}/run={uuid.uuid4()}" if journal else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         complete = None
+        written = PartitionJournal(f"{folder}/part={TaskContext.get().partitionId()}") if folder else None
         for batch in batches:
             texts = batch["request"].tolist()
+            answers: list[dict | None] = [None] * len(texts)
+            if written:
+                answers = [json.loads(k) if isinstance(k, str) else written.known.get(digest(t)) for t, k in zip(texts, batch["__known"])]
+            open_ = [i for i, a in enumerate(answers) if a is None]
             try:
-                complete = complete or provider()
+                complete = complete or (provider() if open_ else None)
             except Exception as failure:  # told in ``error``, like a failed request
                 reason = f"no provider: {type(failure).__name__}: {failure}"
-            answers = [{"error": reason}] * len(texts) if complete is None else [a for i in range(0, len(texts), at_once) for a in _answers(complete, texts[i:i + at_once])]
+            for start in range(0, len(open_), at_once):
+                group = open_[start:start + at_once]
+                fresh = [{"error": reason}] * len(group) if complete is None else _answers(complete, [texts[i] for i in group])
+                for i, answer in zip(group, fresh):
+                    answers[i] = answer
+                if written:
+                    written.append({digest(texts[i]): _plain(a) for i, a in zip(group, fresh) if not a.get("error") and a.get("text") is not None})
             out = batch[names].copy()
             out["raw"] = [a.get("text") for a in answers]
             out["error"] = pd.Series([a.get("error") for a in answers], index=out.index, dtype=object)
@@ -130,7 +150,12 @@ def infer_verdicts(requests: DataFrame, provider: Provider, at_once: int = 16) -
                                        dtype=object)
             yield out
 
-    return requests.mapInPandas(run, schema)
+    return (with_known_answers(requests, journal, "__known") if journal else requests).mapInPandas(run, schema)
+
+
+def _plain(answer: dict) -> dict:
+    """What a journal keeps of an answer: its text and usage, numbers as plain ones."""
+    return {k: v.item() if hasattr(v, "item") else v for k, v in answer.items() if k == "text" or k in USAGE}
 
 
 def _answers(complete: Callable[[list[str]], list], texts: list[str]) -> list[dict]:

@@ -30,18 +30,18 @@ class BatchResult:
     entries: DataFrame | None
 
 
-def _ask(requests: DataFrame, provider: Provider | None) -> DataFrame:
+def _ask(requests: DataFrame, provider: Provider | None, journal: str | None) -> DataFrame:
     """``verdict`` for every row; answers are written before anything uses them, so
     no later task retry asks again."""
     if provider is None:
         return requests.withColumn("verdict", fallback_verdict())
-    return parse_verdict(cut_lineage(infer_verdicts(with_request(requests), provider).drop(
+    return parse_verdict(cut_lineage(infer_verdicts(with_request(requests), provider, journal=journal).drop(
         "event_summary", "context_summary")))
 
 
-def without_reuse(flagged: DataFrame, provider: Provider | None) -> BatchResult:
+def without_reuse(flagged: DataFrame, provider: Provider | None, journal: str | None = None) -> BatchResult:
     """Every flagged event gets a verdict of its own."""
-    asked = _ask(flagged, provider).withColumn("cache_hit", F.lit(False))
+    asked = _ask(flagged, provider, journal).withColumn("cache_hit", F.lit(False))
     return BatchResult(build_alerts(asked), asked.select("line_number", F.lit("miss").alias("outcome")),
                        None, None)
 
@@ -49,7 +49,7 @@ def without_reuse(flagged: DataFrame, provider: Provider | None) -> BatchResult:
 def with_reuse(flagged: DataFrame, exact: DataFrame, entries: DataFrame,
                provider: Provider | None = None, embedder: Embedder | None = None,
                max_size: int = config.STORE_MAX_ENTRIES,
-               bucket_lines: int = BUCKET_LINES) -> BatchResult:
+               bucket_lines: int = BUCKET_LINES, journal: str | None = None) -> BatchResult:
     """Resolve a batch of flagged events (a written table) against a store.
 
     Similarity reuse sees the entries of earlier batches only; exact reuse works
@@ -65,7 +65,7 @@ def with_reuse(flagged: DataFrame, exact: DataFrame, entries: DataFrame,
     changing = found.filter(~settled).select("canonical_key").distinct()
     needed = found.filter(~F.col("accepted")).join(changing, "canonical_key", "left_semi").select(
         *CLASS, "request_of.*")
-    verdicts = _ask(needed, provider).select(*CLASS, "verdict")
+    verdicts = _ask(needed, provider, journal).select(*CLASS, "verdict")
     known = found.join(verdicts, CLASS, "left").withColumn(
         "verdict_type", attack_type_name(F.col("verdict.attack_type")))
 

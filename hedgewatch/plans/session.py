@@ -29,7 +29,7 @@ from hedgewatch.sources.verdict_store import next_batch, read_store, write_store
 class Options:
     """``scorer`` adds ``ml_score`` to the access log; or give a trained ``model``.
     Without a ``provider`` flagged events that find no stored verdict get the
-    fallback verdict."""
+    fallback verdict. ``journal`` is a shared folder of answers, kept between runs."""
     source: str = "auto"
     use_reuse: bool = True
     rules_json: str | None = None
@@ -38,6 +38,7 @@ class Options:
     provider: Provider | None = None
     embedder: Embedder | None = None
     store_path: str | None = None
+    journal: str | None = None
     threshold: float = config.ALERT_THRESHOLD
     max_store_entries: int = config.STORE_MAX_ENTRIES
 
@@ -56,14 +57,14 @@ def detect(spark: SparkSession, raw_lines: DataFrame, source: str, options: Opti
 def resolve(spark: SparkSession, flagged: DataFrame, options: Options,
             batch: int | None = None) -> tuple[BatchResult, int]:
     if not options.use_reuse:
-        return without_reuse(flagged, options.provider), 0
+        return without_reuse(flagged, options.provider, options.journal), 0
     store = options.store_path
     batch = batch if batch is not None else (next_batch(spark, store) if store else 1)
     # only files that may hold one of the batch's keys are opened
     exact, entries = read_store(spark, store, before_batch=batch, keys=flagged.select("canonical_key")) if store else read_store(
         spark, f"/nonexistent-{uuid.uuid4()}")
     return with_reuse(flagged, exact, entries, options.provider, options.embedder,
-                      options.max_store_entries), batch
+                      options.max_store_entries, journal=options.journal), batch
 
 
 def session_source(spark: SparkSession, path: str, source: str) -> str:
