@@ -152,6 +152,11 @@ class Draw:
         return characters[self.below(len(characters))]
 
 
+def check_digits(country: str, body: str) -> str:
+    """The two digits that make an account number of a country leave 1 when divided by 97."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in f'{body}{country}00')) % 97:02d}"
+
+
 def surrogate(kind: str, canonical: str, turn: int, key: str) -> str:
     """A canonical replacement for a canonical entity: same type, same length where the type has one, valid where it was."""
     draw = Draw(key, kind, canonical, turn)
@@ -166,7 +171,9 @@ def surrogate(kind: str, canonical: str, turn: int, key: str) -> str:
         check = next(c for c in "0123456789" if luhn(body + c))
         return body + (check if luhn(canonical) else digit())
     if kind == "iban":
-        return canonical[:2] + "".join(digit() if c.isdigit() else draw.of("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for c in canonical[2:])
+        body = "".join(digit() if c.isdigit() else draw.of("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for c in canonical[4:])
+        valid = check_digits(canonical[:2], canonical[4:]) == canonical[2:4]
+        return canonical[:2] + (check_digits(canonical[:2], body) if valid else digit() + digit()) + body
     if kind == "ssn":
         return f"{1 + draw.below(665):03d}{1 + draw.below(99):02d}{1 + draw.below(9999):04d}"
     if kind == "phone":
