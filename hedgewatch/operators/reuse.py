@@ -323,37 +323,32 @@ def batch_exact_hits(df: DataFrame, bucket_lines: int = BUCKET_LINES) -> DataFra
         "exact_hit", F.coalesce(F.col("previous_type") == F.col("context_type"), F.lit(False)))
 
 
-STEP = "canonical_key string, bucket bigint, island bigint, state int"
+#: Maps of states that are chained in one row.
+CHAIN = 256
 
 
-def _walk(step: list[list[int]], start: int, path: list[int]) -> list[int]:
-    """States before each element of ``path`` and after the last."""
-    states = [start]
-    for number in path:
-        states.append(step[states[-1]][number - 1])
-    return states
+def _chained(maps: Column) -> Column:
+    """The map of states that ``maps`` are one after the other; a map holds the next state of each state."""
+    same = F.sequence(F.lit(0), F.size(F.get(maps, F.lit(0))) - 1)
+    return F.aggregate(maps, same, lambda m, following: F.transform(m, lambda s: F.get(following, s)))
 
 
-def _bucket_transitions(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("island")
-    step, path = pdf["step"].iloc[0], pdf["class_no"].tolist()
-    ends = [_walk(step, s, path)[-1] for s in range(len(step))]
-    return pd.DataFrame({"canonical_key": pdf["canonical_key"].iloc[:1],
-                         "bucket": pdf["bucket"].iloc[:1], "ends": [ends]})
+def _states_before(maps: Column, entry: Column) -> Column:
+    states = F.aggregate(maps, F.array(entry), lambda seen, m: F.concat(seen, F.array(F.get(m, F.element_at(seen, -1)))))
+    return F.slice(states, F.lit(1), F.size(maps))
 
 
-def _bucket_entries(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("bucket")
-    states = [0]
-    for ends in pdf["ends"]:
-        states.append(int(ends[states[-1]]))
-    return pdf[["canonical_key", "bucket"]].assign(entry=states[:-1])
+def _gathered(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """Per ``keys`` its parts in the order of ``at``, and the map that they are together."""
+    parts = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(at, "map"))).alias("parts"))
+    return parts.withColumn("map", _chained(F.col("parts.map")))
 
 
-def _island_states(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("island")
-    states = _walk(pdf["step"].iloc[0], int(pdf["entry"].iloc[0]), pdf["class_no"].tolist())
-    return pdf[["canonical_key", "bucket", "island"]].assign(state=states[:-1])
+def _entries(gathered: DataFrame, entries: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """(keys, at, entry): the state before each part, from the ``entry`` of its ``keys``."""
+    states = _states_before(F.col("parts.map"), F.col("entry"))
+    part = F.explode(F.arrays_zip(F.col(f"parts.{at}").alias(at), states.alias("entry")))
+    return gathered.join(entries, keys).select(*keys, part.alias("part")).select(*keys, "part.*")
 
 
 def join_dealt(events: DataFrame, few: DataFrame, keys: list[str], bucket_lines: int = BUCKET_LINES) -> DataFrame:
@@ -389,8 +384,9 @@ def fold_reuse(events: DataFrame, classes: DataFrame, bucket_lines: int = BUCKET
     The state of a key is the class whose verdict was stored last, so one event
     maps a state to a state, and so does any run of events. Keys with one class
     have a closed form. For the others each (key, bucket of lines) is reduced to
-    such a map, the maps are chained per key, and buckets are replayed from their
-    entry state: no task ever holds all events of a key.
+    such a map, maps are chained per key, ``CHAIN`` at a time, and buckets are
+    replayed from their entry state: no row ever holds all events or all buckets
+    of a key, and everything is columns.
     """
     known = classes.withColumns({
         "exact_ok": F.coalesce("exact_ok", F.lit(False)),
@@ -421,20 +417,29 @@ def fold_reuse(events: DataFrame, classes: DataFrame, bucket_lines: int = BUCKET
 
     every = known.filter("mixed").groupBy("canonical_key").agg(F.sort_array(F.collect_list(F.struct(
         "class_no", "context_type", "exact_ok", "accepted", "verdict_type"))).alias("every"))
-    step = F.concat(
-        F.array(F.transform("every", lambda c: next_state(c["exact_ok"], F.lit(0), c))),
-        F.transform("every", lambda s: F.transform(F.col("every"), lambda c: next_state(
-            exact_compatible(c["context_type"], s["verdict_type"]), s["class_no"], c))),
-    )
-    first = starts.filter("starts").select("canonical_key", "bucket", "island", "class_no")
-    steps = first.select("canonical_key", "bucket").distinct().join(every.select("canonical_key", step.alias("step")), "canonical_key")
-    islands = first.join(steps, ["canonical_key", "bucket"])
-    ends = islands.groupBy("canonical_key", "bucket").applyInPandas(
-        _bucket_transitions, "canonical_key string, bucket bigint, ends array<int>")
-    entries = ends.groupBy("canonical_key").applyInPandas(
-        _bucket_entries, "canonical_key string, bucket bigint, entry int")
-    states = islands.join(entries, ["canonical_key", "bucket"]).groupBy(
-        "canonical_key", "bucket").applyInPandas(_island_states, STEP)
+    turns = F.transform("every", lambda c: F.concat(
+        F.array(next_state(c["exact_ok"], F.lit(0), c)),
+        F.transform(F.col("every"), lambda s: next_state(
+            exact_compatible(c["context_type"], s["verdict_type"]), s["class_no"], c))))
+    first = starts.filter("starts").select(
+        "canonical_key", "bucket", F.floor((F.col("island") - 1) / CHAIN).alias("segment"), "island", "class_no")
+    cells = first.select("canonical_key", "bucket").distinct().join(
+        every.select("canonical_key", turns.alias("turns")), "canonical_key")
+    segments = first.groupBy("canonical_key", "bucket", "segment").agg(
+        F.sort_array(F.collect_list(F.struct("island", "class_no"))).alias("path")).join(cells, ["canonical_key", "bucket"])
+    maps = F.transform("path", lambda p: F.get("turns", p["class_no"] - 1))
+    buckets = _gathered(segments.withColumn("map", _chained(maps)), ["canonical_key", "bucket"], "segment").withColumn(
+        "era", F.floor(F.col("bucket") / CHAIN))
+    eras = _gathered(buckets, ["canonical_key", "era"], "bucket")
+    whole = _gathered(eras, ["canonical_key"], "era")
+    entry = whole.select("canonical_key", F.lit(0).alias("entry"))
+    entry = _entries(whole, entry, ["canonical_key"], "era")
+    entry = _entries(eras, entry, ["canonical_key", "era"], "bucket").drop("era")
+    entry = _entries(buckets.drop("era"), entry, ["canonical_key", "bucket"], "segment")
+    reached = F.explode(F.arrays_zip(
+        F.col("path.island").alias("island"), _states_before(maps, F.col("entry")).alias("state")))
+    states = segments.join(entry, ["canonical_key", "bucket", "segment"]).select(
+        "canonical_key", "bucket", reached.alias("r")).select("canonical_key", "bucket", "r.*")
 
     replay = starts.join(states, ["canonical_key", "bucket", "island"]).join(
         every.select("canonical_key", F.col("every.verdict_type").alias("types")), "canonical_key")

@@ -202,8 +202,8 @@ def _fits(context, stored):
     return stored is not None and (stored in ("unknown", "normal") if context == "unknown" else stored == context)
 
 
-@pytest.mark.parametrize("width", [1, 7, 1000])
-def test_fold_equals_a_line_by_line_replay(spark, width):
+@pytest.mark.parametrize(("width", "chain"), [(1, 5), (7, 256), (7, 3), (1000, 2), (1000, 256)])
+def test_fold_equals_a_line_by_line_replay(spark, monkeypatch, width, chain):
     rng = random.Random(width)
     kinds = ["sqli", "xss", "unknown", "cve"]
     names = ["hot", "b", "c", "d", "only"]
@@ -236,7 +236,11 @@ def test_fold_equals_a_line_by_line_replay(spark, width):
         "canonical_key string, context_type string, context_family string, first_line bigint, exact_ok boolean, "
         "accepted boolean, verdict_type string"))
     names_of = {(r["canonical_key"], r["class_no"]): r["context_type"] for r in classes.collect()}
-    got = reuse.fold_reuse(events, classes, bucket_lines=width).collect()
+    monkeypatch.setattr(reuse, "CHAIN", chain)
+    folded = reuse.fold_reuse(events, classes, bucket_lines=width)
+    plan = folded._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in plan and "Arrow" not in plan
+    got = folded.collect()
     assert len(got) == len(rows)
     for r in got:
         outcome, source = expected[r["line_number"]]
