@@ -1,8 +1,8 @@
 """Tool-call linking: calls meet their results by identifier, in an order in which every call follows those it needs.
 
 Calls and results are hash-joined on (conversation, identifier). A call's level is 0, or one more than the highest level of
-the calls it refers to; sorting by level, turn and position is a topological order. Levels are found for all conversations at
-once, one round a level. Arguments are checked against the tool's schema, and each call is written as canonical JSON.
+the calls it refers to; sorting by level, turn and position is a topological order. A conversation's levels are found in one
+task; those of very large conversations for all of them at once, one round a level. Arguments are checked against the tool's schema, and each call is written as canonical JSON.
 """
 
 from __future__ import annotations
@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hedgewatch.session import cut_lineage
+from hedgewatch.session import broadcast_up_to, cut_lineage
 
 #: Turns of a conversation that are numbered in one task; a longer conversation is numbered in parts.
 TURNS_AT_ONCE = 512
+#: Calls and references of a conversation whose levels are found in one task, and how many larger conversations are broadcast.
+REFERENCES_AT_ONCE, LARGE_BROADCAST = 50_000, 1_000_000
 _TYPES = {"string": str, "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
 
@@ -84,11 +86,67 @@ def parsed(arguments: str | None) -> object:
     return value
 
 
+def call_levels(needs: dict[str, set[str]]) -> dict[str, int | None]:
+    """Levels of the calls of one conversation, by Kahn's method: a call is ready once all that it needs are."""
+    followers: dict[str, list[str]] = {}
+    waits = {}
+    for call, needed in needs.items():
+        known = [n for n in needed if n in needs]
+        waits[call] = len(known)
+        for n in known:
+            followers.setdefault(n, []).append(call)
+    level: dict[str, int | None] = dict.fromkeys(needs)
+    ready, step = [c for c, n in waits.items() if not n], 0
+    while ready:
+        after = []
+        for call in ready:
+            level[call] = step
+            for follower in followers.get(call, ()):
+                waits[follower] -= 1
+                if not waits[follower]:
+                    after.append(follower)
+        ready, step = after, step + 1
+    return level
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level): level null for calls in a circle, and for those that need one.
 
-    A reference to an identifier that no call of the conversation has does not count. Rounds: as many as levels.
+    ``calls``: (conv_id, call_id, after array of call_id); calls of one identifier count as one that needs what any of them needs. A
+    reference to an identifier that no call of the conversation has does not count, nor does one that is null. Conversations with up to
+    ``REFERENCES_AT_ONCE`` calls and references are one row each, larger ones are never brought together. An empty table gives no rows.
     """
+    calls = calls.select("conv_id", "call_id", "after")
+    size = F.sum(1 + F.greatest(F.size("after"), F.lit(0))).alias("size")
+    large = cut_lineage(calls.groupBy("conv_id").agg(size).where(F.col("size") > REFERENCES_AT_ONCE).select("conv_id"))
+    if large.isEmpty():
+        return _levels_at_once(calls)
+    known = broadcast_up_to(large, LARGE_BROADCAST)
+    return _levels_at_once(calls.join(known, "conv_id", "left_anti")).unionByName(
+        _levels_in_rounds(calls.join(known, "conv_id", "left_semi")))
+
+
+def _levels_at_once(calls: DataFrame) -> DataFrame:
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owners, names, found = [], [], []
+            for i in range(batch.num_rows):
+                needs: dict[str, set[str]] = {}
+                for call in batch.column("own").slice(i, 1).flatten().to_pylist():
+                    needs.setdefault(call["call_id"], set()).update(call["after"] or ())
+                level = call_levels(needs)
+                owners += [i] * len(level)
+                names += level
+                found += level.values()
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id").take(pa.array(owners, pa.int64())), pa.array(names, pa.string()),
+                                              pa.array(found, pa.int32())], names=["conv_id", "call_id", "level"])
+
+    each = calls.groupBy("conv_id").agg(F.collect_list(F.struct("call_id", "after")).alias("own"))
+    return each.mapInArrow(order, f"conv_id {calls.schema['conv_id'].dataType.simpleString()}, call_id string, level int")
+
+
+def _levels_in_rounds(calls: DataFrame) -> DataFrame:
+    """The same with one round a level, over all conversations at once."""
     nodes = cut_lineage(calls.select("conv_id", "call_id").distinct())
     edges = calls.select("conv_id", "call_id", F.explode("after").alias("needs")).distinct()
     edges = cut_lineage(edges.join(nodes.withColumnRenamed("call_id", "needs"), ["conv_id", "needs"], "left_semi"))

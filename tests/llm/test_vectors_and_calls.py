@@ -188,6 +188,46 @@ def test_calls_are_linked_in_order(spark):
     assert toolcalls.link_calls(calls.limit(0), results.limit(0), tools).count() == 0
 
 
+def _slow_levels(needs):
+    """Levels by their definition, round by round until nothing changes."""
+    level = {}
+    while True:
+        ready = {c: max([level[n] + 1 for n in after if n in needs], default=0) for c, after in needs.items()
+                 if c not in level and all(n in level for n in after if n in needs)}
+        if not ready:
+            return {c: level.get(c) for c in needs}
+        level |= ready
+
+
+@pytest.mark.parametrize("at_once", [0, 20, 50_000])
+def test_levels_by_brute_force(spark, monkeypatch, at_once):
+    """Conversations in one task, in rounds, and both; with circles, repeated calls, unknown and null references."""
+    monkeypatch.setattr(toolcalls, "REFERENCES_AT_ONCE", at_once)
+    rng = np.random.default_rng(3)
+    rows, needs = [], {}
+    for conv in range(12):
+        for i in range(3 + 2 * conv):
+            name = f"c{i if rng.random() < 0.9 else max(i - 1, 0)}"
+            after = [f"c{rng.integers(0, i + (2 if rng.random() < 0.1 else 0) + 1)}" for _ in range(rng.integers(0, 3))]
+            after = None if i == 2 else [a for a in after if a != name or conv == 5] + (["gone"] if i % 4 == 1 else [None] if i % 4 == 3 else [])
+            rows.append((conv, name, after))
+            needs.setdefault((conv, name), set()).update(after or ())
+    found = toolcalls.levels(spark.createDataFrame(rows, "conv_id long, call_id string, after array<string>").repartition(5)).collect()
+    expected = {}
+    for conv in range(12):
+        slow = _slow_levels({c: after for (v, c), after in needs.items() if v == conv})
+        expected |= {(conv, c): n for c, n in slow.items()}
+    assert len(found) == len(expected) and {(r["conv_id"], r["call_id"]): r["level"] for r in found} == expected
+    assert None in expected.values() and max(n for n in expected.values() if n is not None) > 3
+
+
+def test_a_chain_of_thousands_is_one_task(spark, monkeypatch):
+    monkeypatch.setattr(toolcalls, "_levels_in_rounds", None)
+    calls = spark.range(5000).selectExpr("7L AS conv_id", "concat('c', id) AS call_id", "array(concat('c', id - 1)) AS after")
+    assert {r["level"] for r in toolcalls.levels(calls).collect()} == set(range(5000))
+    assert toolcalls.levels(calls.limit(0)).count() == 0
+
+
 def test_long_chain_and_long_conversation(spark, monkeypatch):
     monkeypatch.setattr(toolcalls, "TURNS_AT_ONCE", 4)
     calls = spark.createDataFrame([(1, 40 - i, f"c{i:02}", "t", "{}", [f"c{i - 1:02}"] if i % 6 else [], 0, "") for i in range(40)], CALLS)
