@@ -21,6 +21,8 @@ from hedgewatch.session import broadcast_up_to, cut_lineage
 TURNS_AT_ONCE = 512
 #: Calls and references of a conversation whose levels are found in one task, and how many larger conversations are broadcast.
 REFERENCES_AT_ONCE, LARGE_BROADCAST = 50_000, 1_000_000
+#: Stands for a missing turn: such rows come last.
+NO_TURN = 1 << 62
 _TYPES = {"string": str, "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
 
@@ -173,25 +175,27 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     Returns (conv_id, place from 0, call_id, name, level, status, problems array, result_turn, json). status: ``linked``,
     ``unanswered`` (no result), ``circular`` (in a circle of references, or needing one; placed after all levels) or ``orphan`` (a result without
     call). json is canonical: id, name, arguments (their text where they are no JSON), after, and result where there is one. Of calls or
-    results that share an identifier the first counts (by turn, then content); the others are dropped as repeats. Rows without
+    results that share an identifier the first counts (by turn, then content: a call's name, references and arguments); the others are dropped as repeats. Rows without
     conversation or identifier take no part. Unknown tools and arguments that break their schema are named in problems. Empty tables give no rows.
     """
+    key = ["conv_id", "call_id"]
     known = calls.where("conv_id IS NOT NULL AND call_id IS NOT NULL").select(
-        "conv_id", "turn", "call_id", "name", "arguments", F.coalesce("after", F.array().cast("array<string>")).alias("after"))
-    one = known.groupBy("conv_id", "call_id").agg(F.min(F.struct(
-        F.coalesce("turn", F.lit(1 << 62)).alias("turn"), "name", "arguments", F.sort_array(F.array_distinct("after")).alias("after"))).alias("call"))
-    one = cut_lineage(one.select("conv_id", "call_id", "call.*"))
-    answered = results.where("conv_id IS NOT NULL AND call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(
-        F.min(F.struct(F.coalesce("turn", F.lit(1 << 62)).alias("turn"), "content")).alias("result"))
-    both = one.withColumn("is_call", F.lit(True)).join(answered, ["conv_id", "call_id"], "full")
-    level = levels(one)
-    status = (F.when(F.col("is_call").isNull(), "orphan").when(F.col("level").isNull(), "circular")
+        *key, F.coalesce("turn", F.lit(NO_TURN)).alias("turn"), "name", "arguments",
+        F.sort_array(F.array_distinct(F.coalesce("after", F.array().cast("array<string>")))).alias("after"))
+    answers = results.where("conv_id IS NOT NULL AND call_id IS NOT NULL").select(
+        *key, F.coalesce("turn", F.lit(NO_TURN)).alias("turn"), "content")
+    # The order is found on rows without arguments and contents. The first of several is the same with and without: what is left out comes last.
+    slim = cut_lineage(known.groupBy(*key).agg(F.min(F.struct("turn", "name", "after")).alias("call")).select(*key, "call.turn", "call.after"))
+    places = slim.select(*key, "turn", F.lit(True).alias("is_call")).join(
+        answers.groupBy(*key).agg(F.min("turn").alias("result_turn")), key, "full").join(levels(slim), key, "left")
+    places = _placed(places.select(*key, "level", F.coalesce("turn", "result_turn").alias("at"), F.when(
+        F.col("is_call").isNull(), F.lit((1 << 31) - 1)).otherwise(F.coalesce("level", F.lit((1 << 31) - 2))).alias("step")))
+    one = known.groupBy(*key).agg(F.min(F.struct("turn", "name", "after", "arguments")).alias("call"))
+    answered = answers.groupBy(*key).agg(F.min(F.struct("turn", "content")).alias("result"))
+    status = (F.when(F.col("call").isNull(), "orphan").when(F.col("level").isNull(), "circular")
               .when(F.col("result").isNull(), "unanswered").otherwise("linked"))
-    rows = both.join(level, ["conv_id", "call_id"], "left").withColumns({
-        "status": status,
-        "step": F.when(F.col("is_call").isNull(), F.lit((1 << 31) - 1)).otherwise(F.coalesce("level", F.lit((1 << 31) - 2))),
-        "at": F.coalesce("turn", "result.turn")})
-    return _written(_placed(rows), schemas)
+    rows = one.join(answered, key, "full").join(places.select(*key, "level", "place"), key)
+    return _written(rows.select(*key, "place", "level", status.alias("status"), "call.name", "call.arguments", "call.after", "result"), schemas)
 
 
 def _placed(rows: DataFrame) -> DataFrame:
@@ -231,7 +235,7 @@ def _written(rows: DataFrame, schemas: dict[str, dict]) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "problems", "json"])
 
     kept = ["conv_id", "place", "call_id", "name", "level", "status", "result_turn"]
-    flat = rows.select("conv_id", "place", "call_id", "name", "level", "status", F.nullif(F.col("result.turn"), F.lit(1 << 62)).alias("result_turn"),
+    flat = rows.select("conv_id", "place", "call_id", "name", "level", "status", F.nullif(F.col("result.turn"), F.lit(NO_TURN)).alias("result_turn"),
                        "arguments", "after", F.col("result.content").alias("content"))
     schema = ", ".join(f"{c} {flat.schema[c].dataType.simpleString()}" for c in kept)
     return flat.mapInArrow(write, f"{schema}, problems array<string>, json string").select(
