@@ -1,8 +1,9 @@
 """Exact top-k inner products with a KD-tree per shard.
 
-Vectors are dealt into shards of bounded size. Each shard builds a KD-tree (median splits along the widest side, tight bounding
-boxes) and is written as one row. Queries come in blocks of bounded size; a block searches one shard first, which gives each query a
-k-th score that travels with it to all other shards. A search descends the tree with the largest inner product that a
+Space is cut into cells by median splits of a bounded sample; the vectors of a cell are one shard, or several of bounded size. Each
+shard builds a KD-tree (median splits along the widest side, tight bounding boxes) and is written as one row. Queries come in blocks
+of bounded size that lie together; a block searches a shard of its own part of space first, which gives each query a k-th score.
+The bounds of a block and of a shard then tell, before either is sent, whether they must meet; the k-th scores travel with the block. A search descends the tree with the largest inner product that a
 box allows, visits a query's leaves best first, and ends when no box can beat the k-th score.
 """
 
@@ -21,6 +22,10 @@ from hedgewatch.session import cut_lineage
 SCALE, K = 64, 20
 #: Vectors of a shard, of a leaf, and queries of a block: bounds on a task's memory.
 SHARD_ROWS, LEAF_ROWS, BLOCK_QUERIES = 4096, 256, 2048
+#: Boxes that tell for a block of queries which shards it must meet (a power of two).
+BOXES = 16
+#: Vectors that the cuts of space are fitted on, about, and the most cuts one below the other (a bound on broadcasts, not on results).
+SAMPLE_ROWS, MOST_CUTS = 16_384, 12
 _NONE = np.iinfo(np.int64).min
 _SAFE = float(1 << 53)  # integers up to here are exact in double precision
 
@@ -151,6 +156,50 @@ def _wide(rows: np.ndarray, width: int) -> np.ndarray:
 _TREE = "shard int, width bigint, ids binary, points binary, starts binary, ends binary, low binary, high binary"
 _BLOCK = "block int, seed int, queries binary, query_width bigint, query_points binary, least binary"
 _FOUND = "found binary, found_ids binary, found_scores binary"
+_REACH = "boxes array<struct<block_low:array<double>,block_high:array<double>,weakest:double>>"
+
+
+def cuts_of(rows: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Axis and value of ``2 ** depth - 1`` median cuts, those of the halves of cut i at 2i + 1 and 2i + 2."""
+    axes, values = np.zeros((1 << depth) - 1, np.int64), np.zeros((1 << depth) - 1)
+    parts = {0: rows}
+    for node in range(len(axes)):
+        own = parts.pop(node)
+        if len(own):
+            axes[node] = np.argmax(own.max(axis=0) - own.min(axis=0))
+            values[node] = np.median(own[:, axes[node]])
+        below = own[:, axes[node]] < values[node] if own.shape[1] else np.zeros(len(own), bool)
+        parts[2 * node + 1], parts[2 * node + 2] = own[below], own[~below]
+    return axes, values
+
+
+def with_cell(rows: DataFrame, axes: np.ndarray, values: np.ndarray) -> DataFrame:
+    """(vec_id, vector, row, cell) of (vec_id, vector, row); a vector that ends before an axis is zero there."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = _matrix(batch.column("vector"))
+            points = _wide(points, max(points.shape[1], int(axes.max(initial=-1)) + 1))
+            node = np.zeros(len(points), np.int64)
+            for _ in range(depth):
+                node = 2 * node + 1 + (points[np.arange(len(points)), axes[node]] >= values[node])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((node - len(axes)).astype(np.int32))], names=["vec_id", "vector", "row", "cell"])
+
+    depth = len(axes).bit_length()
+    return rows.mapInArrow(place, "vec_id bigint, vector array<double>, row bigint, cell int")
+
+
+def parted(rows: DataFrame, cell: str, most: int, name: str) -> tuple[DataFrame, dict[int, int]]:
+    """``rows`` with a number ``name``: those of a ``cell`` have one number, or several where they are more than ``most``. With it the
+    first number of every cell that has rows. A cell's rows are dealt by a hash of their row number, whatever they hold."""
+    counts = sorted((r["cell"], r["n"]) for r in rows.groupBy(F.expr(cell).alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect())
+    first, parts = {}, []
+    for at, n in counts:  # at most 2 ** MOST_CUTS cells
+        first[at] = parts[-1][1] + parts[-1][2] if parts else 0
+        parts.append((at, first[at], -(-n // most)))
+    known = rows.sparkSession.createDataFrame(parts, "at int, start int, parts int")
+    number = "CAST(start + pmod(xxhash64(row), parts) AS INT)"
+    return rows.join(F.broadcast(known), F.expr(f"{cell} = at")).withColumn(name, F.expr(number)).drop("at", "start", "parts"), first
 
 
 def trees(rows: DataFrame, leaf: int = LEAF_ROWS) -> DataFrame:
@@ -187,6 +236,13 @@ def query_blocks(rows: DataFrame) -> DataFrame:
     return rows.groupBy("block", "seed").agg(F.collect_list(F.struct("vec_id", "vector")).alias("own")).mapInArrow(build, _BLOCK)
 
 
+def _boxes(queries: np.ndarray, least: np.ndarray) -> list[dict]:
+    """Boxes round up to ``BOXES`` groups of queries that lie together, each with the lowest score that still helps one of them."""
+    tree = Tree(np.arange(len(queries)), queries, max(1, -(-len(queries) // BOXES)))
+    return [{"block_low": tree.low[i].tolist(), "block_high": tree.high[i].tolist(), "weakest": float(least[tree.ids[a:b]].min())}
+            for i, (a, b) in enumerate(zip(tree.start, tree.end, strict=True)) if i >= tree.first_leaf and b > a]
+
+
 def searched(pairs: DataFrame, k: int) -> DataFrame:
     """Each row (a tree and a block of queries) with what the block finds there and the k-th scores it now has."""
 
@@ -207,14 +263,35 @@ def searched(pairs: DataFrame, k: int) -> DataFrame:
                 kth[full] = _rounded_down(scores[ends[full]])
                 out = [r["block"], r["seed"], r["queries"], r["query_width"], r["query_points"], np.maximum(least, kth).tobytes(),
                        row.astype(np.int64).tobytes(), names_found.tobytes(), scores.tobytes()]
+                out.append(_boxes(points, np.maximum(least, kth)))
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(out, types, strict=True)], names=names)
 
-    schema = f"{_BLOCK}, {_FOUND}"
+    schema = f"{_BLOCK}, {_FOUND}, {_REACH}"
+    side = pa.list_(pa.float64())
+    boxes = pa.list_(pa.struct([("block_low", side), ("block_high", side), ("weakest", pa.float64())]))
     names = [c.split(" ")[0] for c in schema.split(", ")]
-    types = [{"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}[c.split(" ")[1]] for c in schema.split(", ")]
+    types = [{"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), _REACH.split(" ")[1]: boxes}[c.split(" ")[1]] for c in schema.split(", ")]
     return pairs.mapInArrow(search, schema)
 
 
+def _meetings(blocks: DataFrame, forest: DataFrame) -> DataFrame:
+    """(block, other): the shards whose box allows a score that a query of the block still needs. Only boxes are compared."""
+
+    def corners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lows, highs = ([np.frombuffer(v.as_py())[:w].tolist() for v, w in zip(batch.column(c), batch.column("width").to_pylist(), strict=True)]
+                           for c in ("low", "high"))
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), *(pa.array(x, pa.list_(pa.float64())) for x in (lows, highs))],
+                                             names=["other", "shard_low", "shard_high"])
+
+    roots = forest.select("shard", "width", "low", "high").mapInArrow(corners, "other int, shard_low array<double>, shard_high array<double>")
+    most = F.aggregate(F.arrays_zip("block_low", "block_high", "shard_low", "shard_high"), F.lit(0.0), lambda s, d: s + F.greatest(*[
+        F.coalesce(d[b], F.lit(0.0)) * F.coalesce(d[c], F.lit(0.0)) for b in ("block_low", "block_high") for c in ("shard_low", "shard_high")]))
+    shards = forest.agg(F.max("shard")).scalar()
+    asked = blocks.select("block", "seed", F.inline("boxes")).withColumn("other", F.explode(F.sequence(F.lit(0), shards)))
+    return asked.where("other <> seed").join(roots, "other").where(most >= F.col("weakest")).select("block", "other").distinct()
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """(query_id, rank from 1, vec_id, score long): the k rows of ``vectors`` with the highest inner product with each query.
 
@@ -224,15 +301,23 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, shard_rows: int
     """
     rows = cut_lineage(vectors.select("vec_id", "vector").withColumn("row", F.monotonically_increasing_id()))
     asked = cut_lineage(queries.select("vec_id", "vector").withColumn("row", F.monotonically_increasing_id()))
-    shards = max(1, -(-rows.count() // shard_rows))
-    blocks = max(1, -(-asked.count() // block_queries))
-    # Rows are numbered within partitions, so a remainder of a hash deals them evenly whatever they hold.
-    forest = cut_lineage(trees(rows.selectExpr(f"CAST(pmod(xxhash64(row), {shards}) AS INT) AS shard", "vec_id", "vector")))
-    block = query_blocks(asked.selectExpr(f"CAST(pmod(xxhash64(row, 1), {blocks}) AS INT) AS block", "vec_id", "vector").selectExpr(
-        "block", f"CAST(block % {shards} AS INT) AS seed", "vec_id", "vector"))
+    n = rows.count()
+    depth = min(MOST_CUTS, max(0, (n - 1) // shard_rows).bit_length())
+    sample = rows.where(F.pmod(F.xxhash64("row"), F.lit(max(1, n // SAMPLE_ROWS))) == 0).select("vector")
+    axes, values = cuts_of(_matrix(sample.toArrow().column("vector").combine_chunks()) if depth else np.zeros((0, 0)), depth)
+    cells, shard_of = parted(with_cell(rows, axes, values), "cell", shard_rows, "shard")
+    forest = cut_lineage(trees(cells.select("shard", "vec_id", "vector")))
+    # Blocks take as many neighbouring cells together as fill them.
+    joined = max(0, depth - max(1, asked.count() // block_queries).bit_length() + 1)
+    dealt, _ = parted(with_cell(asked, axes, values), f"shiftright(cell, {joined})", block_queries, "block")
+    with_rows = np.array(sorted(shard_of), np.int64)
+    if not len(with_rows):  # no candidate at all
+        return rows.selectExpr("vec_id AS query_id", "1 AS rank", "vec_id", "0L AS score")
+    nearby = with_rows[np.searchsorted(with_rows, np.arange((1 << depth) >> joined) << joined).clip(max=len(with_rows) - 1)]
+    seeds = F.array(*[F.lit(shard_of[int(c)]) for c in nearby])
+    block = query_blocks(dealt.select("block", F.get(seeds, F.shiftright("cell", joined)).alias("seed"), "vec_id", "vector"))
     first = cut_lineage(searched(forest.join(block, F.expr("shard = seed")), k))
-    onward = first.drop("found", "found_ids", "found_scores").selectExpr(
-        "*", f"explode(filter(sequence(0, {shards - 1}), s -> s <> seed)) AS other")
+    onward = first.join(_meetings(first, forest), "block").drop("found", "found_ids", "found_scores", "boxes")
     second = searched(forest.join(onward, F.expr("shard = other")), k)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

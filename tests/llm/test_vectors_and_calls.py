@@ -164,6 +164,21 @@ def test_pruning_leaves_the_result(spark):
         assert len(visited) < tree.first_leaf + 1
 
 
+def test_far_shards_are_not_sent_for(spark, monkeypatch):
+    """Shards whose boxes allow nothing never meet a block; results are those of all pairs, however many rows are equal."""
+    rows = np.floor(64 * clouds(3, (150,) * 6, 8, 0.02, 150).astype(float))
+    rows[:200] = rows[0]
+    ids = np.arange(len(rows))
+    df = spark.createDataFrame([(int(i), r.tolist()) for i, r in zip(ids, rows, strict=True)], "vec_id long, vector array<double>")
+    sent = []
+    kept = topk._meetings
+    monkeypatch.setattr(topk, "_meetings", lambda blocks, forest: (sent.append((kept(blocks, forest).count(), blocks.count() * (forest.count() - 1))), kept(blocks, forest))[1])
+    found = topk.nearest(df, df.where("vec_id % 20 = 0"), 5, shard_rows=60, block_queries=6)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found.collect())
+    assert got == sorted(slow_top(ids, rows, [int(i) for i in ids if i % 20 == 0], 5))
+    assert 0 < sent[0][0] < sent[0][1]
+
+
 CALLS = "conv_id long, turn long, call_id string, name string, arguments string, after array<string>, level int, place string"
 RESULTS = "conv_id long, turn long, call_id string, content string, status string"
 
