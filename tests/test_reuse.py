@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from urllib.parse import unquote
 
 import numpy as np
@@ -287,6 +288,25 @@ def test_large_stores_meet_in_blocks(spark, monkeypatch):
     assert blocks == [(i, int((stored @ v).argmax()), float((stored @ v).max())) for i, v in enumerate(asked)]
 
 
+def test_products_are_made_a_tile_at_a_time(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    stored, asked = rng.integers(-3, 4, (4000, 4)).astype(float), rng.integers(-3, 4, (3000, 4)).astype(float)
+    stored[70] = np.nan
+    expected = asked @ stored.T
+    tracemalloc.start()
+    best, most = reuse._best_of(asked, stored)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(best, expected.argmax(axis=1)) and np.isnan(most).all()
+    assert peak < 0.6 * expected.nbytes
+    monkeypatch.setattr(reuse, "TILE", (7, 9))
+    for known in (stored, stored[:70]):
+        best, most = reuse._best_of(asked, known)
+        products = asked @ known.T
+        assert np.array_equal(best, products.argmax(axis=1))
+        assert np.array_equal(most, products[np.arange(len(asked)), best], equal_nan=True)
+
+
 def test_hashed_ngrams_alike_in_both_forms(spark):
     keys = ["", "a", "GET|/p/{num}|q=é", "x" * 700]
     df = spark.createDataFrame([(k,) for k in keys], "canonical_key string")
