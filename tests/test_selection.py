@@ -53,6 +53,27 @@ def test_pages_of_any_depth(spark, tmp_path, by, order):
     assert spark.read.parquet(f"{path}/ranges").agg(F.sum("n")).first()[0] == 1003
 
 
+def test_small_ranges_are_no_tasks_and_alerts_are_found_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(rank_index, "PART_ROWS", 500)
+    path = str(tmp_path / "ranked")
+    met = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for batch in batches:
+            met.add(len(batch))
+            yield batch
+
+    rows = spark.range(2003).selectExpr("id AS line_number", "(id * 37 % 11) / 10.0D AS merged_score", "concat('t', id * 13 % 7) AS timestamp")
+    rank_index.build_rank_index(rows.mapInPandas(watched, rows.schema), path, "merged_score", range_rows=20)
+    assert met.value == 2003  # not once more for the count and once for the sample
+    assert spark.read.parquet(f"{path}/ranges").where("n <= 20").count() >= 101
+    assert len(list((tmp_path / "ranked" / "rows").glob("__part=*"))) <= 5 and not (tmp_path / "ranked" / "unordered").exists()
+    expected = [r["line_number"] for r in rows.orderBy(*search.sort_columns("merged_score", "desc")).collect()]
+    for page in (1, 20, 40, 41):
+        found = sorted(rank_index.page_from_index(spark, path, page, 50).collect(), key=lambda r: r["rank"])
+        assert [r["line_number"] for r in found] == expected[(page - 1) * 50:page * 50]
+
+
 def test_no_alerts_no_pages(spark, tmp_path):
     path = str(tmp_path / "ranked")
     none = spark.range(0).selectExpr("id AS line_number", "0.5D AS merged_score", "'t' AS timestamp")
