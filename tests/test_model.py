@@ -133,3 +133,39 @@ def test_labels_as_text_number_and_boolean(spark, tmp_path):
     (tmp_path / "t.jsonl").write_text("".join(f'{{"path": "/{i}", "label": {v}}}\n' for i, v in enumerate(labels)) + '{"path": "/none"}\n')
     rows = {r["text"].split()[0]: r["label"] for r in training.read_training(spark, str(tmp_path / "t.jsonl")).collect()}
     assert [rows[f"/{i}"] for i in range(len(labels))] == [1, 1, 1, 0, 0, 0, 0, 1, 1, 0] and rows["/none"] == 0
+
+
+def test_term_lists_agree_with_the_ngrams_of_each_row(spark, monkeypatch):
+    """Whatever a task remembers and however many rows it counts together; equal ids are rows of their own."""
+    texts = ["", None, "a", "Aa aA  aa\taaa", "größe Ünï 𝒳𝒳𝒳 x", "ab" * 130 + " ab ab", "x y x", "one two " * 40, "İstanbul ΣΑΣ"]
+    rows = [(i % 5, t) for i, t in enumerate(texts * 3)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").coalesce(1)
+    expected = sorted((r["doc_id"], sorted(Counter(r["t"]).items())) for r in docs.select(
+        "doc_id", tfidf.word_ngrams(F.col("text")).alias("t")).collect() if r["t"])
+
+    def found():
+        return sorted((r["doc_id"], sorted(zip(r["terms"], r["counts"]))) for r in tfidf.term_lists(docs, "doc_id", "text").collect())
+
+    assert found() == expected
+    df, total = Counter(), Counter()
+    for _, terms in expected:
+        df.update(t for t, _ in terms)
+        total.update(dict(terms))
+    batch = next(iter(docs.select("doc_id", tfidf.words(F.col("text")).alias("__words")).toArrow().to_batches()))
+    for terms, words, at_once, longest in ((500_000, 200_000, 256, 100), (20, 5, 4, 3), (1, 1, 1, 1), (500_000, 200_000, 1000, 100)):
+        for name, value in (("TERMS", terms), ("WORDS", words), ("DOCUMENTS_AT_ONCE", at_once), ("LONGEST", longest)):
+            monkeypatch.setattr(tfidf, name, value)
+        grams, seen = tfidf._Grams(), []
+        for part, row, term, count in tfidf._counted([batch], grams):
+            names, ids = grams.named(term).to_pylist(), part.column("doc_id").to_pylist()
+            for at in sorted(set(row.tolist())):
+                seen.append((ids[at], sorted((names[i], int(count[i])) for i in (row == at).nonzero()[0])))
+        assert sorted(seen) == expected
+    vocab = {r["term"]: (r["df"], r["total"]) for r in tfidf.tfidf_vocab(docs, "text").collect()}
+    assert vocab == {t: (n, total[t]) for t, n in df.items() if n >= 2}
+
+
+def test_ngrams_of_a_task_are_not_made_by_nested_lambdas(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id int, text string")
+    plan = tfidf.tfidf_vocab(docs, "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" not in plan and "flatten(" not in plan
