@@ -60,3 +60,26 @@ def test_empty_and_missing_index(spark, tmp_path):
     assert text_index.search_index(spark, path, "same").count() == 0
     text_index.add_to_text_index(alerts(spark, 0, 5), path, 1)
     assert text_index.search_index(spark, path, "same").count() == 4
+
+
+def test_alerts_are_found_once_and_blocks_are_no_tasks(spark, tmp_path):
+    path, met = str(tmp_path / "index"), spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for batch in batches:
+            met.add(batch.num_rows)
+            yield batch
+
+    rows = alerts(spark, 0, 1000)
+    text_index.add_to_text_index(rows.mapInArrow(watched, rows.schema), path, 0, block_rows=10)
+    assert met.value == 1000  # not once more for the count and once for the sample
+    assert len(text_index.blocks_of(spark, path, "/same")) == 100
+    postings = spark.read.parquet(f"{path}/data/batch=0/postings")
+    # as the trigrams of each text, found by column expressions
+    text = search.haystack(False)
+    starts = F.sequence(F.lit(1), F.length("text") - 2)
+    grams = F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("text"), i, F.lit(3)))))
+    stored = spark.read.option("recursiveFileLookup", True).schema(rows.schema).parquet(f"{path}/data/batch=0/rows")
+    expected = {r["gram"]: r["n"] for r in stored.select(text.alias("text")).select(grams.alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).collect()}
+    assert {r["gram"]: r["n"] for r in postings.groupBy("gram").agg(F.sum(F.size("places")).alias("n")).collect()} == expected
+    assert len(list((tmp_path / "index" / "data" / "batch=0").iterdir())) == 2  # rows and postings
