@@ -3,6 +3,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,10 +153,14 @@ def test_term_lists_agree_with_the_ngrams_of_each_row(spark, monkeypatch):
         df.update(t for t, _ in terms)
         total.update(dict(terms))
     batch = next(iter(docs.select("doc_id", tfidf.words(F.col("text")).alias("__words")).toArrow().to_batches()))
-    for terms, words, at_once, longest in ((500_000, 200_000, 256, 100), (20, 5, 4, 3), (1, 1, 1, 1), (500_000, 200_000, 1000, 100)):
-        for name, value in (("TERMS", terms), ("WORDS", words), ("DOCUMENTS_AT_ONCE", at_once), ("LONGEST", longest)):
-            monkeypatch.setattr(tfidf, name, value)
-        grams, seen = tfidf._Grams(), []
+    one_by_one = type("OneByOne", (tfidf._Grams,), {"cut": lambda self, words: (
+        np.array([self.number(n) for w in words for n in told[w]], np.int64), np.array([len(told[w]) for w in words]))})
+    told = {r["w"]: r["t"] for r in docs.select(F.explode(tfidf.words(F.col("text"))).alias("w")).distinct().select(
+        "w", tfidf.word_ngrams(F.col("w")).alias("t")).collect()}
+    for terms, at_once, kind in ((500_000, 256, tfidf._Grams), (20, 4, tfidf._Grams), (1, 1, tfidf._Grams), (500_000, 1000, tfidf._Grams), (20, 4, one_by_one)):
+        monkeypatch.setattr(tfidf, "TERMS", terms)
+        monkeypatch.setattr(tfidf, "DOCUMENTS_AT_ONCE", at_once)
+        grams, seen = kind(), []
         for part, row, term, count in tfidf._counted([batch], grams):
             names, ids = grams.named(term).to_pylist(), part.column("doc_id").to_pylist()
             for at in sorted(set(row.tolist())):
@@ -165,6 +170,15 @@ def test_term_lists_agree_with_the_ngrams_of_each_row(spark, monkeypatch):
     assert vocab == {t: (n, total[t]) for t, n in df.items() if n >= 2}
 
 
+def test_words_of_a_large_alphabet_are_cut_alike():
+    words = ["".join(chr(0x4E00 + i * 7 + j) for j in range(6)) for i in range(2000)]
+    many, few = tfidf._Grams(), tfidf._Grams()
+    flat, sizes = many.cut(words)
+    parts = [few.cut(words[i:i + 500]) for i in range(0, 2000, 500)]
+    assert sizes.tolist() == [n for _, s in parts for n in s.tolist()]
+    assert sorted(many.names[i] for i in flat) == sorted(few.names[i] for f, _ in parts for i in f)
+
+
 def test_ngrams_of_a_task_are_not_made_by_nested_lambdas(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id int, text string")
     plan = tfidf.tfidf_vocab(docs, "text")._jdf.queryExecution().optimizedPlan().toString()
