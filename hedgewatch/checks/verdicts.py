@@ -86,7 +86,8 @@ def _refusing_provider():
       FALSE AS failed FROM flagged""", "flagged"))
 def journaled_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs over one journal of answers: the second asks for what the first could not get."""
-    requests = verdicts.with_request(inputs.flagged(spark, sf_dir)).select("line_number", "request")
+    # written once: both runs read them
+    requests = cut_lineage(verdicts.with_request(inputs.flagged(spark, sf_dir)).select("line_number", "request"))
     journal = f"{checkpoint_dir(spark)}/answers-{uuid.uuid4()}"
     verdicts.infer_verdicts(requests, _echo_provider, 256, journal).write.format("noop").mode("overwrite").save()
     answers = cut_lineage(verdicts.infer_verdicts(requests, _refusing_provider, 256, journal))

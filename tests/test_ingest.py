@@ -193,3 +193,13 @@ def test_hidden_names_never_vanish(spark, tmp_path, name):
     else:
         assert logs.read_logs(spark, str(tmp_path)).count() == 1
     assert logs.read_logs(spark, str(tmp_path), underscore="skip").count() == 1
+
+
+def test_iso_text_is_made_without_numbers(spark):
+    """Of every layout of a time; numbers are read for the instant only."""
+    from hedgewatch.functions import logline as ll
+    times = {"05/Jan/2024:01:02:03 +0130": "2024-01-05T01:02:03+01:30", " 5/jan/2024:1:2:3 Z": "2024-01-05T01:02:03+00:00",
+             "5/DEC/0099:23:59:59 -01:02:07": "0099-12-05T23:59:59-01:02:07", "31/Oct/2023:00:00:00 -000000": "2023-10-31T00:00:00-00:00"}
+    df = spark.createDataFrame([(t,) for t in times], "t string").selectExpr("t", f"{ll.time_parts('t')} AS p")
+    assert {r["t"]: r["iso"] for r in df.selectExpr("t", f"{ll.iso_time('p')} AS iso").collect()} == times
+    assert "try_cast" not in ll.iso_time("p").replace(ll._month("p"), "").lower()
