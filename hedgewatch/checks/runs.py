@@ -26,13 +26,20 @@ _RUN = statement(
       SELECT *, row_number() OVER (PARTITION BY canonical_key ORDER BY line_number) AS rn FROM contexts)""", "contexts")
 
 
+#: Lines of a file of a log folder.
+FILE_LINES = 250_000
+
+
 def _folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4()}"
 
 
 def _log_folder(spark: SparkSession, sf_dir: str) -> str:
     path = _folder(spark, "logs")
-    lines = inputs.raw_lines(spark, sf_dir).repartitionByRange("line_number").sortWithinPartitions("line_number")
+    # events are ordered, not lines: they are narrower, and each line is made once, not for the ranges as well
+    events = inputs.table(spark, sf_dir, "events")
+    parts = max(spark.sparkContext.defaultParallelism, -(-events.count() // FILE_LINES))
+    lines = inputs.lines_of_events(events.repartitionByRange(parts, "event_id").sortWithinPartitions("event_id"))
     # no _SUCCESS marker: in this folder every file is a log
     lines.select("value").write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").text(path)
     return path
