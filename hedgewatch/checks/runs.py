@@ -36,10 +36,11 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 def _log_folder(spark: SparkSession, sf_dir: str) -> str:
     path = _folder(spark, "logs")
-    # events are ordered, not lines: they are narrower, and each line is made once, not for the ranges as well
+    # events are dealt, not lines: they are narrower, and each line is made once, not for the ranges as well
     events = inputs.table(spark, sf_dir, "events")
     parts = max(spark.sparkContext.defaultParallelism, -(-events.count() // FILE_LINES))
-    lines = inputs.lines_of_events(events.repartitionByRange(parts, "event_id").sortWithinPartitions("event_id"))
+    # sorted after the join with the templates: the optimizer drops an order below it
+    lines = inputs.lines_of_events(events.repartitionByRange(parts, "event_id")).sortWithinPartitions("line_number")
     # no _SUCCESS marker: in this folder every file is a log
     lines.select("value").write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").text(path)
     return path
