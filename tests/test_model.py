@@ -183,3 +183,32 @@ def test_ngrams_of_a_task_are_not_made_by_nested_lambdas(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id int, text string")
     plan = tfidf.tfidf_vocab(docs, "text")._jdf.queryExecution().optimizedPlan().toString()
     assert "transform(" not in plan and "flatten(" not in plan
+
+
+@pytest.mark.parametrize("characters, terms", [(150_000, 500_000), (30, 500_000), (30, 5)])
+def test_vectors_are_made_in_one_step(spark, monkeypatch, characters, terms):
+    """Of ASCII rows and others, of rows too long to be coded with others, and of repeated and empty ones."""
+    monkeypatch.setattr(tfidf, "CHARACTERS", characters)
+    monkeypatch.setattr(tfidf, "TERMS", terms)
+    monkeypatch.setattr(tfidf, "OPEN", terms)
+    texts = [*TEXTS, "the größe the ab", "\x01ab the", "ab " * 40 + "the", "x", "nothing known", "GET /a?id=1 union select"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string").coalesce(2)
+    vocab = tfidf.tfidf_vocab(docs, "text", doc_id="id")
+    rows = {r["term"]: r for r in vocab.collect()}
+    df, total = Counter(t for text in texts for t in grams(text)), sum((grams(t) for t in texts), Counter())
+    assert {t: (r["df"], r["total"]) for t, r in rows.items()} == {t: (n, total[t]) for t, n in df.items() if n >= 2}
+    vectors = train.vectorize(docs, "text", train.feature_stages(vocab), ["id"])
+    plan = vectors._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" not in plan and "UDF(" not in plan  # no nested lambda, no vector opened and closed row by row
+    found = {r["id"]: r["features"] for r in vectors.collect()}
+    for i, text in enumerate(texts):
+        raw = {rows[t]["index"]: (1 + math.log(c)) * rows[t]["idf"] for t, c in grams(text).items() if t in rows}
+        norm = math.sqrt(sum(w * w for w in raw.values()))
+        assert found[i].size == len(rows) and found[i].indices.tolist() == sorted(raw)
+        assert found[i].values.tolist() == pytest.approx([raw[k] / norm for k in sorted(raw)], abs=1e-12)
+
+
+def test_a_score_is_found_once_for_all_thresholds(spark):
+    scored = spark.createDataFrame([(1, 0.3), (0, -0.7)], "label int, x double").select("label", F.exp("x").alias("score"))
+    plan = train.threshold_scores(scored)._jdf.queryExecution().optimizedPlan().toString()
+    assert len([line for line in plan.splitlines() if "EXP(" in line and "filter(" in line]) == 0 and plan.count("EXP(") == 1
